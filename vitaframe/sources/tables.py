@@ -111,7 +111,7 @@ def event_records(spark: SparkSession, sf_dir: str, with_repeats: bool = True) -
 
 
 def event_meals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases as meals: user, dish, time in milliseconds and date."""
+    """Purchases as meals: participant, dish, time in milliseconds and date."""
     tune(spark)
     at = F.col("ts").cast("timestamp")
     return (
@@ -122,7 +122,7 @@ def event_meals(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(
                 F.lit("participant-"),
                 F.floor(F.col("user_id") / USERS_PER_PARTICIPANT).cast("string"),
-            ).alias("user_id"),
+            ).alias("participant_id"),
             F.concat(F.lit("dish-"), F.get_json_object("props", "$.k")).alias("dish"),
             F.unix_millis(at).alias("time"),
         )
