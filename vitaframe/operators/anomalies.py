@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -50,14 +50,18 @@ def anomaly_days(daily: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     days = eligible_days(daily, settings)
     after = W.partitionBy("participant_id").orderBy("date").rowsBetween(1, 7)
     following = days.withColumn("_next", F.collect_list(F.struct("date", *METRICS)).over(after))
+
+    def later_values(metric: str) -> Column:
+        return F.transform(
+            "_next", lambda x: F.struct(x["date"].alias("date"), x[metric].alias("v"))
+        )
+
     per_metric = F.array(
         *[
             F.struct(
                 F.lit(m).alias("metric_type"),
                 F.col(m).alias("value"),
-                F.transform(
-                    "_next", lambda x, m=m: F.struct(x["date"].alias("date"), x[m].alias("v"))
-                ).alias("following"),
+                later_values(m).alias("following"),
             )
             for m in METRICS
         ]

@@ -127,14 +127,19 @@ def compliance_grade(score: Column) -> Column:
 
 
 def overall_compliance(per_metric_scores: DataFrame) -> DataFrame:
-    """Mean of a participant's six metric scores, with a grade."""
+    """Mean of a participant's six metric scores, with a grade.
+
+    Added up in whole tenths, so that a mean halfway between two tenths does
+    not hang on the order of the sum.
+    """
+    tenths = F.col("_tenths")
     return (
         per_metric_scores.groupBy("participant_id")
-        .agg(F.avg("compliance_score").alias("_raw"))
+        .agg(F.sum(F.rint(F.col("compliance_score") * 10.0)).alias("_tenths"))
         .select(
             "participant_id",
-            round_even("_raw", 1).alias("score"),
-            compliance_grade(F.col("_raw")).alias("grade"),
+            (F.rint(tenths / float(len(METRICS))) / 10.0).alias("score"),
+            compliance_grade(tenths / (10.0 * len(METRICS))).alias("grade"),
         )
     )
 

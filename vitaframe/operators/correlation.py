@@ -15,7 +15,11 @@ MIN_PAIRS = 5
 MIN_WINDOW_PAIRS = 7
 EXTRA_ROLLING_DAYS = 5
 SIGNIFICANT = 0.05
-BY_DAY = W.partitionBy("participant_id").orderBy("date")
+
+
+def by_day():
+    """A participant's days in order; one row per day, so the window is small."""
+    return W.partitionBy("participant_id").orderBy("date")
 
 
 def eligible_days(daily: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -51,7 +55,7 @@ def next_day_values(days: DataFrame) -> DataFrame:
 
     The next row counts, whether or not it is the next calendar day.
     """
-    return days.withColumns({f"{m}_next": F.lead(m).over(BY_DAY) for m in METRICS})
+    return days.withColumns({f"{m}_next": F.lead(m).over(by_day()) for m in METRICS})
 
 
 def next_day_pairs(days: DataFrame) -> DataFrame:
@@ -182,9 +186,9 @@ def rolling_correlations(daily: DataFrame, settings: Settings = DEFAULTS) -> Dat
     where a window has too few days with both metrics.
     """
     size = settings.rolling_window
-    before = BY_DAY.rowsBetween(-size, -1)
+    before = by_day().rowsBetween(-size, -1)
     days = eligible_days(daily, settings).where(F.col("days") >= size + EXTRA_ROLLING_DAYS)
-    windows = {"_row": F.row_number().over(BY_DAY)}
+    windows = {"_row": F.row_number().over(by_day())}
     for i, (m1, m2) in enumerate(CORRELATION_PAIRS):
         both = F.col(m1).isNotNull() & F.col(m2).isNotNull()
         a, b = F.when(both, F.col(m1)), F.when(both, F.col(m2))

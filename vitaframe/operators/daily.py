@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from vitaframe.config import DAILY_NAMES, GOOD, METRICS
 
 BY_PARTICIPANT = ("participant_id",)
+# Decimals kept of a daily value. Days with equal readings must tie when they
+# are ranked, in whatever order the readings were added up.
+DECIMALS = 9
 
 
 def daily_values(
@@ -32,10 +35,11 @@ def daily_values(
             *by,
             "date",
             "metric_type",
-            (
+            F.round(
                 F.when(F.col("metric_type") == "steps", F.col("_sum")).otherwise(F.col("_mean"))
                 if steps_agg == "sum"
-                else F.col("_mean")
+                else F.col("_mean"),
+                DECIMALS,
             ).alias("value"),
             "readings",
         )
@@ -49,7 +53,8 @@ def daily_wide(cleaned: DataFrame, by: Sequence[str] = BY_PARTICIPANT) -> DataFr
     columns = []
     for name in METRICS:
         own = F.when(metric == name, value)
-        columns.append((F.sum(own) if name == "steps" else F.avg(own)).alias(name))
+        value_of_day = F.sum(own) if name == "steps" else F.avg(own)
+        columns.append(F.round(value_of_day, DECIMALS).alias(name))
     return (
         cleaned.where(F.col("quality_flag") == GOOD)
         .groupBy(*by, F.to_date("datetime").alias("date"))
