@@ -33,28 +33,42 @@ def _counted(df: DataFrame, keys: list[str], value: str, weight: str | None) ->
 
 
 def _bands(counted: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Bands with their size, the rows before them and the group's totals."""
+    """Bands with their size, the rows before them and the group's totals.
+
+    Squares are summed around the band's lower edge and then around the group's
+    mean, so that a small spread far from zero keeps its digits.
+    """
     group = W.partitionBy(*keys)
     upto = group.orderBy("_band").rowsBetween(W.unboundedPreceding, W.currentRow)
+    edge = F.signum("_band") * F.expm1(F.abs(F.col("_band")) / BANDS_PER_E_FOLD)
     v = F.col(value).cast("double")
+    off = v - edge
     sums = counted.groupBy(*keys, "_band").agg(
         F.sum("_count").alias("_size"),
-        F.sum(v * F.col("_count")).alias("_sum"),
-        F.sum(v * v * F.col("_count")).alias("_squares"),
+        F.sum(off * F.col("_count")).alias("_off"),
+        F.sum(off * off * F.col("_count")).alias("_off2"),
         F.min(v).alias("_min"),
         F.max(v).alias("_max"),
     )
-    return sums.select(
+    placed = sums.select(
         *keys,
         "_band",
         "_size",
+        (edge + F.col("_off") / F.col("_size")).alias("_middle"),
+        (F.col("_off2") - F.col("_off") * F.col("_off") / F.col("_size")).alias("_inner"),
         (F.sum("_size").over(upto) - F.col("_size")).alias("_before"),
         F.sum("_size").over(group).alias("_total"),
-        F.sum("_sum").over(group).alias("_sum"),
-        F.sum("_squares").over(group).alias("_squares"),
         F.min("_min").over(group).alias("_min"),
         F.max("_max").over(group).alias("_max"),
     )
+    centred = placed.withColumn(
+        "_mean", F.sum(F.col("_middle") * F.col("_size")).over(group) / F.col("_total")
+    )
+    gap = F.col("_middle") - F.col("_mean")
+    return centred.withColumn(
+        "_squares",
+        F.sum(F.greatest(F.col("_inner"), F.lit(0.0)) + F.col("_size") * gap * gap).over(group),
+    ).drop("_middle", "_inner")
 
 
 def _positions(counted: DataFrame, bands: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -118,7 +132,7 @@ def group_summary(
     )
     placed = _positions(counted, bands, keys, value)
     end = F.col("_start") + F.col("_count")
-    carried = ["_total", "_sum", "_squares", "_min", "_max"]
+    carried = ["_total", "_mean", "_squares", "_min", "_max"]
     picked = placed.groupBy(*keys).agg(
         *[F.max(c).alias(c) for c in carried],
         *[
@@ -126,14 +140,16 @@ def group_summary(
             for name, k in ranks.items()
         ],
     )
-    mean = F.col("_sum") / F.col("_total")
-    variance = F.greatest(F.col("_squares") / F.col("_total") - mean * mean, F.lit(0.0))
     return picked.select(
         *keys,
         F.col("_total").alias("n"),
-        mean.alias("mean"),
         # Values that are all equal have no spread, whatever rounding leaves.
-        F.when(F.col("_min") == F.col("_max"), F.lit(0.0)).otherwise(F.sqrt(variance)).alias("std"),
+        F.when(F.col("_min") == F.col("_max"), F.col("_min")).otherwise(F.col("_mean")).alias(
+            "mean"
+        ),
+        F.when(F.col("_min") == F.col("_max"), F.lit(0.0))
+        .otherwise(F.sqrt(F.col("_squares") / F.col("_total")))
+        .alias("std"),
         F.col("_min").alias("min"),
         F.col("_max").alias("max"),
         *[

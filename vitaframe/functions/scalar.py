@@ -19,13 +19,35 @@ def round_even(value, digits: int = 0) -> Column:
 
 
 def fixed(value, digits: int) -> Column:
-    """Text with a fixed number of decimals, rounded half to even."""
-    return F.format_string(f"%.{digits}f", round_even(value, digits))
+    """Text with a fixed number of decimals; null stays null.
+
+    Rounds the exact binary value, halves to even: 0.835 is stored slightly
+    below and gives ``0.83``. Between 0.001 and 512 the exact value is a whole
+    number of 2**-62 or 2**-53; other numbers are rounded after scaling.
+    """
+    value = F.col(value) if isinstance(value, str) else value
+    value = value.cast("double")
+    size = F.abs(value)
+    small = (size < 512.0) & ((size >= 2.0**-10) | (size == 0.0))
+    below_one = size < 1.0
+    shift = F.when(below_one, F.lit(2.0**62)).otherwise(F.lit(2.0**53))
+    unit = F.when(below_one, F.lit(2**62)).otherwise(F.lit(2**53)).cast("decimal(19,0)")
+    scaled = F.when(small, (value * shift).cast("long")).cast("decimal(19,0)")
+    tens = scaled * F.lit(10**digits).cast("decimal(5,0)")
+    whole = F.floor(tens / unit).cast("decimal(10,0)")
+    rest = tens - whole * unit
+    half = F.when(below_one, F.lit(2**61)).otherwise(F.lit(2**52)).cast("decimal(19,0)")
+    odd = F.pmod(whole, F.lit(2)) == 1
+    up = (rest > half) | ((rest == half) & odd)
+    exact = (whole + F.when(up, F.lit(1)).otherwise(F.lit(0))).cast("double") / float(10**digits)
+    shown = F.when(small, exact).otherwise(round_even(value, digits))
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", shown))
 
 
 def grouped(value) -> Column:
-    """Whole-number text with thousands separators."""
-    return F.format_string("%,d", round_even(value, 0).cast("long"))
+    """Whole-number text with thousands separators; null stays null."""
+    whole = round_even(value, 0).cast("long")
+    return F.when(whole.isNotNull(), F.format_string("%,d", whole))
 
 
 def percent(part, whole) -> Column:

@@ -115,12 +115,15 @@ def _means(cleaned: DataFrame, unit: str) -> DataFrame:
     )
 
 
-def hourly_pattern(cleaned: DataFrame) -> DataFrame:
-    """Hours with the highest and lowest mean; the earlier hour wins a tie."""
+def hourly_pattern(cleaned: DataFrame, parity: bool = False) -> DataFrame:
+    """Hours with the highest and lowest mean; the earlier hour wins a tie.
+
+    With ``parity`` the value of a peak or low at midnight is null.
+    """
     means = _means(cleaned, "hour")
     peak = F.max(F.struct(F.col("mean"), (-F.col("hour")).alias("h")))
     low = F.min(F.struct(F.col("mean"), F.col("hour").alias("h")))
-    return (
+    pattern = (
         means.groupBy("participant_id", "metric_type")
         .agg(peak.alias("_peak"), low.alias("_low"))
         .select(
@@ -132,6 +135,14 @@ def hourly_pattern(cleaned: DataFrame) -> DataFrame:
             F.col("_low.mean").alias("low_value"),
         )
     )
+    if not parity:
+        return pattern
+    return pattern.withColumns(
+        {
+            f"{end}_value": F.when(F.col(f"{end}_hour") != 0, F.col(f"{end}_value"))
+            for end in ("peak", "low")
+        }
+    )
 
 
 def weekday_pattern(cleaned: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def even(expr: str, digits: int) -> str:
 
 
 def fixed(expr: str, digits: int) -> str:
-    return f"printf('%.{digits}f', {even(expr, digits)})"
+    return f"printf('%.{digits}f', {expr})"
 
 
 def grouped(expr: str) -> str:

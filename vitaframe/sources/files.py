@@ -30,6 +30,9 @@ from vitaframe.sources.standardize import (
 
 PHYSIO_FOLDER = "physio_data"
 DEFAULT_PARTICIPANT = "participant-default"
+# Room for the row numbers of one read: 2**22 partitions of 2**33 rows, for up to
+# 256 groups of files with different columns.
+READ_STRIDE = 2**55
 
 
 def participant_from_folder(folder: Column) -> Column:
@@ -113,18 +116,43 @@ def load_csv(spark: SparkSession, path, columns: list[str] | None = None) -> Dat
         return _empty(spark)
 
 
+def _opening(spark: SparkSession, paths) -> dict[str, str]:
+    """The first sign of each JSON file: ``[`` for objects in a list, ``{`` for one object."""
+    rows = (
+        spark.read.text(paths)
+        .select(
+            F.col("_metadata.file_path").alias("file"),
+            "_metadata.file_block_start",
+            F.substring(F.ltrim(F.replace("value", F.lit("﻿"), F.lit(""))), 1, 1).alias("sign"),
+        )
+        .where("file_block_start = 0 and sign <> ''")
+        .withColumn("_line", F.monotonically_increasing_id())
+        .groupBy("file")
+        .agg(F.min_by("sign", "_line").alias("sign"))
+        .collect()
+    )
+    return {row["file"]: row["sign"] for row in rows}
+
+
+def _json_rows(df: DataFrame, single_object: bool) -> DataFrame | None:
+    """Rows of parsed JSON; None where the shape holds no table."""
+    if not single_object:
+        return df
+    arrays = _array_columns(df)
+    return rows_from_parallel_arrays(df, arrays) if arrays else None
+
+
 def load_json(spark: SparkSession, path) -> DataFrame:
     """A JSON array of objects, or one object of parallel arrays; empty if unreadable."""
     try:
+        signs = set(_opening(spark, path).values())
         df = spark.read.option("multiLine", True).json(path)
     except AnalysisException:
         return _empty(spark)
-    if df.columns == ["_corrupt_record"]:
+    if "_corrupt_record" in df.columns:
         return _empty(spark)
-    arrays = _array_columns(df)
-    if arrays and len(arrays) == len(df.columns):
-        return rows_from_parallel_arrays(df, arrays)
-    return flatten_structs(df)
+    rows = _json_rows(df, signs == {"{"})
+    return _empty(spark) if rows is None else flatten_structs(rows)
 
 
 def load_file(spark: SparkSession, path: str) -> DataFrame:
@@ -150,7 +178,7 @@ def _with_origin(df: DataFrame, input_dir: str) -> DataFrame:
     placed = _placed(df, F.col("_metadata.file_path"), input_dir)
     return placed.withColumn(
         "source_file", F.concat_ws("/", "folder", "file_name")
-    ).withColumn("row_pos", F.monotonically_increasing_id())
+    ).withColumn("row_pos", F.lit(None).cast("long"))
 
 
 def _csv_layouts(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
@@ -203,22 +231,25 @@ def _read_metric(
             raw = _with_origin(load_csv(spark, group, list(columns)), input_dir)
             frames.append(standardize_export(raw, metric, mode))
     else:
-        whole = spark.read.option("multiLine", True).json(paths)
-        for columns, group in sorted(_json_layouts(whole).items()):
-            if not columns:
+        by_sign = defaultdict(list)
+        for path, sign in sorted(_opening(spark, paths).items()):
+            by_sign[sign].append(path)
+        for sign in ("[", "{"):
+            if not by_sign[sign]:
                 continue
-            kept = T.StructType([whole.schema[c] for c in columns])
-            raw = spark.read.schema(kept).option("multiLine", True).json(group)
-            raw = _with_origin(raw, input_dir)
-            arrays = [c for c in _array_columns(raw) if c in columns]
-            if len(arrays) == len(columns):
-                raw = rows_from_parallel_arrays(raw, arrays).withColumn(
-                    "row_pos", F.monotonically_increasing_id()
-                )
-            elif metric == "hr" and expand_sessions and "jsonData" in columns:
-                raw = explode_sessions(raw).withColumn("row_pos", F.monotonically_increasing_id())
-            raw = flatten_structs(raw)
-            frames.append(standardize_export(raw, metric, mode))
+            whole = spark.read.option("multiLine", True).json(by_sign[sign])
+            for columns, group in sorted(_json_layouts(whole).items()):
+                if not columns:
+                    continue
+                kept = T.StructType([whole.schema[c] for c in columns])
+                raw = spark.read.schema(kept).option("multiLine", True).json(group)
+                raw = _json_rows(_with_origin(raw, input_dir), sign == "{")
+                if raw is None:
+                    continue
+                if metric == "hr" and expand_sessions and "jsonData" in columns:
+                    raw = explode_sessions(raw)
+                raw = flatten_structs(raw)
+                frames.append(standardize_export(raw, metric, mode))
     return [f for f in frames if f is not None]
 
 
@@ -243,7 +274,12 @@ def read_records(
     ]
     if not frames:
         return spark.createDataFrame([], RECORD_SCHEMA)
-    return reduce(lambda a, b: a.unionByName(b), frames)
+    # Positions count rows within one read; the read's number makes them unique.
+    numbered = [
+        frame.withColumn("row_pos", F.monotonically_increasing_id() + F.lit(i * READ_STRIDE))
+        for i, frame in enumerate(frames)
+    ]
+    return reduce(lambda a, b: a.unionByName(b), numbered)
 
 
 def read_meals(spark: SparkSession, input_dir: str) -> DataFrame:
