@@ -57,13 +57,18 @@ def percent(part, whole) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0)) * 100.0
 
 
+def clamp(value: Column, low: float, high: float) -> Column:
+    """``value`` kept between two bounds; null stays null."""
+    return F.when(value < low, F.lit(low)).when(value > high, F.lit(high)).otherwise(value)
+
+
 def pearson(a: Column, b: Column) -> Column:
     """Null-safe Pearson aggregate; null when either side is constant.
 
     ``a`` and ``b`` must be null on the same rows.
     """
     r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-    return F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))
+    return clamp(r, -1.0, 1.0)
 
 
 def _even_series(r: Column, nu: Column) -> Column:
@@ -139,7 +144,7 @@ def correlation_p_value(r, n) -> Column:
         .when(F.pmod(nu, F.lit(2.0)) == 0.0, _even_series(r, nu))
         .otherwise(_odd_series(r, nu))
     )
-    return F.greatest(F.least(p, F.lit(1.0)), F.lit(0.0))
+    return clamp(p, 0.0, 1.0)
 
 
 def weekday(ts) -> Column:

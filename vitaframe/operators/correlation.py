@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vitaframe.config import CORRELATION_PAIRS, DEFAULTS, METRICS, Settings
 from vitaframe.functions.order_stats import value_positions
-from vitaframe.functions.scalar import correlation_p_value, pearson, percent, round_even
+from vitaframe.functions.scalar import clamp, correlation_p_value, pearson, percent, round_even
 from vitaframe.operators.statistics import good_rows
 
 MIN_PAIRS = 5
@@ -209,14 +209,10 @@ def rolling_correlations(daily: DataFrame, settings: Settings = DEFAULTS) -> Dat
                 F.col(f"_n{i}").alias("valid_days"),
                 F.when(
                     F.col(f"_n{i}") >= MIN_WINDOW_PAIRS,
-                    F.greatest(
-                        F.least(
-                            F.try_divide(
-                                F.col(f"_cov{i}"), F.col(f"_sa{i}") * F.col(f"_sb{i}")
-                            ),
-                            F.lit(1.0),
-                        ),
-                        F.lit(-1.0),
+                    clamp(
+                        F.try_divide(F.col(f"_cov{i}"), F.col(f"_sa{i}") * F.col(f"_sb{i}")),
+                        -1.0,
+                        1.0,
                     ),
                 ).alias("r"),
             )
