@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The six metrics, in canonical order.
@@ -184,11 +184,11 @@ def metric_dimension(spark: SparkSession, settings: Settings = DEFAULTS) -> Data
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-def per_metric(settings: Settings, attribute: str, metric="metric_type"):
-    """A column that looks up one setting of the row's metric."""
-    column = None
-    for name, cfg in settings.metrics.items():
-        value = F.lit(getattr(cfg, attribute))
-        test = F.col(metric) == name if isinstance(metric, str) else metric == name
-        column = F.when(test, value) if column is None else column.when(test, value)
-    return column
+def per_metric(settings: Settings, attribute: str) -> Column:
+    """One setting of the row's metric, looked up by ``metric_type``."""
+    cases = " ".join(
+        f"WHEN '{name}' THEN {getattr(cfg, attribute)!r}"
+        + ("D" if isinstance(getattr(cfg, attribute), float) else "")
+        for name, cfg in settings.metrics.items()
+    )
+    return F.expr(f"CASE metric_type {cases} END")

@@ -9,26 +9,27 @@ holds one band, or one count per band.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BANDS_PER_E_FOLD = 16384.0
 
 
-def band(value: str) -> Column:
-    """A whole number that never decreases as the value grows."""
-    v = F.col(value).cast("double")
-    return (F.signum(v) * F.floor(F.log1p(F.abs(v)) * BANDS_PER_E_FOLD)).cast("long")
-
-
 def _counted(df: DataFrame, keys: list[str], value: str, weight: str | None) -> DataFrame:
-    count = F.sum(weight) if weight else F.count(F.lit(1))
+    """Distinct values of each group with their number and band.
+
+    The band is a whole number that never decreases as the value grows.
+    """
+    count = f"sum({weight})" if weight else "count(1)"
     return (
-        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+        df.where(f"{value} IS NOT NULL AND NOT isnan(CAST({value} AS DOUBLE))")
         .groupBy(*keys, value)
-        .agg(count.alias("_count"))
-        .withColumn("_band", band(value))
+        .agg(F.expr(f"{count} AS _count"))
+        .selectExpr(
+            "*",
+            f"CAST(signum({value}) * floor(log1p(abs(CAST({value} AS DOUBLE))) * "
+            f"{BANDS_PER_E_FOLD}D) AS BIGINT) AS _band",
+        )
     )
 
 
@@ -38,45 +39,53 @@ def _bands(counted: DataFrame, keys: list[str], value: str) -> DataFrame:
     Squares are summed around the band's lower edge and then around the group's
     mean, so that a small spread far from zero keeps its digits.
     """
-    group = W.partitionBy(*keys)
-    upto = group.orderBy("_band").rowsBetween(W.unboundedPreceding, W.currentRow)
-    edge = F.signum("_band") * F.expm1(F.abs(F.col("_band")) / BANDS_PER_E_FOLD)
-    v = F.col(value).cast("double")
-    off = v - edge
-    sums = counted.groupBy(*keys, "_band").agg(
-        F.sum("_count").alias("_size"),
-        F.sum(off * F.col("_count")).alias("_off"),
-        F.sum(off * off * F.col("_count")).alias("_off2"),
-        F.min(v).alias("_min"),
-        F.max(v).alias("_max"),
-    )
-    placed = sums.select(
-        *keys,
-        "_band",
-        "_size",
-        (edge + F.col("_off") / F.col("_size")).alias("_middle"),
-        (F.col("_off2") - F.col("_off") * F.col("_off") / F.col("_size")).alias("_inner"),
-        (F.sum("_size").over(upto) - F.col("_size")).alias("_before"),
-        F.sum("_size").over(group).alias("_total"),
-        F.min("_min").over(group).alias("_min"),
-        F.max("_max").over(group).alias("_max"),
-    )
-    centred = placed.withColumn(
-        "_mean", F.sum(F.col("_middle") * F.col("_size")).over(group) / F.col("_total")
+    group = f"PARTITION BY {', '.join(keys)}"
+    upto = f"{group} ORDER BY _band ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    edge = f"signum(_band) * expm1(abs(_band) / {BANDS_PER_E_FOLD}D)"
+    off = f"(CAST({value} AS DOUBLE) - {edge})"
+    return (
+        counted.groupBy(*keys, "_band")
+        .agg(
+            F.expr("sum(_count) AS _size"),
+            F.expr(f"sum({off} * _count) AS _off"),
+            F.expr(f"sum({off} * {off} * _count) AS _off2"),
+            F.expr(f"min(CAST({value} AS DOUBLE)) AS _min"),
+            F.expr(f"max(CAST({value} AS DOUBLE)) AS _max"),
+        )
+        .selectExpr(
+            *keys,
+            "_band",
+            "_size",
+            f"{edge} + _off / _size AS _middle",
+            "_off2 - _off * _off / _size AS _inner",
+            f"sum(_size) OVER ({upto}) - _size AS _before",
+            f"sum(_size) OVER ({group}) AS _total",
+            f"min(_min) OVER ({group}) AS _min",
+            f"max(_max) OVER ({group}) AS _max",
+        )
+        .selectExpr("*", f"sum(_middle * _size) OVER ({group}) / _total AS _mean")
+        .selectExpr(
+            *keys,
+            "_band",
+            "_size",
+            "_before",
+            "_total",
+            "_min",
+            "_max",
+            "_mean",
+            f"sum(greatest(_inner, 0D) + _size * (_middle - _mean) * (_middle - _mean)) "
+            f"OVER ({group}) AS _squares",
+        )
     )
-    gap = F.col("_middle") - F.col("_mean")
-    return centred.withColumn(
-        "_squares",
-        F.sum(F.greatest(F.col("_inner"), F.lit(0.0)) + F.col("_size") * gap * gap).over(group),
-    ).drop("_middle", "_inner")
 
 
 def _positions(counted: DataFrame, bands: DataFrame, keys: list[str], value: str) -> DataFrame:
     inside = (
-        W.partitionBy(*keys, "_band").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+        f"PARTITION BY {', '.join(keys)}, _band ORDER BY {value} "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     )
-    return counted.join(bands, [*keys, "_band"]).withColumn(
-        "_start", F.col("_before") + F.sum("_count").over(inside) - F.col("_count")
+    return counted.join(bands, [*keys, "_band"]).selectExpr(
+        "*", f"_before + sum(_count) OVER ({inside}) - _count AS _start"
     )
 
 
@@ -91,13 +100,13 @@ def value_positions(
     """
     counted = _counted(df, keys, value, weight)
     placed = _positions(counted, _bands(counted, keys, value), keys, value)
-    return placed.select(
+    return placed.selectExpr(
         *keys,
         value,
-        F.col("_count").alias("copies"),
-        F.col("_start").alias("start"),
-        F.col("_total").alias("total"),
-        (F.col("_start") + (F.col("_count") + 1) / 2.0).alias("average_rank"),
+        "_count AS copies",
+        "_start AS start",
+        "_total AS total",
+        "_start + (_count + 1) / 2D AS average_rank",
     )
 
 
@@ -114,49 +123,40 @@ def group_summary(
     figures come from the distinct values, so rows are shuffled once.
     """
     counted = _counted(df, keys, value, weight)
-    spots = {
-        name: (F.col("_total") - 1).cast("double") * F.lit(float(p))
-        for name, p in probabilities.items()
-    }
+    spots = {name: f"CAST(_total - 1 AS DOUBLE) * {float(p)}D" for name, p in probabilities.items()}
     ranks = {}
     for name, spot in spots.items():
-        ranks[f"{name}_lo"] = F.floor(spot)
-        ranks[f"{name}_hi"] = F.ceil(spot)
+        ranks[f"{name}_lo"] = f"floor({spot})"
+        ranks[f"{name}_hi"] = f"ceil({spot})"
     # Only bands that hold a wanted rank are needed from here on.
-    wanted = F.array(*ranks.values())
+    wanted = f"array({', '.join(ranks.values())})"
     bands = _bands(counted, keys, value).where(
-        F.exists(
-            wanted,
-            lambda k: (k >= F.col("_before")) & (k < F.col("_before") + F.col("_size")),
-        )
+        f"exists({wanted}, k -> k >= _before AND k < _before + _size)"
     )
-    placed = _positions(counted, bands, keys, value)
-    end = F.col("_start") + F.col("_count")
     carried = ["_total", "_mean", "_squares", "_min", "_max"]
-    picked = placed.groupBy(*keys).agg(
-        *[F.max(c).alias(c) for c in carried],
-        *[
-            F.max(F.when((k >= F.col("_start")) & (k < end), F.col(value))).alias(name)
-            for name, k in ranks.items()
-        ],
+    picked = (
+        _positions(counted, bands, keys, value)
+        .groupBy(*keys)
+        .agg(
+            *[F.expr(f"max({c}) AS {c}") for c in carried],
+            *[
+                F.expr(
+                    f"max(CASE WHEN {k} >= _start AND {k} < _start + _count THEN {value} END) AS {name}"
+                )
+                for name, k in ranks.items()
+            ],
+        )
     )
-    return picked.select(
+    return picked.selectExpr(
         *keys,
-        F.col("_total").alias("n"),
+        "_total AS n",
         # Values that are all equal have no spread, whatever rounding leaves.
-        F.when(F.col("_min") == F.col("_max"), F.col("_min")).otherwise(F.col("_mean")).alias(
-            "mean"
-        ),
-        F.when(F.col("_min") == F.col("_max"), F.lit(0.0))
-        .otherwise(F.sqrt(F.col("_squares") / F.col("_total")))
-        .alias("std"),
-        F.col("_min").alias("min"),
-        F.col("_max").alias("max"),
+        "CASE WHEN _min = _max THEN _min ELSE _mean END AS mean",
+        "CASE WHEN _min = _max THEN 0D ELSE sqrt(_squares / _total) END AS std",
+        "_min AS min",
+        "_max AS max",
         *[
-            (
-                F.col(f"{name}_lo")
-                + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * (spot - F.floor(spot))
-            ).alias(name)
+            f"{name}_lo + ({name}_hi - {name}_lo) * ({spot} - floor({spot})) AS {name}"
             for name, spot in spots.items()
         ],
     )

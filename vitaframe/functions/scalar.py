@@ -11,6 +11,11 @@ SERIES_LIMIT = 1000
 NORMAL_TERMS = 200
 
 
+def _with(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def round_even(value, digits: int = 0) -> Column:
     """Round half to even."""
     value = F.col(value) if isinstance(value, str) else value
@@ -26,22 +31,27 @@ def fixed(value, digits: int) -> Column:
     number of 2**-62 or 2**-53; other numbers are rounded after scaling.
     """
     value = F.col(value) if isinstance(value, str) else value
-    value = value.cast("double")
-    size = F.abs(value)
-    small = (size < 512.0) & ((size >= 2.0**-10) | (size == 0.0))
-    below_one = size < 1.0
-    shift = F.when(below_one, F.lit(2.0**62)).otherwise(F.lit(2.0**53))
-    unit = F.when(below_one, F.lit(2**62)).otherwise(F.lit(2**53)).cast("decimal(19,0)")
-    scaled = F.when(small, (value * shift).cast("long")).cast("decimal(19,0)")
-    tens = scaled * F.lit(10**digits).cast("decimal(5,0)")
-    whole = F.floor(tens / unit).cast("decimal(10,0)")
-    rest = tens - whole * unit
-    half = F.when(below_one, F.lit(2**61)).otherwise(F.lit(2**52)).cast("decimal(19,0)")
-    odd = F.pmod(whole, F.lit(2)) == 1
-    up = (rest > half) | ((rest == half) & odd)
-    exact = (whole + F.when(up, F.lit(1)).otherwise(F.lit(0))).cast("double") / float(10**digits)
-    shown = F.when(small, exact).otherwise(round_even(value, digits))
-    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", shown))
+
+    def text(v: Column) -> Column:
+        size = F.abs(v)
+        fine = size < 1.0
+        unit = F.when(fine, F.lit(2**62)).otherwise(F.lit(2**53)).cast("decimal(19,0)")
+        scaled = (v * F.when(fine, F.lit(2.0**62)).otherwise(F.lit(2.0**53))).cast("long")
+        tens = scaled.cast("decimal(19,0)") * F.lit(10**digits).cast("decimal(5,0)")
+
+        def exact(whole: Column) -> Column:
+            twice = (tens - whole * unit) * F.lit(2).cast("decimal(1,0)")
+            up = (twice > unit) | ((twice == unit) & (F.pmod(whole, F.lit(2)) == 1))
+            return (whole + F.when(up, F.lit(1)).otherwise(F.lit(0))).cast("double")
+
+        in_reach = (size < 512.0) & ((size >= 2.0**-10) | (size == 0.0))
+        shown = F.when(
+            in_reach,
+            _with(F.floor(tens / unit).cast("decimal(10,0)"), exact) / float(10**digits),
+        ).otherwise(round_even(v, digits))
+        return F.when(v.isNotNull(), F.format_string(f"%.{digits}f", shown))
+
+    return _with(value.cast("double"), text)
 
 
 def grouped(value) -> Column:
@@ -103,28 +113,34 @@ def _odd_series(r: Column, nu: Column) -> Column:
 
 def normal_two_sided(z: Column) -> Column:
     """Two-sided tail of the standard normal for z >= 0, by its power series."""
-    z = F.least(z, F.lit(9.0))
-    z2 = z * z
-    acc = F.aggregate(
-        F.sequence(F.lit(0), F.lit(NORMAL_TERMS)),
-        F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s")),
-        lambda a, k: F.struct(
-            (a["t"] * z2 / (2.0 * k + 3.0)).alias("t"), (a["s"] + a["t"]).alias("s")
-        ),
-    )
-    return 1.0 - z * F.exp(-z2 / 2.0) * acc["s"] * 0.7978845608028654
+
+    def tail(x: Column) -> Column:
+        acc = F.aggregate(
+            F.sequence(F.lit(0), F.lit(NORMAL_TERMS)),
+            F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s")),
+            lambda a, k: F.struct(
+                (a["t"] * x * x / (2.0 * k + 3.0)).alias("t"), (a["s"] + a["t"]).alias("s")
+            ),
+            lambda a: a["s"],
+        )
+        return 1.0 - x * F.exp(x * x / -2.0) * acc * 0.7978845608028654
+
+    return _with(F.least(z, F.lit(9.0)), tail)
 
 
 def _large_sample(r: Column, nu: Column) -> Column:
     # Hill (1970), CACM algorithm 395: a normal deviate for Student's t.
     a = nu - 0.5
     b = a * a * 48.0
-    w2 = a * -F.log1p(-(r * r))
-    w = F.sqrt(w2)
-    w4 = w2 * w2
-    head = (w2 + 3.0) * w / b
-    tail = w * (w4 * w2 * 4.0 + w4 * 33.0 + w2 * 240.0 + 855.0) / (b * 10.0 * (b + w4 * 0.8 + 100.0))
-    return normal_two_sided(w + head - tail)
+
+    def deviate(w: Column) -> Column:
+        w2 = w * w
+        w4 = w2 * w2
+        head = (w2 + 3.0) * w / b
+        tail = w * (w4 * w2 * 4.0 + w4 * 33.0 + w2 * 240.0 + 855.0)
+        return w + head - tail / (b * 10.0 * (b + w4 * 0.8 + 100.0))
+
+    return normal_two_sided(_with(F.sqrt(a * -F.log1p(-(r * r))), deviate))
 
 
 def correlation_p_value(r, n) -> Column:
@@ -137,14 +153,18 @@ def correlation_p_value(r, n) -> Column:
     r = F.col(r) if isinstance(r, str) else r
     n = (F.col(n) if isinstance(n, str) else n).cast("double")
     nu = n - 2.0
-    p = (
+
+    def between(p: Column) -> Column:
+        return F.greatest(F.least(p, F.lit(1.0)), F.lit(0.0))
+
+    # Past the first branch r is not null, so no bound can replace a null.
+    return (
         F.when(r.isNull() | (nu < 1.0), F.lit(None).cast("double"))
         .when(F.abs(r) >= 1.0, F.lit(0.0))
-        .when(n > float(SERIES_LIMIT), _large_sample(r, nu))
-        .when(F.pmod(nu, F.lit(2.0)) == 0.0, _even_series(r, nu))
-        .otherwise(_odd_series(r, nu))
+        .when(n > float(SERIES_LIMIT), between(_large_sample(r, nu)))
+        .when(F.pmod(nu, F.lit(2.0)) == 0.0, between(_even_series(r, nu)))
+        .otherwise(between(_odd_series(r, nu)))
     )
-    return clamp(p, 0.0, 1.0)
 
 
 def weekday(ts) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vitaframe.config import DEFAULTS, METRICS, Settings
@@ -68,50 +69,41 @@ def health_baselines(cleaned: DataFrame, settings: Settings = DEFAULTS) -> DataF
         .where("v is not null")
     )
     summary = group_summary(series, [*keys, "series"], "v", BASELINE_QUANTILES)
-    enough = summary.where((F.col("series") == "primary") & (F.col("n") >= MIN_READINGS)).select(
-        keys
-    )
+    # A metric has one or two rows here.
+    readings = F.max(F.when(F.col("series") == "primary", F.col("n"))).over(W.partitionBy(*keys))
     rounded = round_even("mean", 1)
     kind = F.when(F.col("series") == "primary", F.col("metric_type")).otherwise(
         F.concat("metric_type", F.lit("_secondary"))
     )
     return (
-        summary.join(enough, keys, "left_semi")
+        summary.withColumn("_readings", readings)
+        .where(F.col("_readings") >= MIN_READINGS)
         .withColumnRenamed("n", "count")
         .withColumn("mean_1", rounded)
         .withColumn("interpretation", interpret_mean(kind, F.col("mean_1"), settings))
-        .drop("min", "max")
+        .drop("min", "max", "_readings")
     )
 
 
-def _patterned(cleaned: DataFrame) -> DataFrame:
-    """Sums per participant, metric, weekday and hour, shared by both patterns."""
+def _patterned(cleaned: DataFrame, unit: str) -> DataFrame:
+    """Readings and mean per participant, metric and hour or weekday."""
+    part = F.hour("datetime") if unit == "hour" else weekday("datetime")
     return (
         good_rows(cleaned)
-        .groupBy(
-            "participant_id",
-            "metric_type",
-            weekday("datetime").alias("weekday"),
-            F.hour("datetime").alias("hour"),
-        )
-        .agg(F.count("value_1").alias("_n"), F.sum("value_1").alias("_sum"))
+        .groupBy("participant_id", "metric_type", part.alias(unit))
+        .agg(F.count("value_1").alias("readings"), F.avg("value_1").alias("mean"))
     )
 
 
 def _means(cleaned: DataFrame, unit: str) -> DataFrame:
     keys = ["participant_id", "metric_type"]
-    patterned = _patterned(cleaned)
-    enough = (
-        patterned.groupBy(keys)
-        .agg(F.sum("_n").alias("_all"))
-        .where(F.col("_all") >= MIN_READINGS)
-        .select(keys)
-    )
+    # A metric has at most 24 hours or seven weekdays here.
+    everything = F.sum("readings").over(W.partitionBy(*keys))
     return (
-        patterned.groupBy(*keys, unit)
-        .agg(F.sum("_n").alias("readings"), (F.sum("_sum") / F.sum("_n")).alias("mean"))
-        .where(F.col("readings") >= MIN_PATTERN_READINGS)
-        .join(enough, keys, "left_semi")
+        _patterned(cleaned, unit)
+        .withColumn("_all", everything)
+        .where((F.col("readings") >= MIN_PATTERN_READINGS) & (F.col("_all") >= MIN_READINGS))
+        .drop("_all")
     )
 
 

@@ -93,14 +93,10 @@ def outlier_limits(records: DataFrame, settings: Settings = DEFAULTS) -> DataFra
     keys = ["participant_id", "metric_type"]
     series = (
         records.where(F.col("quality_flag") == GOOD)
-        .select(
+        .selectExpr(
             *keys,
-            F.inline(
-                F.array(
-                    F.struct(F.lit(1).alias("which"), F.col("value_1").alias("v")),
-                    F.struct(F.lit(2).alias("which"), F.col("value_2").alias("v")),
-                )
-            ),
+            "inline(array(named_struct('which', 1, 'v', value_1), "
+            "named_struct('which', 2, 'v', value_2)))",
         )
         .where("v is not null")
     )
@@ -108,15 +104,15 @@ def outlier_limits(records: DataFrame, settings: Settings = DEFAULTS) -> DataFra
         "fence", per_metric(settings, "iqr_factor") * (F.col("q3") - F.col("q1"))
     )
     columns = {
-        "n": F.col("n"),
-        "mean": F.col("mean"),
-        "std": F.col("std"),
-        "lower": F.col("q1") - F.col("fence"),
-        "upper": F.col("q3") + F.col("fence"),
+        "n": "n",
+        "mean": "mean",
+        "std": "std",
+        "lower": "q1 - fence",
+        "upper": "q3 + fence",
     }
     return limits.groupBy(keys).agg(
         *[
-            F.max(F.when(F.col("which") == which, column)).alias(f"{name}_{which}")
+            F.expr(f"max(CASE WHEN which = {which} THEN {column} END) AS {name}_{which}")
             for which in (1, 2)
             for name, column in columns.items()
         ]

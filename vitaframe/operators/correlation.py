@@ -189,6 +189,8 @@ def rolling_correlations(daily: DataFrame, settings: Settings = DEFAULTS) -> Dat
     before = by_day().rowsBetween(-size, -1)
     days = eligible_days(daily, settings).where(F.col("days") >= size + EXTRA_ROLLING_DAYS)
     windows = {"_row": F.row_number().over(by_day())}
+    for m in METRICS:
+        windows[f"_has_{m}"] = F.count(m).over(W.partitionBy("participant_id")) > 0
     for i, (m1, m2) in enumerate(CORRELATION_PAIRS):
         both = F.col(m1).isNotNull() & F.col(m2).isNotNull()
         a, b = F.when(both, F.col(m1)), F.when(both, F.col(m2))
@@ -196,8 +198,6 @@ def rolling_correlations(daily: DataFrame, settings: Settings = DEFAULTS) -> Dat
         windows[f"_cov{i}"] = F.covar_pop(a, b).over(before)
         windows[f"_sa{i}"] = F.stddev_pop(a).over(before)
         windows[f"_sb{i}"] = F.stddev_pop(b).over(before)
-        windows[f"_some{i}"] = F.count(F.col(m1)).over(W.partitionBy("participant_id"))
-        windows[f"_other{i}"] = F.count(F.col(m2)).over(W.partitionBy("participant_id"))
     rolled = days.withColumns(windows).where(F.col("_row") > size)
     pairs = F.array(
         *[
@@ -205,7 +205,7 @@ def rolling_correlations(daily: DataFrame, settings: Settings = DEFAULTS) -> Dat
                 F.lit(i).alias("pair_order"),
                 F.lit(m1).alias("metric_1"),
                 F.lit(m2).alias("metric_2"),
-                ((F.col(f"_some{i}") > 0) & (F.col(f"_other{i}") > 0)).alias("_measured"),
+                (F.col(f"_has_{m1}") & F.col(f"_has_{m2}")).alias("_measured"),
                 F.col(f"_n{i}").alias("valid_days"),
                 F.when(
                     F.col(f"_n{i}") >= MIN_WINDOW_PAIRS,

@@ -28,25 +28,37 @@ def metric_statistics(cleaned: DataFrame) -> DataFrame:
 
     Statistics of the secondary value are null for metrics that have none.
     """
-    good = good_rows(cleaned)
-    first = group_summary(good, ["metric_type"], "value_1", QUANTILES).select(
-        "metric_type",
-        F.col("n").alias("count"),
-        "mean",
-        F.col("p50").alias("median"),
-        "std",
-        "min",
-        "max",
-        (F.col("p75") - F.col("p25")).alias("iqr"),
-        *QUANTILES,
+    series = (
+        good_rows(cleaned)
+        .select(
+            "metric_type",
+            F.inline(
+                F.array(
+                    F.struct(F.lit(1).alias("which"), F.col("value_1").alias("v")),
+                    F.struct(F.lit(2).alias("which"), F.col("value_2").alias("v")),
+                )
+            ),
+        )
+        .where("v is not null")
     )
-    second = group_summary(good, ["metric_type"], "value_2", {"m": 0.5}).select(
-        "metric_type",
-        F.col("mean").alias("secondary_mean"),
-        F.col("m").alias("secondary_median"),
-        F.col("std").alias("secondary_std"),
+    summary = group_summary(series, ["metric_type", "which"], "v", QUANTILES)
+
+    def of(which: int, column: Column, label: str) -> Column:
+        return F.max(F.when(F.col("which") == which, column)).alias(label)
+
+    return summary.groupBy("metric_type").agg(
+        of(1, F.col("n"), "count"),
+        of(1, F.col("mean"), "mean"),
+        of(1, F.col("p50"), "median"),
+        of(1, F.col("std"), "std"),
+        of(1, F.col("min"), "min"),
+        of(1, F.col("max"), "max"),
+        of(1, F.col("p75") - F.col("p25"), "iqr"),
+        *[of(1, F.col(p), p) for p in QUANTILES],
+        of(2, F.col("mean"), "secondary_mean"),
+        of(2, F.col("p50"), "secondary_median"),
+        of(2, F.col("std"), "secondary_std"),
     )
-    return first.join(second, "metric_type", "left")
 
 
 def calendar_profiles(cleaned: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from vitaframe.config import DEFAULTS, Settings
 from vitaframe.operators import anomalies as an
 from vitaframe.operators import baseline as bl
+from vitaframe.operators import cleaning as cl
 from vitaframe.operators import correlation as co
-from vitaframe.operators.cleaning import clean
 from vitaframe.operators.daily import daily_wide
 from vitaframe.session import stage_table
 from vitaframe.sources.tables import EVENT_SETTINGS, event_meals, event_records
@@ -41,7 +41,13 @@ class Workspace:
     def recipe(self, name: str) -> DataFrame:
         """The table as a plan on the tables before it."""
         recipes: dict[str, Callable[[], DataFrame]] = {
-            "cleaned": lambda: clean(self.records, self.settings),
+            # Outlier limits and outlier flags both read the rows flagged so far.
+            "flagged": lambda: cl.flag_out_of_range(
+                cl.flag_duplicates(self.records), self.settings
+            ),
+            "cleaned": lambda: cl.flag_missing(
+                cl.flag_outliers(self["flagged"], self.settings)
+            ),
             "daily": lambda: daily_wide(self["cleaned"]),
             "baselines": lambda: bl.health_baselines(self["cleaned"], self.settings),
             "hourly": lambda: bl.hourly_pattern(self["cleaned"]),
@@ -57,8 +63,7 @@ class Workspace:
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._staged:
-            split = ["metric_type"] if name == "cleaned" else None
-            self._staged[name] = stage_table(self.recipe(name), f"{self.label}-{name}", split)
+            self._staged[name] = stage_table(self.recipe(name), f"{self.label}-{name}")
         return self._staged[name]
 
     def insight_tables(self) -> dict[str, DataFrame]:

@@ -56,14 +56,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def stage_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, cutting its lineage."""
     spark = df.sparkSession
     path = os.path.join(
         checkpoint_dir(spark), f"{spark.sparkContext.applicationId}-{name}"
     )
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
