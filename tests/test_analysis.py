@@ -320,3 +320,20 @@ def test_fuzzy_means(spark):
     both = lungs.selectExpr("FEV1", "`FEV1/FVC`", "4.0D as FVC")
     assert st.fuzzy_means(both, {"b": "fvc"}).first()["b"] == 4.0
     assert math.isclose(st.fuzzy_means(both, {"b": "fvc"}, exact_first=False).first()["b"], 0.82)
+
+
+def test_wide_and_long_inputs(spark):
+    wide = spark.createDataFrame(
+        [("2024-01-01", 100.0, 60.0), ("2024-01-01", 300.0, None), ("2024-01-02", 50.0, 62.0)],
+        "date string, steps double, resting_hr double",
+    )
+    row = st.headline_means_of_wide(wide).first()
+    assert row["avg_steps"] == 150.0 and row["avg_hr"] == 61.0 and row["avg_sleep"] is None
+    named = {(r["date"], r["metric"]): r["value"] for r in da.named_means_of_wide(wide).collect()}
+    assert named["2024-01-01", "steps"] == 200.0 and named["2024-01-02", "resting_hr"] == 62.0
+    long = spark.createDataFrame(
+        [("2024-01-01", "steps", 5.0), ("2024-01-01", "steps", 6.0), ("2024-01-01", "hr", 5.0), ("2024-01-01", "hr", 6.0)],
+        "date string, metric_type string, value double",
+    )
+    got = {r["metric_type"]: r["value"] for r in da.daily_values_of_long(long).collect()}
+    assert got == {"steps": 11.0, "hr": 5.5}

@@ -159,3 +159,48 @@ def test_settings_lookup(make_records):
     r = cl.range_lookup(make_records([("a", "spo2", _at(0), 97.0)])).first()
     assert (r["low"], r["high"], r["config_unit"], r["expected_per_day"]) == (80.0, 100.0, "%", 8)
     assert DEFAULTS.metrics["hr"].expected_per_day == 24
+
+
+def test_hot_participant_is_split(spark, make_records):
+    """The join that brings the limits back is split for a participant with most rows."""
+    from pyspark.sql import functions as F
+
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    base = make_records([("p", "hr", _at(0), 70.0)])
+    rows = (
+        spark.range(0, 60_000, 1, 8)
+        .withColumn("who", F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 400))
+        .select(
+            F.concat(F.lit("p"), F.col("who")).alias("participant_id"),
+            F.lit("hr").alias("metric_type"),
+            F.timestamp_seconds(F.col("id")).alias("datetime"),
+            F.col("id").alias("epoch_raw"),
+            (F.col("id") % 97 + 60.0).alias("value_1"),
+            F.lit(None).cast("double").alias("value_2"),
+            F.lit("").alias("unit"),
+            F.create_map().cast("map<string,string>").alias("metadata"),
+            F.lit(GOOD).alias("quality_flag"),
+            F.md5(F.col("id").cast("string")).alias("source_file"),
+            F.col("id").alias("row_pos"),
+        )
+        .select(base.columns)
+    )
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        flagged = cl.flag_outliers(rows)
+        assert flagged.count() == 60_000
+        flagged = cl.flag_outliers(rows)
+        flagged.collect()
+        plan = flagged._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

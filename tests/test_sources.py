@@ -104,11 +104,11 @@ def test_empty_folder(spark, tmp_path):
     assert fs.read_meals(spark, str(tmp_path / "in")).count() == 0
 
 
-def test_unnest_first_column(spark):
+def test_unnest_only_column(spark):
     df = spark.createDataFrame([([{"t": 1, "v": 2.0}, {"t": 2, "v": 3.0}],)], "items array<struct<t:int,v:double>>")
-    assert [tuple(r) for r in sd.unnest_first_column(df, "items").collect()] == [(1, 2.0), (2, 3.0)]
+    assert [tuple(r) for r in sd.unnest_only_column(df, "items").collect()] == [(1, 2.0), (2, 3.0)]
     df = spark.createDataFrame([((1, (2, 3)),)], "o struct<a:int,b:struct<c:int,d:int>>")
-    assert sd.unnest_first_column(df, "o").columns == ["a", "b.c", "b.d"]
+    assert sd.unnest_only_column(df, "o").columns == ["a", "b.c", "b.d"]
 
 
 def test_declared_tables(spark):
@@ -171,5 +171,9 @@ def test_mixed_json_columns(spark, tmp_path):
     write_json(f"{root}/physio_data/temperature_1.json", [{"createdTime": T0, "temperature": 98.0}])
     write_json(f"{root}/physio_data/temperature_2.json", [{"logDate": T0 + DAY, "temp": 99.0}])
     write_csv(f"{root}/physio_data/bp_1.csv", [{"when": 1, "systolic": 2}])
+    nested = [{"data": [{"createdTime": T0 + 2 * DAY, "spo2": 97}, {"createdTime": T0 + 3 * DAY, "spo2": 98}]}]
+    write_json(f"{root}/physio_data/spo2_3.json", nested)
     rows = fs.read_records(spark, root).orderBy("epoch_raw").collect()
-    assert [(r["epoch_raw"], r["value_1"]) for r in rows] == [(T0, 98.0), (T0 + DAY, 99.0)]
+    assert [(r["epoch_raw"], r["value_1"]) for r in rows] == [
+        (T0, 98.0), (T0 + DAY, 99.0), (T0 + 2 * DAY, 97.0), (T0 + 3 * DAY, 98.0),
+    ]

@@ -77,12 +77,17 @@ def metric_compliance(cleaned: DataFrame, settings: Settings = DEFAULTS) -> Data
 def daily_compliance(cleaned: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Compliance of every calendar day of a participant's span, per metric present."""
     counts = _day_counts(cleaned)
-    present = counts.groupBy("participant_id", "metric_type").agg(F.count(F.lit(1)).alias("_days"))
-    calendar = present.join(participant_spans(cleaned), "participant_id").select(
-        "participant_id",
-        "metric_type",
-        F.explode(F.sequence("start", "end", F.expr("interval 1 day"))).alias("date"),
+    # Spans and present metrics come from the daily counts, not from the readings.
+    span = counts.groupBy("participant_id").agg(
+        F.min("date").alias("start"),
+        F.max("date").alias("end"),
+        F.collect_set("metric_type").alias("present"),
     )
+    calendar = span.select(
+        "participant_id",
+        F.explode("present").alias("metric_type"),
+        F.sequence("start", "end", F.expr("interval 1 day")).alias("days"),
+    ).select("participant_id", "metric_type", F.explode("days").alias("date"))
     per_day = per_metric(settings, "expected_per_day")
     return (
         calendar.join(counts, ["participant_id", "metric_type", "date"], "left")

@@ -46,6 +46,23 @@ def daily_values(
     )
 
 
+def daily_values_of_long(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The same daily values from a table of date, metric_type and value."""
+    return (
+        df.groupBy(*by, F.to_date("date").alias("date"), "metric_type")
+        .agg(F.sum("value").alias("_sum"), F.avg("value").alias("_mean"))
+        .select(
+            *by,
+            "date",
+            "metric_type",
+            F.round(
+                F.when(F.col("metric_type") == "steps", F.col("_sum")).otherwise(F.col("_mean")),
+                DECIMALS,
+            ).alias("value"),
+        )
+    )
+
+
 def daily_wide(cleaned: DataFrame, by: Sequence[str] = BY_PARTICIPANT) -> DataFrame:
     """One row per day with one column per metric, null where not measured."""
     value = F.col("value_1")

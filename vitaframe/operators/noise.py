@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vitaframe.config import GOOD, OUTLIER
-from vitaframe.functions.order_stats import group_summary
+from vitaframe.functions.order_stats import value_positions
 
 BY_METRIC = ("metric_type",)
 CLUSTER_HOURS = 24.0
@@ -103,22 +103,26 @@ def outlier_clustering(cleaned: DataFrame, by: Sequence[str] = BY_METRIC) -> Dat
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("outliers"))
     )
-    gaps = outlier_gaps(cleaned, by)
-    shares = gaps.groupBy(*keys).agg(
-        (
-            F.sum(F.when(F.col("gap_hours") <= CLUSTER_HOURS, F.col("times")).otherwise(0))
-            / F.sum("times")
-        ).alias("clustering_ratio"),
-        (F.sum(F.col("gap_hours") * F.col("times")) / F.sum("times")).alias("mean_gap_hours"),
-    )
-    medians = group_summary(gaps, keys, "gap_hours", {"median_gap_hours": 0.5}, "times").select(
-        *keys, "median_gap_hours"
-    )
-    return (
-        counts.join(shares, keys, "left")
-        .join(medians, keys, "left")
-        .withColumn(
-            "clustering_detected",
-            F.coalesce(F.col("clustering_ratio") > CLUSTER_SHARE, F.lit(False)),
+    gap, times, total = F.col("gap_hours"), F.col("copies"), F.max("total")
+
+    def at_rank(rank: str):
+        """The gap at a place, counted from 0, of all gaps in order."""
+        here = f"{rank} >= start AND {rank} < start + copies"
+        return F.expr(f"max(CASE WHEN {here} THEN gap_hours END)")
+
+    middle = (at_rank("floor((total - 1) / 2)") + at_rank("ceil((total - 1) / 2)")) / 2.0
+    spread = (
+        value_positions(outlier_gaps(cleaned, by), keys, "gap_hours", "times")
+        .groupBy(*keys)
+        .agg(
+            (F.sum(F.when(gap <= CLUSTER_HOURS, times).otherwise(0)) / total).alias(
+                "clustering_ratio"
+            ),
+            (F.sum(gap * times) / total).alias("mean_gap_hours"),
+            middle.alias("median_gap_hours"),
         )
     )
+    return counts.join(spread, keys, "left").withColumn(
+        "clustering_detected",
+        F.coalesce(F.col("clustering_ratio") > CLUSTER_SHARE, F.lit(False)),
+    )

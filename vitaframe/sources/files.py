@@ -26,6 +26,7 @@ from vitaframe.sources.standardize import (
     flatten_structs,
     rows_from_parallel_arrays,
     standardize_export,
+    unnest_only_column,
 )
 
 PHYSIO_FOLDER = "physio_data"
@@ -248,6 +249,8 @@ def _read_metric(
                     continue
                 if metric == "hr" and expand_sessions and "jsonData" in columns:
                     raw = explode_sessions(raw)
+                elif metric != "hr" and len(columns) == 1:
+                    raw = unnest_only_column(raw, columns[0])
                 raw = flatten_structs(raw)
                 frames.append(standardize_export(raw, metric, mode))
     return [f for f in frames if f is not None]

@@ -138,13 +138,17 @@ def explode_sessions(df: DataFrame, nested: str = "jsonData") -> DataFrame:
     return exploded.select(columns)
 
 
-def unnest_first_column(df: DataFrame, column: str) -> DataFrame:
-    """Use the objects nested in one column as the table's rows."""
+def unnest_only_column(df: DataFrame, column: str) -> DataFrame:
+    """Use the objects nested in an export's only column as its rows.
+
+    Columns that describe the row's origin are kept beside them.
+    """
     dtype = df.schema[column].dataType
+    others = [f"`{c}`" for c in df.columns if c != column]
     if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StructType):
-        return flatten_structs(df.select(F.inline(column)))
+        return flatten_structs(df.select(*others, F.inline(f"`{column}`")))
     if isinstance(dtype, T.StructType):
-        return flatten_structs(df.select(f"`{column}`.*"))
+        return flatten_structs(df.select(*others, f"`{column}`.*"))
     return df
 
 
