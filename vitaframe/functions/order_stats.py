@@ -33,48 +33,16 @@ def _counted(df: DataFrame, keys: list[str], value: str, weight: str | None) ->
     )
 
 
-def _bands(counted: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Bands with their size, the rows before them and the group's totals.
-
-    Squares are summed around the band's lower edge and then around the group's
-    mean, so that a small spread far from zero keeps its digits.
-    """
-    group = f"PARTITION BY {', '.join(keys)}"
-    upto = f"{group} ORDER BY _band ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    edge = f"signum(_band) * expm1(abs(_band) / {BANDS_PER_E_FOLD}D)"
-    off = f"(CAST({value} AS DOUBLE) - {edge})"
+def _bands(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Bands with their size, the rows before them and the rows of the group."""
+    group = f"PARTITION BY {', '.join(keys)} ORDER BY _band ROWS BETWEEN UNBOUNDED PRECEDING AND"
     return (
         counted.groupBy(*keys, "_band")
-        .agg(
-            F.expr("sum(_count) AS _size"),
-            F.expr(f"sum({off} * _count) AS _off"),
-            F.expr(f"sum({off} * {off} * _count) AS _off2"),
-            F.expr(f"min(CAST({value} AS DOUBLE)) AS _min"),
-            F.expr(f"max(CAST({value} AS DOUBLE)) AS _max"),
-        )
-        .selectExpr(
-            *keys,
-            "_band",
-            "_size",
-            f"{edge} + _off / _size AS _middle",
-            "_off2 - _off * _off / _size AS _inner",
-            f"sum(_size) OVER ({upto}) - _size AS _before",
-            f"sum(_size) OVER ({group}) AS _total",
-            f"min(_min) OVER ({group}) AS _min",
-            f"max(_max) OVER ({group}) AS _max",
-        )
-        .selectExpr("*", f"sum(_middle * _size) OVER ({group}) / _total AS _mean")
+        .agg(F.expr("sum(_count) AS _size"))
         .selectExpr(
-            *keys,
-            "_band",
-            "_size",
-            "_before",
-            "_total",
-            "_min",
-            "_max",
-            "_mean",
-            f"sum(greatest(_inner, 0D) + _size * (_middle - _mean) * (_middle - _mean)) "
-            f"OVER ({group}) AS _squares",
+            "*",
+            f"sum(_size) OVER ({group} CURRENT ROW) - _size AS _before",
+            f"sum(_size) OVER ({group} UNBOUNDED FOLLOWING) AS _total",
         )
     )
 
@@ -99,7 +67,7 @@ def value_positions(
     ties averaged).
     """
     counted = _counted(df, keys, value, weight)
-    placed = _positions(counted, _bands(counted, keys, value), keys, value)
+    placed = _positions(counted, _bands(counted, keys), keys, value)
     return placed.selectExpr(
         *keys,
         value,
@@ -110,18 +78,14 @@ def value_positions(
     )
 
 
-def group_summary(
+def exact_quantiles(
     df: DataFrame,
     keys: list[str],
     value: str,
     probabilities: dict[str, float],
     weight: str | None = None,
 ) -> DataFrame:
-    """Count, mean, population deviation, extremes and exact quantiles.
-
-    Quantiles interpolate linearly; ``probabilities`` names their columns. All
-    figures come from the distinct values, so rows are shuffled once.
-    """
+    """Quantiles with linear interpolation, one column per named probability."""
     counted = _counted(df, keys, value, weight)
     spots = {name: f"CAST(_total - 1 AS DOUBLE) * {float(p)}D" for name, p in probabilities.items()}
     ranks = {}
@@ -130,15 +94,14 @@ def group_summary(
         ranks[f"{name}_hi"] = f"ceil({spot})"
     # Only bands that hold a wanted rank are needed from here on.
     wanted = f"array({', '.join(ranks.values())})"
-    bands = _bands(counted, keys, value).where(
+    bands = _bands(counted, keys).where(
         f"exists({wanted}, k -> k >= _before AND k < _before + _size)"
     )
-    carried = ["_total", "_mean", "_squares", "_min", "_max"]
     picked = (
         _positions(counted, bands, keys, value)
         .groupBy(*keys)
         .agg(
-            *[F.expr(f"max({c}) AS {c}") for c in carried],
+            F.expr("max(_total) AS _total"),
             *[
                 F.expr(
                     f"max(CASE WHEN {k} >= _start AND {k} < _start + _count THEN {value} END) AS {name}"
@@ -149,14 +112,26 @@ def group_summary(
     )
     return picked.selectExpr(
         *keys,
-        "_total AS n",
-        # Values that are all equal have no spread, whatever rounding leaves.
-        "CASE WHEN _min = _max THEN _min ELSE _mean END AS mean",
-        "CASE WHEN _min = _max THEN 0D ELSE sqrt(_squares / _total) END AS std",
-        "_min AS min",
-        "_max AS max",
         *[
             f"{name}_lo + ({name}_hi - {name}_lo) * ({spot} - floor({spot})) AS {name}"
             for name, spot in spots.items()
         ],
     )
+
+
+def group_summary(
+    df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]
+) -> DataFrame:
+    """Count, mean, population deviation, extremes and exact quantiles.
+
+    Both halves end up partitioned by the keys, so joining them moves nothing.
+    """
+    known = df.where(f"{value} IS NOT NULL AND NOT isnan(CAST({value} AS DOUBLE))")
+    moments = known.groupBy(*keys).agg(
+        F.expr("count(1) AS n"),
+        F.expr(f"avg({value}) AS mean"),
+        F.expr(f"stddev_pop({value}) AS std"),
+        F.expr(f"min({value}) AS min"),
+        F.expr(f"max({value}) AS max"),
+    )
+    return moments.join(exact_quantiles(df, keys, value, probabilities), keys)
