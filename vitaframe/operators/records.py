@@ -40,9 +40,14 @@ def metric_types(records: DataFrame) -> DataFrame:
 
 
 def record_counts(records: DataFrame) -> DataFrame:
-    """Rows, participants and metrics of a record table."""
-    return records.agg(
-        F.count(F.lit(1)).alias("records"),
+    """Rows, participants and metrics of a record table.
+
+    Counted per participant and metric first, so that the distinct counts run
+    over a small table.
+    """
+    per_group = records.groupBy("participant_id", "metric_type").agg(F.count(F.lit(1)).alias("n"))
+    return per_group.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("records"),
         F.countDistinct("participant_id").alias("participants"),
         F.countDistinct("metric_type").alias("metrics"),
     )

@@ -6,6 +6,8 @@ and only fixed values and texts are taken from the library.
 
 from __future__ import annotations
 
+import re
+
 from vitaframe.config import CORRELATION_PAIRS, METRICS
 from vitaframe.sources.tables import EVENT_SETTINGS
 from vitaframe.texts import (
@@ -532,11 +534,9 @@ cte(
 
 def _needed(text: str) -> list[tuple[str, str]]:
     """The common table expressions a query uses, in order."""
-    import re
-
     wanted: set[str] = set()
     pending = [text]
-    names = {name: body for name, body in CTES}
+    names = dict(CTES)
     while pending:
         body = pending.pop()
         for word in set(re.findall(r"[a-z_0-9]+", body)):

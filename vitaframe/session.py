@@ -63,4 +63,4 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
         checkpoint_dir(spark), f"{spark.sparkContext.applicationId}-{name}"
     )
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
