@@ -15,21 +15,26 @@ from pyspark.sql import functions as F
 BANDS_PER_E_FOLD = 16384.0
 
 
+def _known(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Rows with a group and a number."""
+    present = " AND ".join(f"{c} IS NOT NULL" for c in [*keys, value])
+    return df.where(f"{present} AND NOT isnan(CAST({value} AS DOUBLE))")
+
+
 def _counted(df: DataFrame, keys: list[str], value: str, weight: str | None) -> DataFrame:
     """Distinct values of each group with their number and band.
 
-    The band is a whole number that never decreases as the value grows.
+    The band is a whole number that never decreases as the value grows. It is
+    never null, and saying so keeps Spark from filtering the two uses of this
+    table differently: it is then shuffled once and reused.
     """
     count = f"sum({weight})" if weight else "count(1)"
+    place = f"floor(log1p(abs(CAST({value} AS DOUBLE))) * {BANDS_PER_E_FOLD}D)"
     return (
-        df.where(f"{value} IS NOT NULL AND NOT isnan(CAST({value} AS DOUBLE))")
+        _known(df, keys, value)
         .groupBy(*keys, value)
         .agg(F.expr(f"{count} AS _count"))
-        .selectExpr(
-            "*",
-            f"CAST(signum({value}) * floor(log1p(abs(CAST({value} AS DOUBLE))) * "
-            f"{BANDS_PER_E_FOLD}D) AS BIGINT) AS _band",
-        )
+        .selectExpr("*", f"coalesce(CAST(signum({value}) * {place} AS BIGINT), 0L) AS _band")
     )
 
 
@@ -126,8 +131,7 @@ def group_summary(
 
     Both halves end up partitioned by the keys, so joining them moves nothing.
     """
-    known = df.where(f"{value} IS NOT NULL AND NOT isnan(CAST({value} AS DOUBLE))")
-    moments = known.groupBy(*keys).agg(
+    moments = _known(df, keys, value).groupBy(*keys).agg(
         F.expr("count(1) AS n"),
         F.expr(f"avg({value}) AS mean"),
         F.expr(f"stddev_pop({value}) AS std"),

@@ -52,11 +52,13 @@ def outlier_gaps(cleaned: DataFrame, by: Sequence[str] = BY_METRIC) -> DataFrame
     sorted in one place.
     """
     keys = list(by)
+    present = " AND ".join(f"{c} IS NOT NULL" for c in [*keys, "datetime"])
+    # The hour is never null; saying so lets both uses below share one shuffle.
     moments = (
-        cleaned.where(F.col("quality_flag") == OUTLIER)
+        cleaned.where((F.col("quality_flag") == OUTLIER) & F.expr(present))
         .groupBy(*keys, F.col("datetime").alias("at"))
         .agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn("_hour", F.date_trunc("hour", "at"))
+        .withColumn("_hour", F.expr("coalesce(unix_micros(at) div 3600000000, 0L)"))
     )
     hours = moments.groupBy(*keys, "_hour").agg(F.max("at").alias("_last"))
     earlier = hours.select(
