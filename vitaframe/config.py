@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,15 +38,7 @@ CORRELATION_PAIRS = [
     ("spo2", "bp"),
 ]
 
-# Units, display names and the names used by daily deviations.
-UNITS = {
-    "bp": "mmHg",
-    "sleep": "hours",
-    "steps": "steps",
-    "hr": "bpm",
-    "spo2": "%",
-    "temp": "°F",
-}
+# Display names and the names used by daily deviations.
 METRIC_TITLES = {
     "bp": "Blood Pressure",
     "sleep": "Sleep Quality",
@@ -157,9 +149,6 @@ class Settings:
     min_days: int = 7
     rolling_window: int = 14
 
-    def with_rules(self, **changes) -> "Settings":
-        return replace(self, rules=replace(self.rules, **changes))
-
 
 DEFAULTS = Settings()
 
