@@ -6,6 +6,7 @@ from vitaframe.llm.jaccard_join import op10_jaccard_join
 from vitaframe.llm.language_id import op8_language_id
 from vitaframe.llm.mixing import OP6_SQL, op6_mixing
 from vitaframe.llm.quality_rules import OP1_SQL, op1_quality_rules
+from vitaframe.llm.suffix_dedup import op7_suffix_dedup
 from vitaframe.llm.toxicity import op9_toxicity
 from vitaframe.llm.warc import OP4_SQL, op4_warc
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_warc": op4_warc,
     "op6_mixing": op6_mixing,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
