@@ -1,6 +1,7 @@
 """The operators of this package as queries, and SQL where SQL can say it."""
 
 from vitaframe.llm.bpe import op2_bpe
+from vitaframe.llm.compact_windows import op5_substring_dedup
 from vitaframe.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from vitaframe.llm.jaccard_join import op10_jaccard_join
 from vitaframe.llm.language_id import op8_language_id
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_warc": op4_warc,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_mixing": op6_mixing,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_language_id": op8_language_id,
