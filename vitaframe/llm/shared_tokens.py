@@ -13,17 +13,18 @@ Cutting tokens to fewer bits can only name too many tokens, never too few.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 BLOCK_TOKENS = 1 << 20
-RANGE_TOKENS = 1 << 21
+RANGE_TOKENS = 1 << 19
 LEAST_RANGES = 64
 
 
@@ -38,29 +39,35 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel()
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+def _token_lists(batches: Iterator[pa.RecordBatch], tokens_of: Callable | None) -> Iterator[tuple]:
+    """id and tokens of every row."""
+    for batch in batches:
+        for i, value in zip(batch.column(0), batch.column(1), strict=True):
+            if tokens_of is None:
+                yield i.as_py(), value.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            else:
+                yield i.as_py(), tokens_of(value.as_py())
+
+
+def _blocks(rows: Iterator[tuple]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """ids, tokens and the place of each token's document, up to a size."""
     ids, parts, size = [], [], 0
-    for batch in batches:
-        lists = batch.column(1)
-        values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        lengths = np.diff(lists.offsets.to_numpy())
-        at = 0
-        for i, n in zip(batch.column(0).to_pylist(), lengths.tolist(), strict=True):
-            if n:
-                ids.append(i)
-                parts.append(values[at : at + n])
-                size += n
-            at += n
-            if size >= BLOCK_TOKENS:
-                yield ids, np.concatenate(parts), np.repeat(np.arange(len(ids)), [len(p) for p in parts])
-                ids, parts, size = [], [], 0
+    for i, tokens in rows:
+        if len(tokens):
+            ids.append(i)
+            parts.append(tokens)
+            size += len(tokens)
+        if size >= BLOCK_TOKENS:
+            yield ids, np.concatenate(parts), np.repeat(np.arange(len(ids)), [len(p) for p in parts])
+            ids, parts, size = [], [], 0
     if ids:
         yield ids, np.concatenate(parts), np.repeat(np.arange(len(ids)), [len(p) for p in parts])
 
 
-def shared_tokens(rows: DataFrame, total: int) -> DataFrame:
-    """``rows``: id, tokens (array<bigint>, distinct within a row); ``total`` of them.
+def shared_tokens(rows: DataFrame, total: int, tokens_of: Callable | None = None) -> DataFrame:
+    """``rows``: id, tokens (array<bigint>, distinct within a row); about ``total`` of them.
+
+    With ``tokens_of`` the second column is a text, and this gives its tokens.
 
     Returns id and the upper bits of the tokens that another row holds, too, in one or
     more rows per id; ``is_shared`` compares them. Tokens may be reported in vain at the rate of chance hits of cut hashes.
@@ -71,7 +78,7 @@ def shared_tokens(rows: DataFrame, total: int) -> DataFrame:
     shift = np.uint64(64 - cut_bits(total))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, tokens, owner in _blocks(batches):
+        for ids, tokens, owner in _blocks(_token_lists(batches, tokens_of)):
             order = np.argsort(tokens, kind="stable")
             tokens, owner = tokens[order], owner[order]
             # The range of a token: its upper 32 bits, scaled.
@@ -114,7 +121,7 @@ def shared_tokens(rows: DataFrame, total: int) -> DataFrame:
         lists = np.split(token, starts[1:]) if len(starts) else []
         return pd.DataFrame({"id": [ids[o] for o in owner[starts]], "tokens": pd.Series(lists, dtype=object)})
 
-    sent = rows.select("id", "tokens").mapInArrow(send, f"part int, steps binary, places binary, ids array<{kind}>")
+    sent = rows.mapInArrow(send, f"part int, steps binary, places binary, ids array<{kind}>")
     return sent.groupBy("part").applyInPandas(meet, f"id {kind}, tokens array<bigint>")
 
 
@@ -126,3 +133,33 @@ def cut_bits(total: int) -> int:
 def is_shared(tokens: np.ndarray, shared: np.ndarray, total: int) -> np.ndarray:
     """Which of a row's tokens are among those returned for it."""
     return np.isin(tokens.view(np.uint64) >> np.uint64(64 - cut_bits(total)), shared.view(np.uint64))
+
+
+SLOT_BITS = 26
+BUCKET_BITS = 1 << 15  # of Spark's bitmap functions
+
+
+def slot_of(column: Column) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(1 << SLOT_BITS)) + 1
+
+
+def id_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """A bit per slot that tells whether an id of the table falls into it.
+
+    8 MB, whatever the table. With very many ids it lets others pass as well, so
+    what it lets through is joined with the ids afterwards.
+    """
+    slots = ids.select(slot_of(F.col(column)).alias("slot"))
+    parts = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
+    )
+    out = np.zeros((1 << SLOT_BITS) // 8, np.uint8)
+    size = BUCKET_BITS // 8
+    for bucket, bits in parts.collect():
+        out[(bucket - 1) * size : bucket * size] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def passes(bits: np.ndarray, slot: int) -> bool:
+    """``slot`` as given by ``slot_of``."""
+    return bool(bits[(slot - 1) >> 3] >> ((slot - 1) & 7) & 1)

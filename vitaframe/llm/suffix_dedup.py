@@ -77,16 +77,8 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at, hashes[at]
 
 
-def _anchor_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(1)
-        for k in range(0, len(batch), 1000):
-            found = [np.unique(anchors(t.as_py().encode("utf-8", "surrogatepass"))[1]).view(np.int64) for t in texts[k : k + 1000]]
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            values = pa.array(np.concatenate(found) if found else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[k : k + 1000], pa.ListArray.from_arrays(pa.array(ends), values)], ["id", "tokens"]
-            )
+def anchor_tokens(text: str) -> np.ndarray:
+    return np.unique(anchors(text.encode("utf-8", "surrogatepass"))[1])
 
 
 def splitters(docs: DataFrame, n_docs: int, ranges: int) -> list[bytes]:
@@ -306,8 +298,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     """
     size, n_docs = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
     total = max(1, 2 * size // (REACH + 2))
-    tokens = docs.mapInArrow(_anchor_tokens, "id long, tokens array<bigint>")
-    shared = shared_tokens(tokens, total).groupBy("id").agg(F.flatten(F.collect_list("tokens")).alias("shared"))
+    shared = shared_tokens(docs, total, anchor_tokens).groupBy("id").agg(F.flatten(F.collect_list("tokens")).alias("shared"))
     shared = stage(shared.withColumnRenamed("id", "s_id"), "suffix-shared")
     cuts = splitters(docs, n_docs, max(64, -(-size // RANGE_BYTES)))
     rows = docs.join(shared, F.col("id") == F.col("s_id")).select("id", "text", "shared")
