@@ -35,12 +35,12 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitaframe.llm.common import read_table, stage
 from vitaframe.llm.components import components
-from vitaframe.llm.shared_tokens import is_shared, shared_tokens
+from vitaframe.llm.shared_tokens import id_filter, is_shared, passes, shared_tokens, slot_of
 
 COUNT_BITS = 22
 COUNT_PARTS = 64
@@ -191,30 +191,48 @@ def join_components(
     # Classes that could share enough with any other at all.
     able = entries.filter(100 * F.col("at_most") >= threshold * F.col("n"))
     heads = able.groupBy("token").agg(
-        F.min(F.struct((F.col("n") - F.col("at_most")).alias("front"), "node", "n")).alias("head"), F.count(F.lit(1)).alias("held")
+        F.min(F.struct((F.col("n") - F.col("at_most")).alias("front"), "node", "n", "matches", "at_most")).alias("head"),
+        F.count(F.lit(1)).alias("held"),
     )
-    heads = heads.filter("held > 1").select(F.col("token").alias("t"), F.col("head.node").alias("a"), F.col("head.n").alias("na"))
-    able = stage(able.join(heads, F.col("token") == F.col("t")).drop("t"), "join-able")
+    heads = heads.filter("held > 1").select(F.col("token").alias("x_token"), *[F.col(f"head.{c}").alias(f"x_{c}") for c in ("node", "n", "matches", "at_most")])
+    able = stage(able.join(heads, F.col("token") == F.col("x_token")).drop("x_token"), "join-able")
+
+    def may_link(x: str, y: str) -> Column:
+        """Whether sizes, and what can be shared at most, allow a link."""
+        n1, n2 = F.col(f"{x}n"), F.col(f"{y}n")
+        bound = F.least(F.col(f"{x}at_most"), F.col(f"{y}at_most"))
+        return (100 * F.least(n1, n2) >= threshold * F.greatest(n1, n2)) & (100 * bound >= threshold * (n1 + n2 - bound))
+
+    def counted(met: DataFrame, x: str, y: str) -> DataFrame:
+        """The pairs that share as many prefix n-grams as asked for."""
+        pairs = met.groupBy(F.col(f"{x}node").alias("a"), F.col(f"{y}node").alias("b")).agg(
+            F.count(F.lit(1)).alias("shared"), F.first(F.least(F.col(f"{x}matches"), F.col(f"{y}matches"))).alias("needed")
+        )
+        return pairs.filter("shared >= needed").select("a", "b")
 
-    def alike(n1, n2):
-        return (100 * F.least(n1, n2) >= threshold * F.greatest(n1, n2))
-
-    pairs = able.filter(F.col("a") != F.col("node")).filter(alike(F.col("na"), F.col("n")))
-    pairs = stage(pairs.select("a", F.col("node").alias("b")).distinct(), "join-pairs")
-    wanted = able.select(F.col("node").alias("w")).distinct()
-    texts_wanted = texts.join(wanted, F.col("id") == F.col("w")).select("id", "text")
     kind = texts.schema["id"].dataType.simpleString()
 
-    def full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k in range(0, len(batch), 500):
-                part = batch.iloc[k : k + 500]
-                yield pd.DataFrame({"node": part["id"], "tokens": pd.Series([shingles(t, n).view(np.int64) for t in part["text"]], part.index, object)})
-
-    sets = texts_wanted.mapInPandas(full_sets, f"node {kind}, tokens array<bigint>")
-    # A repeated row of a document gives the same set again.
-    sets = stage(sets.dropDuplicates(["node"]), "join-full-sets")
-    links = stage(_verify(pairs, sets, threshold), "join-links")
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """The whole sets of the nodes in pairs. Texts stay where they are."""
+        wanted = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w")))
+        bits = spark.sparkContext.broadcast(id_filter(wanted, "w"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                chosen = [k for k, slot in enumerate(batch.column(2).to_pylist()) if passes(bits.value, slot)]
+                for k in range(0, len(chosen), 500):
+                    part = chosen[k : k + 500]
+                    found = [shingles(batch.column(1)[i].as_py(), n).view(np.int64) for i in part]
+                    ends = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
+                    lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(part)), lists], ["node", "tokens"])
+
+        slots = texts.filter(F.col("id").isNotNull()).select("id", "text", slot_of(F.col("id")).alias("slot"))
+        return stage(slots.mapInArrow(run, f"node {kind}, tokens array<bigint>"), "join-full-sets")
+
+    star = able.filter((F.col("x_node") != F.col("node")) & may_link("x_", ""))
+    pairs = stage(counted(star, "x_", ""), "join-pairs")
+    links = stage(_verify(pairs, sets_of(pairs), threshold), "join-links")
     found = components(links)
 
     named = able.select("token", "node", "n", "matches", "at_most").join(
@@ -225,18 +243,10 @@ def join_components(
     rest = stage(named.join(torn.select(F.col("token").alias("t")), F.col("token") == F.col("t")).drop("t"), "join-rest")
     x = rest.select([F.col(c).alias(f"x_{c}") for c in rest.columns])
     y = rest.select([F.col(c).alias(f"y_{c}") for c in rest.columns])
-    bound = F.least("x_at_most", "y_at_most")
-    enough = 100 * bound >= threshold * (F.col("x_n") + F.col("y_n") - bound)
-    met = x.join(
-        y,
-        (F.col("x_token") == F.col("y_token")) & (F.col("x_comp") < F.col("y_comp")) & alike(F.col("x_n"), F.col("y_n")) & enough,
-    )
-    met = met.groupBy(F.col("x_node").alias("a"), F.col("y_node").alias("b")).agg(
-        F.count(F.lit(1)).alias("shared"), F.first(F.least("x_matches", "y_matches")).alias("needed")
-    )
-    more = stage(met.filter("shared >= needed").select("a", "b"), "join-more")
+    across = (F.col("x_token") == F.col("y_token")) & (F.col("x_comp") < F.col("y_comp")) & may_link("x_", "y_")
+    more = stage(counted(x.join(y, across), "x_", "y_"), "join-more")
     if not more.isEmpty():
-        links = stage(links.unionByName(_verify(more, sets, threshold)), "join-all-links")
+        links = stage(links.unionByName(_verify(more, sets_of(more), threshold)), "join-all-links")
         found = components(links)
     answer = nodes.join(found.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left").select(
         F.col("set_id").alias("s"), F.coalesce("component", "node").alias("component_id")
