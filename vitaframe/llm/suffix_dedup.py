@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from vitaframe.llm.common import read_table, stage
 from vitaframe.llm.jaccard_join import mixed
-from vitaframe.llm.shared_tokens import is_shared, pack, shared_tokens, unpack
+from vitaframe.llm.shared_tokens import id_filter, is_shared, pack, passes, shared_tokens, slot_of, unpack
 
 LENGTH = 50
 GRAM = 24
@@ -381,30 +381,51 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Every row's id, n_bytes, n_removed, n_spans, kept_sha256, and the bytes ``kept`` if asked for."""
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = find_repeats(slim.filter(F.col("id").isNotNull() & (F.octet_length("text") >= LENGTH)))
-    found = found.groupBy("id").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("mask")).alias("mask"))
-    rows = slim.join(found.withColumnRenamed("id", "f_id"), F.col("id") == F.col("f_id"), "left").select("id", "text", "at", "mask")
+    found = found.groupBy(F.col("id").alias("f_id")).agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("mask")).alias("mask"))
+    found = stage(found, "suffix-found")
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(found, "f_id"))
+
+    def result(doc, text, at, mask) -> tuple:
+        data = text.encode("utf-8", "surrogatepass")
+        n_removed = n_spans = 0
+        kept = data
+        if at is not None:
+            gone = covered(len(data), at, mask)
+            n_removed = int(gone.sum())
+            n_spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
+            kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+        row = (doc, len(data), n_removed, n_spans, hashlib.sha256(kept).hexdigest())
+        return (*row, kept) if with_bytes else row
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_bytes
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, slots = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            yield batch_of([result(i, batch.column(1)[k].as_py(), None, None) for k, (i, s) in enumerate(zip(ids, slots, strict=True)) if s is None or not passes(bits.value, s)])
+
+    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = batch.column(2).to_pylist()
+            yield batch.filter(pa.array([s is not None and passes(bits.value, s) for s in slots], pa.bool_()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc, text, at, mask in zip(*batch.columns, strict=True):
-                data = text.as_py().encode("utf-8", "surrogatepass")
-                n_removed = n_spans = 0
-                kept = data
-                if at.is_valid:
-                    gone = covered(len(data), at.values.to_numpy(zero_copy_only=False), mask.values.to_numpy(zero_copy_only=False))
-                    n_removed = int(gone.sum())
-                    n_spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
-                    kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                row = (doc.as_py(), len(data), n_removed, n_spans, hashlib.sha256(kept).hexdigest())
-                out.append((*row, kept) if with_bytes else row)
-            kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_bytes
-            columns = list(zip(*out, strict=True)) if out else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                lists = [x.values.to_numpy(zero_copy_only=False) if x.is_valid else None for x in (at, mask)]
+                out.append(result(doc.as_py(), text.as_py(), *lists))
+            yield batch_of(out)
 
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_bytes else [])]
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else "")
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    slots = slim.select("id", "text", F.when(F.col("id").isNotNull(), slot_of(F.col("id"))).alias("slot"))
+    some = slots.mapInArrow(touched, "id long, text string, slot long")
+    some = some.join(found, F.col("id") == F.col("f_id"), "left").select("id", "text", "at", "mask").mapInArrow(cut, schema)
+    return slots.mapInArrow(untouched, schema).unionByName(some).withColumnRenamed("id", id_col)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
