@@ -177,3 +177,18 @@ def test_mixed_json_columns(spark, tmp_path):
     assert [(r["epoch_raw"], r["value_1"]) for r in rows] == [
         (T0, 98.0), (T0 + DAY, 99.0), (T0 + 2 * DAY, 97.0), (T0 + 3 * DAY, 98.0),
     ]
+
+
+def test_epochs_no_timestamp_can_hold_become_null(spark):
+    from vitaframe.sources.standardize import parse_datetime
+
+    df = spark.createDataFrame([("1734445125000000000",), ("99999999999999",), ("1734445125",)], "t string")
+    got = [r[0] for r in df.select(parse_datetime(df["t"])).collect()]
+    assert got[:2] == [None, None] and got[2] is not None
+
+
+def test_two_staged_tables_of_one_name_do_not_meet(spark):
+    from vitaframe.session import stage_table
+
+    one, two = stage_table(spark.range(3), "same"), stage_table(spark.range(5), "same")
+    assert one.count() == 3 and two.count() == 5

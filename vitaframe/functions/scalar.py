@@ -177,3 +177,13 @@ def month_name(ts) -> Column:
 
 def clock(ts) -> Column:
     return F.date_format(ts, "HH:mm")
+
+
+# Microseconds since 1970 that a timestamp can hold.
+MAX_MICROS = 2**63 - 1
+
+
+def within_timestamps(epoch: Column, per_second: int) -> Column:
+    """The epoch, or null where no timestamp can hold it."""
+    limit = MAX_MICROS * per_second // 1_000_000
+    return F.when(epoch.between(-limit, limit), epoch)

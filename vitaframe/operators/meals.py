@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vitaframe.functions.columns import find_column
 from vitaframe.functions.order_stats import value_positions
-from vitaframe.functions.scalar import clock
+from vitaframe.functions.scalar import clock, within_timestamps
 
 RECENT_DATES = 5
 TOP_DISHES = 5
@@ -23,7 +23,7 @@ def with_meal_date(meals: DataFrame) -> DataFrame:
     """Adds the calendar date of the time in milliseconds, where it is missing."""
     if "date" in meals.columns or "time" not in meals.columns:
         return meals
-    return meals.withColumn("date", F.to_date(F.timestamp_millis("time")))
+    return meals.withColumn("date", F.to_date(F.timestamp_millis(within_timestamps(F.col("time"), 1000))))
 
 
 def daily_meals(meals: DataFrame, by: Sequence[str] = ()) -> DataFrame:

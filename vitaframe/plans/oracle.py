@@ -95,8 +95,8 @@ cte(
 )
 cte(
     "rec",
-    "SELECT * FROM ev UNION ALL "
-    "SELECT * REPLACE (pos + 1000000000 AS pos) FROM ev WHERE pos % 10 = 0",
+    "SELECT * REPLACE (2 * pos AS pos) FROM ev UNION ALL "
+    "SELECT * REPLACE (2 * pos + 1 AS pos) FROM ev WHERE pos % 10 = 0",
 )
 cte(
     "cfg",

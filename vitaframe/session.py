@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,10 +58,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, cutting its lineage."""
+    """Write ``df`` to a new place in the shared folder and read it back, cutting its lineage."""
     spark = df.sparkSession
     path = os.path.join(
-        checkpoint_dir(spark), f"{spark.sparkContext.applicationId}-{name}"
+        checkpoint_dir(spark), f"{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex[:12]}"
     )
-    df.write.mode("overwrite").parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitaframe.config import METRICS
+from vitaframe.functions.scalar import within_timestamps
 from vitaframe.schemas import (
     FILE_PATTERNS,
     LUNGS_FILE,
@@ -92,7 +93,7 @@ def discover_files(spark: SparkSession, input_dir: str) -> DataFrame:
 
 def file_date_range(files: DataFrame) -> DataFrame:
     """First and last export time by file name, with whole days between."""
-    at = F.timestamp_seconds("file_epoch")
+    at = F.timestamp_seconds(within_timestamps(F.col("file_epoch"), 1))
     return files.agg(F.min(at).alias("first"), F.max(at).alias("last")).select(
         F.to_date("first").alias("start"),
         F.to_date("last").alias("end"),
@@ -293,7 +294,7 @@ def read_meals(spark: SparkSession, input_dir: str) -> DataFrame:
         )
     except AnalysisException:
         meals = spark.createDataFrame([], MEALS_SCHEMA)
-    return meals.withColumn("date", F.to_date(F.timestamp_millis("time")))
+    return meals.withColumn("date", F.to_date(F.timestamp_millis(within_timestamps(F.col("time"), 1000))))
 
 
 def read_lungs(spark: SparkSession, input_dir: str) -> DataFrame:

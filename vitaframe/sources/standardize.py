@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from vitaframe.config import GOOD
 from vitaframe.functions.columns import first_existing
+from vitaframe.functions.scalar import within_timestamps
 from vitaframe.schemas import DECLARED_SCHEMAS, EXPORT_COLUMNS, RECORD_COLUMNS
 
 # ``corrected`` reads epochs as seconds, sleep in hours and the oximeter's own
@@ -30,7 +31,7 @@ def parse_datetime(column: Column, mode: str = "corrected") -> Column:
     if mode == "parity":
         from_epoch = F.timestamp_micros(F.floor(epoch / F.lit(1000)).cast("long"))
     else:
-        from_epoch = F.timestamp_seconds(epoch)
+        from_epoch = F.timestamp_seconds(within_timestamps(epoch, 1))
     return F.when(epoch.isNotNull(), from_epoch).otherwise(
         F.try_to_timestamp(column.cast("string"))
     )

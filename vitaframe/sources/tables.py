@@ -26,7 +26,6 @@ EVENT_METRICS = {
 USERS_PER_PARTICIPANT = 8
 # Readings whose id is a multiple of this occur a second time.
 REPEAT_EVERY = 10
-REPEAT_OFFSET = 1_000_000_000
 
 # Event values lie between 0 and a few hundred for every type, so ranges and
 # cut points are set on that scale.
@@ -98,14 +97,14 @@ def event_records(spark: SparkSession, sf_dir: str, with_repeats: bool = True) -
     ).select(RECORD_COLUMNS)
     if not with_repeats:
         return records
-    # A re-sent export: the same readings at later positions.
+    # A re-sent export: the same readings at the odd positions in between.
     copies = F.when(
         F.col("row_pos") % REPEAT_EVERY == 0,
-        F.array(F.lit(0).cast("long"), F.lit(REPEAT_OFFSET).cast("long")),
+        F.array(F.lit(0).cast("long"), F.lit(1).cast("long")),
     ).otherwise(F.array(F.lit(0).cast("long")))
     return (
         records.withColumn("_offset", F.explode(copies))
-        .withColumn("row_pos", F.col("row_pos") + F.col("_offset"))
+        .withColumn("row_pos", 2 * F.col("row_pos") + F.col("_offset"))
         .select(RECORD_COLUMNS)
     )
 
