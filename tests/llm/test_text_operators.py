@@ -115,10 +115,9 @@ def test_jaccard_join_on_odd_rows(odd, none):
     assert jaccard_join.join_components(none).count() == 0
 
 
-@pytest.mark.parametrize("n,threshold", [(3, 90), (5, 80)])
-def test_jaccard_join_equals_brute_force(spark, n, threshold):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    sets = {r[0]: set(jaccard_join.shingles(r[1], n).tolist()) for r in docs.select("doc_id", "text").collect()}
+def linked(texts, n, threshold):
+    """Per id the set size and component, from all pairs."""
+    sets = {k: set(jaccard_join.shingles(t, n).tolist()) for k, t in texts.items()}
     root = {k: k for k in sets}
 
     def find(x):
@@ -131,8 +130,30 @@ def test_jaccard_join_equals_brute_force(spark, n, threshold):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
+    return {k: (len(sets[k]), find(k)) for k in sets}
+
+
+@pytest.mark.parametrize("n,threshold", [(3, 90), (5, 80)])
+def test_jaccard_join_equals_brute_force(spark, n, threshold):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    texts = {r[0]: r[1] for r in docs.select("doc_id", "text").collect()}
     got = {r[0]: (r[1], r[2]) for r in jaccard_join.join_components(docs, n, threshold).collect()}
-    assert got == {k: (len(sets[k]), find(k)) for k in sets}
+    assert got == linked(texts, n, threshold)
+
+
+@pytest.mark.parametrize("lead", [1, 3, 64])
+def test_jaccard_join_among_many_near_copies(spark, monkeypatch, lead):
+    """Copies of one text of which some are links and most are not, wherever the shared n-grams lie."""
+    monkeypatch.setattr(jaccard_join, "LEAD", lead)
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(120):
+        words = [f"w{k}" for k in range(200)]
+        for k in rng.choice(200, int(rng.integers(1, 7)), replace=False):
+            words[k] = f"v{rng.integers(0, 40)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r[0]: (r[1], r[2]) for r in jaccard_join.join_components(docs, 3, 90).collect()} == linked(dict(rows), 3, 90)
 
 
 def test_suffix_dedup_equals_brute_force(spark, odd, none):

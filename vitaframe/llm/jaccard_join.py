@@ -12,8 +12,9 @@ Only prefix n-grams held by several classes travel on. Candidates are verified i
 two rounds. First every class meets, per shared n-gram, the class in which that
 n-gram stands most to the front, which ties groups of near copies together without
 listing their pairs. Then classes of different components meet wherever they share
-an n-gram, the shared n-grams are counted, and what passes is verified. So no link
-between components is missed, and pairs inside a component are not listed.
+an n-gram; a pair is put out once, at the n-gram that completes the shared ones asked
+for, and verified. So no link between components is missed, and pairs inside a
+component, or that share too little, are not listed.
 
 Frequencies are counted over all documents in a table of fixed size (2^22 counts);
 it only decides the order. N-grams are 64-bit hashes of words.
@@ -46,6 +47,8 @@ COUNT_BITS = 22
 COUNT_PARTS = 64
 LONGEST_MATCH = 4
 VERIFY_COST = 20
+# So many of a class's shared prefix n-grams travel with each of its entries.
+LEAD = 64
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -140,8 +143,9 @@ def _sets(texts: DataFrame, n: int, threshold: int, counts) -> DataFrame:
 
 
 def _postings(nodes: DataFrame, total: int) -> DataFrame:
-    """token, node, n, matches, at_most: prefix n-grams that several nodes hold.
+    """token, node, n, matches, at_most, place: prefix n-grams that several nodes hold.
 
+    ``place`` counts the node's shared ones before it.
     ``at_most`` bounds how many n-grams the node can share with a node that it
     meets at this entry: what comes after, it, and the shared ones before it.
     """
@@ -158,10 +162,33 @@ def _postings(nodes: DataFrame, total: int) -> DataFrame:
                     tokens = np.asarray(tokens, np.int64)
                     at = np.flatnonzero(is_shared(tokens, np.asarray(shared, np.int64), total))
                     at_most = np.arange(len(at)) + n - at
-                    parts.append(pd.DataFrame({"token": tokens[at], "node": node, "n": n, "matches": matches, "at_most": at_most}))
+                    parts.append(pd.DataFrame({"token": tokens[at], "node": node, "n": n, "matches": matches, "at_most": at_most, "place": np.arange(len(at))}))
                 yield pd.concat(parts)
 
-    return rows.mapInPandas(run, f"token long, node {kind}, n long, matches int, at_most long")
+    return rows.mapInPandas(run, f"token long, node {kind}, n long, matches int, at_most long, place int")
+
+
+def _across(rest: DataFrame, leads: DataFrame, may_link: Column) -> DataFrame:
+    """The pairs (a, b) of different components that share enough prefix n-grams.
+
+    ``leads``: node and its first LEAD shared n-grams, in order. The order is the same
+    for all, so the shared ones before an entry tell which match it is. Where both
+    places lie within LEAD only the match that completes a pair is put out; further on
+    each match is, and counted, for pairs not complete within LEAD.
+    """
+    rows = rest.join(leads, F.col("node") == F.col("l_node")).drop("l_node")
+    rows = stage(rows.withColumn("before", F.slice("lead", F.lit(1), F.least("place", F.lit(LEAD)))).drop("lead"), "join-leads")
+    x = rows.select([F.col(c).alias(f"x_{c}") for c in rows.columns])
+    y = rows.select([F.col(c).alias(f"y_{c}") for c in rows.columns])
+    needed = F.least("x_matches", "y_matches")
+    earlier = F.size(F.array_intersect("x_before", "y_before"))
+    near = (F.col("x_place") < LEAD) & (F.col("y_place") < LEAD)
+    wanted = F.when(near, earlier == needed - 1).otherwise(earlier < needed)
+    met = x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("x_comp") < F.col("y_comp")) & may_link & wanted)
+    pairs = met.groupBy(F.col("x_node").alias("a"), F.col("y_node").alias("b")).agg(
+        F.max(near).alias("complete"), F.count_if(~near).alias("further"), F.max(earlier).alias("earlier"), F.first(needed).alias("needed")
+    )
+    return pairs.filter("complete OR earlier + further >= needed").select("a", "b")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -235,16 +262,18 @@ def join_components(
     links = stage(_verify(pairs, sets_of(pairs), threshold), "join-links")
     found = components(links)
 
-    named = able.select("token", "node", "n", "matches", "at_most").join(
+    named = able.select("token", "node", "n", "matches", "at_most", "place").join(
         found.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left"
     )
     named = stage(named.withColumn("comp", F.coalesce("component", "node")).drop("c_node", "component"), "join-named")
     torn = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
     rest = stage(named.join(torn.select(F.col("token").alias("t")), F.col("token") == F.col("t")).drop("t"), "join-rest")
-    x = rest.select([F.col(c).alias(f"x_{c}") for c in rest.columns])
-    y = rest.select([F.col(c).alias(f"y_{c}") for c in rest.columns])
-    across = (F.col("x_token") == F.col("y_token")) & (F.col("x_comp") < F.col("y_comp")) & may_link("x_", "y_")
-    more = stage(counted(x.join(y, across), "x_", "y_"), "join-more")
+    torn_nodes = rest.select(F.col("node").alias("t_node")).distinct()
+    first = entries.filter(F.col("place") < LEAD).join(torn_nodes, F.col("node") == F.col("t_node"), "left_semi")
+    leads = first.groupBy(F.col("node").alias("l_node")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda e: e["token"]).alias("lead")
+    )
+    more = stage(_across(rest, leads, may_link("x_", "y_")), "join-more")
     if not more.isEmpty():
         links = stage(links.unionByName(_verify(more, sets_of(more), threshold)), "join-all-links")
         found = components(links)
