@@ -48,7 +48,7 @@ COUNT_PARTS = 64
 LONGEST_MATCH = 4
 VERIFY_COST = 20
 # So many of a class's shared prefix n-grams travel with each of its entries.
-LEAD = 64
+LEAD = 16
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
