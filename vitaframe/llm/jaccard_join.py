@@ -95,13 +95,14 @@ def count_ngrams(texts: DataFrame, n: int) -> np.ndarray:
         for blob in group["counts"]:
             planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
             total += np.ascontiguousarray(planes.T).view("<u4").ravel()
+        total = np.minimum(total, np.iinfo(np.uint32).max).astype("<u4")
         return pd.DataFrame({"part": [key[0]], "counts": [total.tobytes()]})
 
     parts = texts.select("text").mapInPandas(count, "part int, counts binary")
-    out = np.zeros(1 << COUNT_BITS, np.uint64)
+    out = np.zeros(1 << COUNT_BITS, np.uint32)
     for row in parts.groupBy("part").applyInPandas(add, "part int, counts binary").collect():
-        out[row[0] * width : (row[0] + 1) * width] = np.frombuffer(row[1], np.uint64)
-    return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32)
+        out[row[0] * width : (row[0] + 1) * width] = np.frombuffer(row[1], "<u4")
+    return out
 
 
 def prefix(found: np.ndarray, counts: np.ndarray, threshold: int) -> tuple[np.ndarray, int]:
@@ -210,6 +211,7 @@ def join_components(
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counts = spark.sparkContext.broadcast(count_ngrams(texts, n))
     rows = stage(_sets(texts, n, threshold, counts), "join-sets")
+    counts.destroy()  # what was made from it is staged
     usable = rows.filter("n > 0 AND id IS NOT NULL")
     classes = usable.groupBy("set_id", "n", "matches").agg(F.min("id").alias("node"), F.first("tokens").alias("tokens"))
     nodes = stage(classes, "join-classes")
@@ -255,7 +257,9 @@ def join_components(
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(part)), lists], ["node", "tokens"])
 
         slots = texts.filter(F.col("id").isNotNull()).select("id", "text", slot_of(F.col("id")).alias("slot"))
-        return stage(slots.mapInArrow(run, f"node {kind}, tokens array<bigint>"), "join-full-sets")
+        sets = stage(slots.mapInArrow(run, f"node {kind}, tokens array<bigint>"), "join-full-sets")
+        bits.destroy()
+        return sets
 
     star = able.filter((F.col("x_node") != F.col("node")) & may_link("x_", ""))
     pairs = stage(counted(star, "x_", ""), "join-pairs")
