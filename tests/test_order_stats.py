@@ -72,15 +72,34 @@ def test_p_values(spark):
     assert p[9] == pytest.approx(1 - 2 / np.pi * np.arcsin(0.7), abs=1e-12)
 
 
-def test_large_samples_agree_with_the_series(spark, monkeypatch):
-    from vitaframe.functions import scalar
-
-    df = spark.createDataFrame([(r / 500, n) for r in range(0, 60, 7) for n in (1001, 1500, 4000)], "r double, n long")
-    quick = df.withColumn("p", correlation_p_value("r", "n")).collect()
-    monkeypatch.setattr(scalar, "SERIES_LIMIT", 10**9)
-    exact = df.withColumn("p", correlation_p_value("r", "n")).collect()
-    for a, b in zip(quick, exact, strict=True):
-        assert a["p"] == pytest.approx(b["p"], abs=1e-10)
+def exact_tail(r, n):
+    """Integral of cos**(n - 3) above asin r over the one from 0, by the recurrence in the power, as fractions of the whole."""
+    from fractions import Fraction
+
+    q, power = Fraction(r) ** 2, n - 3
+    # Even n: an odd power, a polynomial in r.
+    assert power % 2 == 1
+    term = total = Fraction(1)
+    for j in range(1, (power - 1) // 2 + 1):
+        term *= (1 - q) * Fraction(2 * j - 1, 2 * j)
+        total += term
+    return float(1 - Fraction(r) * total)
+
+
+def test_p_values_for_any_number_of_pairs(spark):
+    rows = [(r, n) for r in (0.03125, 0.125, 0.25, 0.5, 0.75) for n in (4, 6, 10, 40, 200, 998, 1000, 1002)]
+    df = spark.createDataFrame(rows, "r double, n long")
+    for row in df.withColumn("p", correlation_p_value("r", "n")).collect():
+        assert row["p"] == pytest.approx(exact_tail(row["r"], row["n"]), rel=1e-10)
+    # No jump anywhere, and no null, up to very many pairs.
+    many = spark.range(990, 1010).select(F.col("id").alias("n"), F.lit(0.1).alias("r"))
+    p = [x["p"] for x in many.withColumn("p", correlation_p_value("r", "n")).orderBy("n").collect()]
+    steps = np.diff(np.log(p))
+    assert (steps < 0).all() and np.allclose(steps, steps[0], rtol=0.01)
+    big = spark.createDataFrame([(1e-4, 10**9), (1e-6, 10**9), (0.5, 10**6)], "r double, n long")
+    p = [x["p"] for x in big.withColumn("p", correlation_p_value("r", "n")).collect()]
+    # Normal tails at z = sqrt(10) and sqrt(0.001), and a value below the smallest double.
+    assert p[0] == pytest.approx(0.001565402258, rel=1e-6) and p[1] == pytest.approx(0.974773, rel=1e-5) and p[2] == 0.0
 
 
 def test_number_texts(spark):

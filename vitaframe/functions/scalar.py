@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from numpy.polynomial.legendre import leggauss
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Largest sample for which the exact finite series of the t distribution is summed.
-SERIES_LIMIT = 1000
-# Terms of the normal-distribution series; enough for |z| <= 9.
-NORMAL_TERMS = 200
+# Gauss-Legendre nodes and weights on [0, 1] for the integrals behind a p-value.
+NODES = [((x + 1.0) / 2.0, w / 2.0) for x, w in zip(*map(list, leggauss(48)), strict=True)]
+# The integrals end where the integrand has fallen to exp(-TAIL) of its start.
+TAIL = 40.0
 
 
 def _with(value: Column, body) -> Column:
@@ -81,89 +82,48 @@ def pearson(a: Column, b: Column) -> Column:
     return clamp(r, -1.0, 1.0)
 
 
-def _even_series(r: Column, nu: Column) -> Column:
-    terms = F.floor(nu / 2).cast("int")
-    q = 1.0 - r * r
-    acc = F.aggregate(
-        F.sequence(F.lit(0), terms - 1),
-        F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s")),
-        lambda a, k: F.struct(
-            (a["t"] * (2.0 * k + 1.0) / (2.0 * k + 2.0) * q).alias("t"),
-            (a["s"] + a["t"]).alias("s"),
-        ),
-    )
-    return 1.0 - F.abs(r) * acc["s"]
-
-
-def _odd_series(r: Column, nu: Column) -> Column:
-    terms = F.floor((nu - 1) / 2).cast("int")
-    q = 1.0 - r * r
-    acc = F.aggregate(
-        F.sequence(F.lit(0), F.greatest(terms - 1, F.lit(0))),
-        F.struct(F.lit(1.0).alias("u"), F.lit(0.0).alias("s")),
-        lambda a, k: F.struct(
-            (a["u"] * (2.0 * k + 2.0) / (2.0 * k + 3.0) * q).alias("u"),
-            (a["s"] + a["u"]).alias("s"),
-        ),
-    )
-    total = F.when(terms > 0, acc["s"]).otherwise(0.0)
-    inner = F.asin(F.abs(r)) + F.abs(r) * F.sqrt(q) * total
-    return 1.0 - inner * (2.0 / 3.141592653589793)
-
-
-def normal_two_sided(z: Column) -> Column:
-    """Two-sided tail of the standard normal for z >= 0, by its power series."""
-
-    def tail(x: Column) -> Column:
-        acc = F.aggregate(
-            F.sequence(F.lit(0), F.lit(NORMAL_TERMS)),
-            F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s")),
-            lambda a, k: F.struct(
-                (a["t"] * x * x / (2.0 * k + 3.0)).alias("t"), (a["s"] + a["t"]).alias("s")
-            ),
-            lambda a: a["s"],
-        )
-        return 1.0 - x * F.exp(x * x / -2.0) * acc * 0.7978845608028654
-
-    return _with(F.least(z, F.lit(9.0)), tail)
+def _power_integral(k: Column, slope: Column, top: Column) -> Column:
+    """Integral of (cos u - slope sin u)**k over u from 0 to ``top``.
 
+    The integrand falls at least like exp(-k (slope u + u u / 2)), which gives the
+    place where it ends for practical purposes.
+    """
+    steep = k * slope
+    reach = F.try_divide(F.lit(2.0 * TAIL), steep + F.sqrt(steep * steep + k * (2.0 * TAIL)))
 
-def _large_sample(r: Column, nu: Column) -> Column:
-    # Hill (1970), CACM algorithm 395: a normal deviate for Student's t.
-    a = nu - 0.5
-    b = a * a * 48.0
+    def total(size: Column) -> Column:
+        def value(u: Column) -> Column:
+            drop = F.sin(u / 2.0) * F.sin(u / 2.0) * 2.0 + slope * F.sin(u)
+            return F.exp(k * F.log1p(-drop))
 
-    def deviate(w: Column) -> Column:
-        w2 = w * w
-        w4 = w2 * w2
-        head = (w2 + 3.0) * w / b
-        tail = w * (w4 * w2 * 4.0 + w4 * 33.0 + w2 * 240.0 + 855.0)
-        return w + head - tail / (b * 10.0 * (b + w4 * 0.8 + 100.0))
+        nodes = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(w)).alias("w")) for x, w in NODES])
+        return size * F.aggregate(nodes, F.lit(0.0), lambda s, node: s + node["w"] * value(size * node["x"]))
 
-    return normal_two_sided(_with(F.sqrt(a * -F.log1p(-(r * r))), deviate))
+    # No reach (k = 0): the whole range.
+    return _with(F.least(top, reach), total)
 
 
 def correlation_p_value(r, n) -> Column:
     """Two-sided p-value of a correlation ``r`` over ``n`` pairs (n >= 3).
 
-    Exact finite series (Abramowitz & Stegun 26.7.3, 26.7.4) up to
-    ``SERIES_LIMIT`` pairs; beyond it a normal deviate, so that the work per
-    row stays bounded however many pairs there are.
+    With v = n - 2, the integral of cos**(v - 1) from asin |r| to pi / 2, over the
+    one from 0. The factor (1 - r r)**((v - 1) / 2) is taken out of the upper one,
+    so that small values keep their digits; one way for every n.
     """
     r = F.col(r) if isinstance(r, str) else r
     n = (F.col(n) if isinstance(n, str) else n).cast("double")
-    nu = n - 2.0
 
-    def between(p: Column) -> Column:
-        return F.greatest(F.least(p, F.lit(1.0)), F.lit(0.0))
+    def p(x: Column) -> Column:
+        k, size = x["k"], x["size"]
+        rest = (1.0 - size) * (1.0 + size)
+        upper = _power_integral(k, size / F.sqrt(rest), F.atan2(F.sqrt(rest), size))
+        whole = _power_integral(k, F.lit(0.0), F.lit(1.5707963267948966))
+        return F.least(F.exp(k / 2.0 * F.log(rest)) * upper / whole, F.lit(1.0))
 
-    # Past the first branch r is not null, so no bound can replace a null.
     return (
-        F.when(r.isNull() | (nu < 1.0), F.lit(None).cast("double"))
+        F.when(r.isNull() | (n < 3.0), F.lit(None).cast("double"))
         .when(F.abs(r) >= 1.0, F.lit(0.0))
-        .when(n > float(SERIES_LIMIT), between(_large_sample(r, nu)))
-        .when(F.pmod(nu, F.lit(2.0)) == 0.0, between(_even_series(r, nu)))
-        .otherwise(between(_odd_series(r, nu)))
+        .otherwise(_with(F.struct((n - 3.0).alias("k"), F.abs(r).alias("size")), p))
     )
 
 

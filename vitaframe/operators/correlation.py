@@ -10,6 +10,7 @@ from vitaframe.config import CORRELATION_PAIRS, DEFAULTS, METRICS, Settings
 from vitaframe.functions.order_stats import value_positions
 from vitaframe.functions.scalar import clamp, correlation_p_value, pearson, percent, round_even
 from vitaframe.operators.statistics import good_rows
+from vitaframe.session import stage_table
 
 MIN_PAIRS = 5
 MIN_WINDOW_PAIRS = 7
@@ -280,7 +281,9 @@ def cohort_correlations(cleaned: DataFrame) -> DataFrame:
     """Correlations between participants' mean values, per pair of metrics.
 
     Pairs are in alphabetical order. A pair ranges over all participants, so
-    its ranks come from counted values rather than from one sorted list.
+    its ranks come from counted values rather than from one sorted list. Ranks
+    are joined on the means, which are staged first: read back they are the same
+    numbers in every use.
     """
     ordered = sorted(METRICS)
     pairs = F.array(
@@ -297,7 +300,7 @@ def cohort_correlations(cleaned: DataFrame) -> DataFrame:
     )
     keys = ["metric_1", "metric_2"]
     rows = (
-        participant_metric_means(cleaned)
+        stage_table(participant_metric_means(cleaned), "participant-means")
         .select("participant_id", F.inline(pairs))
         .where("a is not null and b is not null")
     )
