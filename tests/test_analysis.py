@@ -249,7 +249,7 @@ def test_threshold_deviations_with_meals(spark, make_records):
     assert got == [("p", 7, True)]
     meals = _meals(spark, [("Soup", day(6), "p"), ("Soup", day(6, 2), "p"), ("Tea", day(6), "other"), ("Tea", day(1), "p")])
     joined = de.deviation_days_with_meals(found, meals).collect()
-    assert [(r["dish"], r["servings"], len(r["deviations"])) for r in joined] == [("Soup", 2, 1)]
+    assert sorted((r["meal_time"], r["dish"], r["servings"], len(r["deviations"])) for r in joined) == [("09:00", "Soup", 1, 1), ("11:00", "Soup", 1, 1)]
     without = de.deviation_days_with_meals(found, meals.where("false")).collect()
     assert [(r["dish"], r["servings"]) for r in without] == [(None, 0)]
     together = de.threshold_deviations(make_records(rows), (), Settings(deviation_limits=PARITY_DEVIATION_LIMITS))
@@ -263,6 +263,12 @@ def test_daily_meals(spark):
         (1, "09:00", "Rice", 1, 1), (1, "09:00", "Tea", 2, 1), (1, "12:00", "Soup", 1, 4), (2, "09:00", "Tea", 1, 1),
     ]
     assert [r["dish"] for r in me.top_dishes(meals).collect()] == ["Tea", "Rice", "Soup"]
+    # A meal without a time is kept, and the dish may stand under another name.
+    dates = [("Tea", None, dt.date(2024, 1, 1)), ("Rice", 1704096000000, dt.date(2024, 1, 1))]
+    other = spark.createDataFrame(dates, "Food string, time long, date date")
+    got = sorted((r["meal_time"], r["dish"], r["servings"]) for r in me.daily_meals(other).collect())
+    assert got == [("08:00", "Rice", 1), ("Unknown time", "Tea", 1)]
+    assert {r["meal_time"] for r in me.dishes_by_day(other).collect()} == {"08:00", "Unknown time"}
 
 
 def test_meal_interactions(spark, make_records):

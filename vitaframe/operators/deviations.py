@@ -65,7 +65,7 @@ def _metrics_of_day(deviations: DataFrame, by: Sequence[str]) -> DataFrame:
 def meals_on_deviation_days(
     deviations: DataFrame, meals: DataFrame, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Dishes eaten on days with deviations, with what deviated."""
+    """Dishes eaten on days with deviations and when, with what deviated."""
     return dishes_by_day(meals, by).join(_metrics_of_day(deviations, by), [*by, "date"])
 
 
@@ -123,7 +123,7 @@ def deviation_days_with_meals(
 ) -> DataFrame:
     """Deviating days with that day's dishes; days without meals are kept.
 
-    One row per day and dish. ``deviations`` lists the at most six deviating
+    One row per day, time and dish. ``deviations`` lists the at most six deviating
     metrics of the day.
     """
     days = deviations.groupBy(*by, "date").agg(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitaframe.functions.columns import find_column
@@ -17,6 +17,17 @@ from vitaframe.functions.scalar import clock, within_timestamps
 
 RECENT_DATES = 5
 TOP_DISHES = 5
+# Where a dish is named, and what stands for a missing time.
+DISH_COLUMNS = ("dish", "food", "meal")
+UNKNOWN_TIME = "Unknown time"
+
+
+def with_dish(meals: DataFrame) -> DataFrame:
+    """The dish under the name ``dish``, from the first column that names one."""
+    name = next((c for c in (find_column(meals, p) for p in DISH_COLUMNS) if c), None)
+    if name is None:
+        raise ValueError("no dish column")
+    return meals if name == "dish" else meals.withColumn("dish", F.col(f"`{name}`"))
 
 
 def with_meal_date(meals: DataFrame) -> DataFrame:
@@ -26,35 +37,39 @@ def with_meal_date(meals: DataFrame) -> DataFrame:
     return meals.withColumn("date", F.to_date(F.timestamp_millis(within_timestamps(F.col("time"), 1000))))
 
 
+def _meal_time(millis: Column) -> Column:
+    return F.coalesce(clock(F.timestamp_millis(within_timestamps(millis, 1000))), F.lit(UNKNOWN_TIME))
+
+
 def daily_meals(meals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """What was eaten on each day and when, in order of time.
 
     ``servings`` counts equal meals, ``first_position`` is the place of the
-    earliest of the meals at that time among the day's meals.
+    earliest of the meals at that time among the day's meals. Meals without a
+    time are kept; they have no place.
     """
     keys = [*by, "date"]
-    dated = with_meal_date(meals).where("date is not null").withColumn(
-        "at", F.col("time").cast("double")
+    dated = with_dish(with_meal_date(meals)).where("date is not null")
+    # Counted from midnight: a day is then cut into many bands when it is ranked.
+    at = F.col("time").cast("long")
+    dated = dated.withColumn("at", at - F.unix_millis(F.col("date").cast("timestamp")))
+    served = dated.groupBy(*keys, "at", "dish").agg(
+        F.count(F.lit(1)).alias("servings"), F.min(at).alias("millis")
     )
-    served = dated.groupBy(*keys, "at", "dish").agg(F.count(F.lit(1)).alias("servings"))
     places = value_positions(served, keys, "at", "servings").select(
         *keys, "at", (F.col("start") + 1).alias("first_position")
     )
-    return served.join(places, [*keys, "at"]).select(
-        *keys,
-        clock(F.timestamp_millis(F.col("at").cast("long"))).alias("meal_time"),
-        "dish",
-        "servings",
-        "first_position",
+    return served.join(places, [*keys, "at"], "left").select(
+        *keys, _meal_time(F.col("millis")).alias("meal_time"), "dish", "servings", "first_position"
     )
 
 
 def dishes_by_day(meals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Servings of each dish per day."""
+    """Servings of each dish per day and time of day."""
     return (
-        with_meal_date(meals)
+        with_dish(with_meal_date(meals))
         .where("date is not null")
-        .groupBy(*by, "date", "dish")
+        .groupBy(*by, "date", _meal_time(F.col("time").cast("long")).alias("meal_time"), "dish")
         .agg(F.count(F.lit(1)).alias("servings"))
     )
 
@@ -62,7 +77,7 @@ def dishes_by_day(meals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def meals_summary(meals: DataFrame) -> DataFrame:
     """Rows, different dishes and first and last date."""
     per_dish = (
-        with_meal_date(meals)
+        with_dish(with_meal_date(meals))
         .groupBy("dish")
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -80,14 +95,10 @@ def meals_summary(meals: DataFrame) -> DataFrame:
 
 def top_dishes(meals: DataFrame, n: int = TOP_DISHES) -> DataFrame:
     """The most frequent dishes; equal counts in alphabetical order."""
-    name = next(
-        (c for c in (find_column(meals, p) for p in ("dish", "food", "meal")) if c), None
-    )
-    if name is None:
-        raise ValueError("no dish column")
+    meals = with_dish(meals)
     return (
-        meals.where(F.col(f"`{name}`").isNotNull())
-        .groupBy(F.col(f"`{name}`").alias("dish"))
+        meals.where("dish is not null")
+        .groupBy("dish")
         .agg(F.count(F.lit(1)).alias("servings"))
         .orderBy(F.desc("servings"), "dish")
         .limit(n)

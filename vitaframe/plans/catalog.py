@@ -748,6 +748,7 @@ def _(ws):
         "participant_id",
         "date",
         F.array_join(F.transform("deviations", lambda x: x["metric_type"]), ",").alias("metrics"),
+        "meal_time",
         "dish",
         "servings",
     )

@@ -1014,8 +1014,8 @@ sql(
 )
 sql(
     "deviation_day_meals",
-    "SELECT x.d AS date, x.dish, count(*) AS servings, max(z.ms) AS deviating_metrics FROM meals x JOIN ("
-    "SELECT d, array_to_string(list(metric ORDER BY metric), ',') AS ms FROM zdev GROUP BY d) z ON z.d = x.d GROUP BY x.d, x.dish",
+    "SELECT x.d AS date, strftime(x.ts, '%H:%M') AS meal_time, x.dish, count(*) AS servings, max(z.ms) AS deviating_metrics FROM meals x JOIN ("
+    "SELECT d, array_to_string(list(metric ORDER BY metric), ',') AS ms FROM zdev GROUP BY d) z ON z.d = x.d GROUP BY x.d, strftime(x.ts, '%H:%M'), x.dish",
 )
 THR = f"d AS date, m AS metric_type, {r6('v', 'value')}, {r6('bl', 'baseline')}, {r6('pct', 'deviation_pct')}, outside AS outside_threshold"
 sql("threshold_deviations", f"SELECT pid AS participant_id, {THR} FROM thr")
@@ -1027,9 +1027,9 @@ sql(
 )
 sql(
     "threshold_deviation_meals",
-    "SELECT t.pid AS participant_id, t.d AS date, t.ms AS metrics, x.dish, coalesce(x.n, 0) AS servings FROM ("
+    "SELECT t.pid AS participant_id, t.d AS date, t.ms AS metrics, x.mt AS meal_time, x.dish, coalesce(x.n, 0) AS servings FROM ("
     "SELECT pid, d, array_to_string(list(m ORDER BY m), ',') AS ms FROM thr GROUP BY pid, d) t "
-    "LEFT JOIN (SELECT pid, d, dish, count(*) AS n FROM meals GROUP BY pid, d, dish) x ON x.pid = t.pid AND x.d = t.d",
+    "LEFT JOIN (SELECT pid, d, strftime(ts, '%H:%M') AS mt, dish, count(*) AS n FROM meals GROUP BY ALL) x ON x.pid = t.pid AND x.d = t.d",
 )
 sql(
     "deviation_report",
@@ -1045,9 +1045,9 @@ RECENT = "(SELECT d FROM (SELECT d FROM meals INTERSECT SELECT d FROM cday) ORDE
 sql("recent_common_dates", f"SELECT d AS date FROM {RECENT} t")
 sql(
     "meal_interactions",
-    "SELECT x.d AS date, x.dish, x.servings, "
+    "SELECT x.d AS date, x.mt AS meal_time, x.dish, x.servings, "
     + ", ".join(r6(f"w.{m}", m) for m in METRICS)
-    + " FROM (SELECT d, dish, count(*) AS servings FROM meals GROUP BY d, dish) x JOIN (SELECT d, "
+    + " FROM (SELECT d, strftime(ts, '%H:%M') AS mt, dish, count(*) AS servings FROM meals GROUP BY ALL) x JOIN (SELECT d, "
     + ", ".join(f"max(v) FILTER (WHERE m = '{m}') AS {m}" for m in METRICS)
     + f" FROM cday GROUP BY d) w ON w.d = x.d WHERE x.d IN {RECENT}",
 )
