@@ -27,10 +27,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: computed once, short lineage."""
-    path = fresh_path(df.sparkSession, name)
+    """Write to the shared folder and read back: computed once, short lineage.
+
+    Spark removes shuffle files and broadcasts once the driver has collected the
+    objects that name them; with a large driver that can be long after their use.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def words_of(text: Column) -> Column:
