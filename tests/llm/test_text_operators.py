@@ -257,3 +257,31 @@ def test_pipeline(spark, none):
 
 def test_every_query_is_listed():
     assert set(SQL) <= set(QUERIES) and len(QUERIES) == 10
+
+
+def test_functions_that_hold_a_passage():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        f, first = rng.integers(0, compact_windows.HASHES, 40), rng.integers(0, 300, 40)
+        last = first + compact_windows.SPAN - 1 + rng.integers(0, 60, 40)
+        dense = compact_windows._covered(f, first, last, 0, 400)
+        starts = np.arange(400)
+        assert (compact_windows._functions_at(starts, f, first, last) == dense).all()
+
+
+def test_passages_against_brute_force():
+    rng = np.random.default_rng(6)
+    span = compact_windows.SPAN
+    one = rng.integers(0, 2**32, 400, dtype=np.uint32).view(np.int32)
+    two = rng.integers(0, 2**32, 500, dtype=np.uint32).view(np.int32)
+    two[200:300] = one[100:200]
+    two[230], two[260] = 1, 2
+    ranges = np.array([[f, 90, 210, 190, 310] for f in range(compact_windows.HASHES)])
+    starts = np.repeat(ranges, 3, axis=0) + np.array([[0, 0, 0, 0, 0], [0, 12, 0, 0, 0], [0, 60, 0, 0, 0]] * compact_windows.HASHES)
+    found = compact_windows.similar_passages(starts, one, compact_windows.Sequence(two, np.empty(0, np.int32)))
+    assert found
+    for s, u in found:
+        a, b = set(one[s : s + span].tolist()), set(two[u : u + span].tolist())
+        assert 100 * len(a & b) >= compact_windows.THRESHOLD * len(a | b)
+    lone = rng.integers(0, 2**32, 500, dtype=np.uint32).view(np.int32)
+    assert not compact_windows.similar_passages(starts, one, compact_windows.Sequence(lone, np.empty(0, np.int32)))
