@@ -285,3 +285,43 @@ def test_passages_against_brute_force():
         assert 100 * len(a & b) >= compact_windows.THRESHOLD * len(a | b)
     lone = rng.integers(0, 2**32, 500, dtype=np.uint32).view(np.int32)
     assert not compact_windows.similar_passages(starts, one, compact_windows.Sequence(lone, np.empty(0, np.int32)))
+
+
+def cut(shingles):
+    return shingles.astype(np.uint32).view(np.int32)
+
+
+def passages_of(x, y):
+    """Passages of two texts, as the operator finds them with all windows of the pair."""
+    a, b = compact_windows.sequence(x), compact_windows.sequence(y)
+    windows = [compact_windows.compact_windows(s, lambda n, o=o: np.isin(n, compact_windows.signatures(o))) for s, o in ((a, y), (b, x))]
+    other = compact_windows.Sequence(cut(a), windows[0])
+    return compact_windows.similar_passages(compact_windows.meetings(windows[1], other), cut(b), other)
+
+
+def alike_starts(one, two):
+    """For every passage of each side whether any of the other's is alike, from all pairs of passages."""
+    span = compact_windows.SPAN
+    x, y = ([set(v[s : s + span].tolist()) for s in range(len(v) - span + 1)] for v in (one, two))
+    alike = np.array([[100 * len(p & q) >= compact_windows.THRESHOLD * len(p | q) for q in y] for p in x])
+    return alike.any(axis=1), alike.any(axis=0)
+
+
+@pytest.mark.parametrize("length", [50, 52, 55, 60])
+def test_short_repeats_in_unrelated_text_are_found(length):
+    rng = np.random.default_rng(length)
+    for changed in (False, True):
+        for _ in range(4 if changed else 40):
+            words = [f"w{k}" for k in rng.integers(0, 10**9, 240 + 2 * length)]
+            part, rest = words[:length], words[length:]
+            copy = [*part[:8], "other", *part[9:]] if changed else part
+            x = " ".join(rest[:60] + part + rest[60:120])
+            y = " ".join(rest[120:180] + copy + rest[180:])
+            if changed:
+                a, b = (cut(compact_windows.sequence(t)) for t in (x, y))
+                # Signatures may disagree by chance: the pair is taken as a candidate.
+                m = np.array([[f, 0, len(a) - 1, 0, len(b) - 1] for f in range(compact_windows.HASHES)])
+                found = compact_windows.similar_passages(m, a, compact_windows.Sequence(b, np.empty(0, np.int32)))
+                assert bool(found) == alike_starts(a, b)[0].any()
+            else:
+                assert passages_of(x, y)
