@@ -325,3 +325,49 @@ def test_short_repeats_in_unrelated_text_are_found(length):
                 assert bool(found) == alike_starts(a, b)[0].any()
             else:
                 assert passages_of(x, y)
+
+
+def test_all_alike_passages_are_found():
+    """Also where shingles repeat, within a passage and far apart, and parts change places."""
+    rng = np.random.default_rng(8)
+    linked_pairs = 0
+    for trial in range(60):
+        kinds = [2, 8, 40, 10**9][trial % 4]
+        one, two = (rng.integers(0, kinds, int(rng.integers(60, 140))) for _ in range(2))
+        for _ in range(trial % 3):
+            n = int(rng.integers(20, 58))
+            s, u = int(rng.integers(0, len(one) - n + 1)), int(rng.integers(0, len(two) - n + 1))
+            two[u : u + n] = one[s : s + n]
+            two[u + rng.integers(0, n, int(rng.integers(0, 5)))] = rng.integers(0, kinds, 1)
+        if trial % 5 == 0:
+            two = np.concatenate([one[25:48], one[2:25], two[:60]])
+        one, two = cut(one), cut(two)
+        m = np.array([[f, 0, len(one) - 1, 0, len(two) - 1] for f in range(compact_windows.HASHES)])
+        found = compact_windows.similar_passages(m, one, compact_windows.Sequence(two, np.empty(0, np.int32)))
+        x, y = alike_starts(one, two)
+        assert {s for s, _ in found} == set(np.flatnonzero(x).tolist()) and {u for _, u in found} == set(np.flatnonzero(y).tolist())
+        linked_pairs += bool(found)
+    assert 20 < linked_pairs < 60
+
+
+def test_repeats_are_counted_to_their_ends(spark):
+    rng = np.random.default_rng(9)
+    words = lambda n: [f"w{k}" for k in rng.integers(0, 10**9, n)]
+    long, short, own = words(140), words(80), [words(200) for _ in range(4)]
+    texts = [own[0][:100] + long + own[0][100:], own[1][:30] + long + own[1][30:], own[2] + short, short + own[3][:100] + short[:60]]
+    texts = [" ".join(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in compact_windows.repeated_passages(docs).collect()}
+    found, _, _ = compact_windows.find_passages(docs)
+    stretches = {(r["a"], r["b"]): r for r in found.collect()}
+    assert set(stretches) == {(0, 1), (2, 3)}
+    for a, b in stretches:
+        one, two = (cut(compact_windows.sequence(texts[k])) for k in (a, b))
+        for doc, starts, names in zip((a, b), alike_starts(one, two), (("sa", "ea"), ("sb", "eb")), strict=True):
+            held = np.zeros(len(texts[doc].split()), bool)
+            for s in np.flatnonzero(starts):
+                held[s : s + 50] = True
+            edges = np.diff(held.astype(int), prepend=0, append=0)
+            assert [stretches[a, b][n] for n in names] == [np.flatnonzero(edges == v).tolist() for v in (1, -1)]
+            assert got[doc]["n_words"] == held.sum() and got[doc]["n_passages"] == (edges == 1).sum()
+    assert got[0]["n_words"] >= 140 and got[3]["n_words"] >= 140 and got[3]["n_passages"] == 2 and got[2]["n_passages"] == 1
