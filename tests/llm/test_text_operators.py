@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import sys
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -371,3 +373,58 @@ def test_repeats_are_counted_to_their_ends(spark):
             assert [stretches[a, b][n] for n in names] == [np.flatnonzero(edges == v).tolist() for v in (1, -1)]
             assert got[doc]["n_words"] == held.sum() and got[doc]["n_passages"] == (edges == 1).sum()
     assert got[0]["n_words"] >= 140 and got[3]["n_words"] >= 140 and got[3]["n_passages"] == 2 and got[2]["n_passages"] == 1
+
+
+def mixed_copies(rows, weights=(3.0, 1.0, 2.0), budget=1.5, epochs=2):
+    """Ids, as often as the mix takes them, in plain Python; rows: id, text, source."""
+    sizes = {i: len([w for w in re.split("[ \t\n\x0b\f\r]+", text or "") if w]) for i, text, _ in rows}
+    totals = Counter()
+    for i, _, source in rows:
+        totals[source] += sizes[i]
+    names = sorted(totals, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    left, target, rest = budget * sum(totals.values()), {}, sorted(names, key=lambda s: (epochs * totals[s] / weight[s], s is None, s or ""))
+    while rest:
+        level = left / sum(weight[s] for s in rest)
+        if epochs * totals[rest[0]] / weight[rest[0]] > level:
+            target |= {s: level * weight[s] for s in rest}
+            break
+        target[rest[0]] = float(epochs * totals[rest[0]])
+        left -= target[rest.pop(0)]
+    queue, through = [], Counter()
+    for key, i, source in sorted((hashlib.md5(str(i).encode()).hexdigest(), i, source) for i, _, source in rows):
+        through[source] += sizes[i]
+        if sizes[i] and target[source]:
+            queue += [((through[source] + e * totals[source]) / target[source], key, i) for e in range(epochs)]
+    out, served = [], 0
+    for _, _, i in sorted(queue):
+        served += sizes[i]
+        if served > round(sum(target.values())):
+            break
+        out.append(i)
+    return out
+
+
+def test_pipeline_equals_plain_python(spark):
+    """All five stages on the small table; the language is the operator's own."""
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    predicted = identify(docs, F.lit(True)).select("id", "lang_pred", "score").collect()
+    kept = {r["id"] for r in predicted if r["lang_pred"] != "und" and r["score"] >= 0.5}
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect() if r["doc_id"] in kept]
+    assert 0 < len(rows) < docs.count()
+    first = {}
+    for i, text, _ in sorted(rows):
+        first.setdefault(text, i)
+    rows = [r for r in rows if first[r[1]] == r[0]]
+    near = linked({i: text for i, text, _ in rows}, 5, 80)
+    assert any(near[i][1] != i for i, _, _ in rows)
+    rows = [r for r in rows if near[r[0]][1] == r[0]]
+    library, texts, expected = Tokenizer.from_file(bpe.vocabulary_path()), {i: text for i, text, _ in rows}, []
+    for i in mixed_copies(rows):
+        ids = library.encode(texts[i], add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False)
+        expected.append((i, len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), back))))
+    got = [tuple(r) for r in corpus_pipeline.run(spark, SMALL).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()]
+    assert sorted(got) == sorted(expected)
