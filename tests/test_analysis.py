@@ -3,17 +3,20 @@
 import datetime as dt
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from vitaframe.config import CORRELATION_PAIRS, METRICS, PARITY_DEVIATION_LIMITS, Settings
+from vitaframe.functions.order_stats import band_edges
 from vitaframe.operators import anomalies as an
 from vitaframe.operators import compliance as cm
 from vitaframe.operators import correlation as co
 from vitaframe.operators import daily as da
 from vitaframe.operators import deviations as de
 from vitaframe.operators import meals as me
+from vitaframe.operators import noise as no
 from vitaframe.operators import statistics as st
 
 D0 = dt.datetime(2024, 1, 1, 9)
@@ -205,7 +208,10 @@ def test_recovery_against_brute_force(data, daily):
     assert got == expected
 
 
-def test_cohort_correlations(make_records):
+# Few participants are ranked in one place, more than BAND by counted values.
+@pytest.mark.parametrize("band", [1 << 16, 2])
+def test_cohort_correlations(make_records, monkeypatch, band):
+    monkeypatch.setattr(co, "BAND", band)
     rng = random.Random(8)
     rows, means = [], {}
     for p in range(40):
@@ -343,3 +349,24 @@ def test_wide_and_long_inputs(spark):
     )
     got = {r["metric_type"]: r["value"] for r in da.daily_values_of_long(long).collect()}
     assert got == {"steps": 11.0, "hr": 5.5}
+
+
+def test_gaps_of_one_crowded_hour(make_records):
+    """All outliers of a metric in one hour are cut into ranges; gaps stay the same."""
+    start = dt.datetime(2024, 1, 1)
+    rows = [("p", "hr", start + dt.timedelta(seconds=s * 7 % 3000 + (s % 3)), 1.0, None, "outlier") for s in range(1500)]
+    rows += [("p", "bp", start, 1.0, None, "outlier"), ("p", "bp", start + dt.timedelta(hours=30), 1.0, None, "outlier")]
+    cleaned = make_records(rows)
+    keys = ["metric_type"]
+    moments = no._outlier_moments(cleaned, keys)
+    edges = band_edges(moments, keys, "_micros", 64)
+    assert [r["metric_type"] for r in edges.collect()] == ["hr"] and len(edges.first()["_edges"]) > 10
+    cut = sorted(map(tuple, no._gaps(moments, keys, edges).collect()))
+    assert cut == sorted(map(tuple, no.outlier_gaps(cleaned).collect()))
+    at = sorted(r[2] for r in rows if r[1] == "hr")
+    expected = Counter((b - a).total_seconds() / 3600 for a, b in zip(at, at[1:], strict=False))
+    got = Counter()
+    for metric, _, gap, times in cut:
+        if metric == "hr":
+            got[gap] += times
+    assert {round(g * 3600): n for g, n in got.items()} == {round(g * 3600): n for g, n in expected.items()}

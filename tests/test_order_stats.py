@@ -4,7 +4,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vitaframe.functions.order_stats import exact_quantiles, group_summary, value_positions
+from vitaframe.functions.order_stats import (
+    _banded,
+    band_edges,
+    exact_quantiles,
+    group_summary,
+    previous_values,
+    value_positions,
+)
 from vitaframe.functions.scalar import correlation_p_value, fixed, round_even
 
 PROBS = {"p0": 0.0, "p10": 0.1, "p25": 0.25, "p50": 0.5, "p90": 0.9, "p100": 1.0}
@@ -26,13 +33,15 @@ def _groups():
     return groups
 
 
-def test_group_summary(spark):
+# The default leaves these groups whole; 40 cuts the larger ones into bands.
+@pytest.mark.parametrize("band", [1 << 16, 40])
+def test_group_summary(spark, band):
     groups = _groups()
     df = spark.createDataFrame(
         [(g, v) for g, vs in groups.items() for v in vs] + [("one", None), ("one", float("nan"))],
         "g string, v double",
     )
-    rows = {r["g"]: r for r in group_summary(df, ["g"], "v", PROBS).collect()}
+    rows = {r["g"]: r for r in group_summary(df, ["g"], "v", PROBS, band).collect()}
     assert set(rows) == set(groups)
     for g, vs in groups.items():
         a = np.array(vs)
@@ -44,16 +53,65 @@ def test_group_summary(spark):
             assert r[name] == pytest.approx(np.percentile(a, p * 100), rel=1e-12, abs=1e-12), (g, name)
 
 
+# Values that a grid fixed in advance would put into a few of its cells.
+SHAPES = {
+    "tenths of a range of two": lambda rng: 97 + 2 * rng.random(20_000),
+    "a thousand far from zero": lambda rng: 1e9 + 1000 * rng.random(20_000),
+    "milliseconds since 1970": lambda rng: (1_734_000_000_000 + rng.integers(0, 86_400_000, 20_000)).astype(float),
+    "all sizes": lambda rng: np.exp(rng.normal(0, 40, 20_000)) * rng.choice([-1, 1], 20_000),
+    "nearly all equal": lambda rng: np.where(rng.random(60_000) < 0.7, 5.0, rng.random(60_000) * 1e-6),
+}
+
+
+@pytest.mark.parametrize("shape", sorted(SHAPES))
+def test_bands_are_alike_in_size_wherever_values_lie(spark, shape):
+    values = SHAPES[shape](np.random.default_rng(8))
+    df = spark.createDataFrame([("g", float(v)) for v in values] + [("small", 1.0)], "g string, v double")
+    edges = band_edges(df, ["g"], "v", 512)
+    assert [r["g"] for r in edges.collect()] == ["g"]
+    distinct = df.distinct()
+    banded = _banded(distinct, edges, ["g"], "v")
+    sizes = [r["count"] for r in banded.where("g = 'g'").groupBy("_band").count().collect()]
+    n = len(np.unique(values))
+    assert len(sizes) >= n / 512 / 1.5 and max(sizes) <= 2.5 * n / len(sizes)
+    # Bands follow the values.
+    ends = banded.where("g = 'g'").groupBy("_band").agg(F.min("v"), F.max("v")).orderBy("_band").collect()
+    assert all(a[2] < b[1] for a, b in zip(ends, ends[1:], strict=False))
+    r = exact_quantiles(df.where("g = 'g'"), ["g"], "v", PROBS, band=512).first()
+    for name, p in PROBS.items():
+        assert r[name] == pytest.approx(np.percentile(values, p * 100), rel=1e-12)
+
+
+def test_previous_values_across_bands(spark):
+    rng = np.random.default_rng(9)
+    moments = np.unique(1_734_000_000_000_000 + rng.integers(0, 3_600_000_000, 30_000))
+    df = spark.createDataFrame([("m", int(t)) for t in moments] + [("one", 5)], "g string, t long")
+    for band in (256, 1 << 16):
+        got = {(r["g"], r["t"]): r["previous"] for r in previous_values(df, ["g"], "t", band_edges(df, ["g"], "t", band)).collect()}
+        assert got.pop(("one", 5)) is None and len(got) == len(moments)
+        assert [got["m", int(t)] for t in moments] == [None, *map(int, moments[:-1])]
+    # One hour is not one task: it is cut into ranges.
+    edges = band_edges(df, ["g"], "t", 256)
+    sizes = [r["count"] for r in _banded(df, edges, ["g"], "t").groupBy("g", "_band").count().collect()]
+    assert len(sizes) > 80 and max(sizes) < 1000
+
+
 def test_weights_count_as_copies(spark):
     df = spark.createDataFrame([("a", 1.0, 3), ("a", 5.0, 1), ("a", 2.0, 2)], "g string, v double, w long")
     r = exact_quantiles(df, ["g"], "v", {"m": 0.5, "q": 0.75}, "w").first()
     assert (r["m"], r["q"]) == (1.5, 2.0)
+    many = spark.createDataFrame([("a", float(i), 1 + i % 4) for i in range(3000)], "g string, v double, w long")
+    plain = np.repeat(np.arange(3000.0), 1 + np.arange(3000) % 4)
+    for band in (64, 1 << 16):
+        r = exact_quantiles(many, ["g"], "v", PROBS, "w", band).first()
+        assert all(r[name] == pytest.approx(np.percentile(plain, p * 100)) for name, p in PROBS.items())
 
 
-def test_average_ranks(spark):
+@pytest.mark.parametrize("band", [1 << 16, 40])
+def test_average_ranks(spark, band):
     groups = _groups()
     df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
-    got = {(r["g"], r["v"]): r["average_rank"] for r in value_positions(df, ["g"], "v").collect()}
+    got = {(r["g"], r["v"]): r["average_rank"] for r in value_positions(df, ["g"], "v", band=band).collect()}
     for g, vs in groups.items():
         a = np.sort(np.array(vs))
         for v in set(vs):

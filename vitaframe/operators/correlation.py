@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vitaframe.config import CORRELATION_PAIRS, DEFAULTS, METRICS, Settings
-from vitaframe.functions.order_stats import value_positions
+from vitaframe.functions.order_stats import BAND, value_positions
 from vitaframe.functions.scalar import clamp, correlation_p_value, pearson, percent, round_even
 from vitaframe.operators.statistics import good_rows
 from vitaframe.session import stage_table
@@ -66,7 +66,7 @@ def next_day_pairs(days: DataFrame) -> DataFrame:
 def average_ranks(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Ranks of ``a`` and ``b`` within their group, ties averaged.
 
-    For groups of one row per day; larger groups go through value_positions.
+    For groups that fit a task; larger groups go through value_positions.
     """
 
     def rank(name: str) -> Column:
@@ -280,10 +280,10 @@ def participant_metric_means(cleaned: DataFrame) -> DataFrame:
 def cohort_correlations(cleaned: DataFrame) -> DataFrame:
     """Correlations between participants' mean values, per pair of metrics.
 
-    Pairs are in alphabetical order. A pair ranges over all participants, so
-    its ranks come from counted values rather than from one sorted list. Ranks
-    are joined on the means, which are staged first: read back they are the same
-    numbers in every use.
+    Pairs are in alphabetical order. A pair ranges over all participants: unless
+    they are few its ranks come from counted values rather than from one sorted
+    list. Ranks are joined on the means, which are staged first: read back they are
+    the same numbers in every use.
     """
     ordered = sorted(METRICS)
     pairs = F.array(
@@ -299,18 +299,18 @@ def cohort_correlations(cleaned: DataFrame) -> DataFrame:
         ]
     )
     keys = ["metric_1", "metric_2"]
-    rows = (
-        stage_table(participant_metric_means(cleaned), "participant-means")
-        .select("participant_id", F.inline(pairs))
-        .where("a is not null and b is not null")
-    )
-    ranks_a = value_positions(rows, keys, "a").select(
-        *keys, "a", F.col("average_rank").alias("rank_a")
-    )
-    ranks_b = value_positions(rows, keys, "b").select(
-        *keys, "b", F.col("average_rank").alias("rank_b")
-    )
-    ranked = rows.join(ranks_a, [*keys, "a"]).join(ranks_b, [*keys, "b"])
+    means = stage_table(participant_metric_means(cleaned), "participant-means")
+    rows = means.select("participant_id", F.inline(pairs)).where("a is not null and b is not null")
+    if means.count() <= BAND:
+        ranked = average_ranks(rows, keys)
+    else:
+        ranks_a = value_positions(rows, keys, "a").select(
+            *keys, "a", F.col("average_rank").alias("rank_a")
+        )
+        ranks_b = value_positions(rows, keys, "b").select(
+            *keys, "b", F.col("average_rank").alias("rank_b")
+        )
+        ranked = rows.join(ranks_a, [*keys, "a"]).join(ranks_b, [*keys, "b"])
     return _coefficients(ranked, keys, "n_participants").withColumn(
         "pair", F.concat_ws("_vs_", "metric_1", "metric_2")
     )

@@ -50,17 +50,13 @@ def daily_meals(meals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """
     keys = [*by, "date"]
     dated = with_dish(with_meal_date(meals)).where("date is not null")
-    # Counted from midnight: a day is then cut into many bands when it is ranked.
     at = F.col("time").cast("long")
-    dated = dated.withColumn("at", at - F.unix_millis(F.col("date").cast("timestamp")))
-    served = dated.groupBy(*keys, "at", "dish").agg(
-        F.count(F.lit(1)).alias("servings"), F.min(at).alias("millis")
-    )
+    served = dated.groupBy(*keys, at.alias("at"), "dish").agg(F.count(F.lit(1)).alias("servings"))
     places = value_positions(served, keys, "at", "servings").select(
         *keys, "at", (F.col("start") + 1).alias("first_position")
     )
     return served.join(places, [*keys, "at"], "left").select(
-        *keys, _meal_time(F.col("millis")).alias("meal_time"), "dish", "servings", "first_position"
+        *keys, _meal_time(F.col("at")).alias("meal_time"), "dish", "servings", "first_position"
     )
 
 

@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vitaframe.config import GOOD, OUTLIER
-from vitaframe.functions.order_stats import value_positions
+from vitaframe.functions.order_stats import band_edges, previous_values, value_positions
 
 BY_METRIC = ("metric_type",)
 CLUSTER_HOURS = 24.0
@@ -43,36 +42,20 @@ def metric_noise(cleaned: DataFrame) -> DataFrame:
     )
 
 
-def outlier_gaps(cleaned: DataFrame, by: Sequence[str] = BY_METRIC) -> DataFrame:
-    """Hours from each outlier to the one before it, with how often a gap occurs.
-
-    Outliers at the same instant are counted together first. The one before is
-    found inside each hour; only the first outlier of an hour looks at the last
-    one of the hour before it that has any. So a metric's whole history is never
-    sorted in one place.
-    """
-    keys = list(by)
+def _outlier_moments(cleaned: DataFrame, keys: list[str]) -> DataFrame:
+    """The instants with outliers, and how many each has."""
     present = " AND ".join(f"{c} IS NOT NULL" for c in [*keys, "datetime"])
-    # The hour is never null; saying so lets both uses below share one shuffle.
-    moments = (
+    return (
         cleaned.where((F.col("quality_flag") == OUTLIER) & F.expr(present))
         .groupBy(*keys, F.col("datetime").alias("at"))
         .agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn("_hour", F.expr("coalesce(unix_micros(at) div 3600000000, 0L)"))
-    )
-    hours = moments.groupBy(*keys, "_hour").agg(F.max("at").alias("_last"))
-    earlier = hours.select(
-        *keys,
-        "_hour",
-        F.lag("_last").over(W.partitionBy(*keys).orderBy("_hour")).alias("_earlier"),
+        .withColumn("_micros", F.unix_micros("at"))
     )
-    inside = W.partitionBy(*keys, "_hour").orderBy("at")
-    gaps = (
-        moments.join(earlier, [*keys, "_hour"])
-        .withColumn("_previous", F.coalesce(F.lag("at").over(inside), F.col("_earlier")))
-        .withColumn(
-            "_gap", (F.unix_micros("at") - F.unix_micros("_previous")) / F.lit(3.6e9)
-        )
+
+
+def _gaps(moments: DataFrame, keys: list[str], edges: DataFrame | None) -> DataFrame:
+    gaps = previous_values(moments, keys, "_micros", edges).withColumn(
+        "_gap", (F.col("_micros") - F.col("previous")) / F.lit(3.6e9)
     )
     # Each further outlier at one instant is 0 hours after the one before it.
     return (
@@ -94,12 +77,26 @@ def outlier_gaps(cleaned: DataFrame, by: Sequence[str] = BY_METRIC) -> DataFrame
     )
 
 
+def outlier_gaps(cleaned: DataFrame, by: Sequence[str] = BY_METRIC) -> DataFrame:
+    """Hours from each outlier to the one before it, with how often a gap occurs.
+
+    Outliers at the same instant are counted together first. A metric with very many
+    outliers is cut into ranges of time where they lie, so that its history is never
+    sorted in one place; each range takes the last outlier before it.
+    """
+    keys = list(by)
+    moments = _outlier_moments(cleaned, keys)
+    return _gaps(moments, keys, band_edges(moments, keys, "_micros"))
+
+
 def outlier_clustering(cleaned: DataFrame, by: Sequence[str] = BY_METRIC) -> DataFrame:
     """Whether outliers come in clusters: many gaps of at most a day.
 
     Groups with a single outlier are listed as not clustered.
     """
     keys = list(by)
+    moments = _outlier_moments(cleaned, keys)
+    edges = band_edges(moments, keys, "_micros")
     counts = (
         cleaned.where(F.col("quality_flag") == OUTLIER)
         .groupBy(*keys)
@@ -114,7 +111,8 @@ def outlier_clustering(cleaned: DataFrame, by: Sequence[str] = BY_METRIC) -> Dat
 
     middle = (at_rank("floor((total - 1) / 2)") + at_rank("ceil((total - 1) / 2)")) / 2.0
     spread = (
-        value_positions(outlier_gaps(cleaned, by), keys, "gap_hours", "times")
+        # A group has no more gaps than instants.
+        value_positions(_gaps(moments, keys, edges), keys, "gap_hours", "times", whole=edges is None)
         .groupBy(*keys)
         .agg(
             (F.sum(F.when(gap <= CLUSTER_HOURS, times).otherwise(0)) / total).alias(
