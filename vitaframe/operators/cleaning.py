@@ -2,6 +2,10 @@
 
 The rules run in that order and a reading keeps the first flag it gets, except
 that a missing value always ends as ``missing``.
+
+Flags need a reading's keys and values only. What else a record carries (its payload:
+unit and metadata) stays with the records while they are compared, and is put beside
+the flags by the record's place, its file and position, where it is asked for.
 """
 
 from __future__ import annotations
@@ -22,7 +26,11 @@ from vitaframe.config import (
     per_metric,
 )
 from vitaframe.functions.order_stats import group_summary
+from vitaframe.session import stage_table
 
+# A record's place is unique; copies are told apart by it.
+PLACE = ["source_file", "row_pos"]
+PAYLOAD = ["unit", "metadata"]
 # Smallest number of good readings for which outliers are looked for.
 MIN_FOR_OUTLIERS = 5
 
@@ -37,12 +45,22 @@ def _flag_where(records: DataFrame, test: Column, flag: str) -> DataFrame:
     )
 
 
+def without_payload(records: DataFrame) -> DataFrame:
+    return records.drop(*PAYLOAD)
+
+
+def with_payload(flagged: DataFrame, records: DataFrame) -> DataFrame:
+    """Flagged readings with the unit and metadata of their records."""
+    payload = records.select(*PLACE, *PAYLOAD)
+    return flagged.drop(*PAYLOAD).join(payload, PLACE).select(records.columns)
+
+
 def flag_duplicates(records: DataFrame) -> DataFrame:
     """Flag every copy but the first of a participant's identical readings.
 
     Copies agree in metric, raw time and both values; the first is the one with
-    the smallest position. Copies are combined before the shuffle and
-    only groups that have any are joined back.
+    the smallest place (file, then position). Copies are combined before the
+    shuffle and only groups that have any are joined back.
     """
     keys = ["participant_id", "metric_type", "epoch_raw", "_v1", "_v2", "_no_v1", "_no_v2"]
     keyed = (
@@ -53,12 +71,12 @@ def flag_duplicates(records: DataFrame) -> DataFrame:
     )
     copied = (
         keyed.groupBy(keys)
-        .agg(F.count(F.lit(1)).alias("_copies"), F.min("row_pos").alias("_first"))
+        .agg(F.count(F.lit(1)).alias("_copies"), F.min(F.struct(*PLACE)).alias("_first"))
         .where("_copies > 1")
         .drop("_copies")
     )
     marked = keyed.join(copied, keys, "left")
-    is_copy = F.coalesce(F.col("row_pos") != F.col("_first"), F.lit(False))
+    is_copy = F.coalesce(F.struct(*PLACE) != F.col("_first"), F.lit(False))
     return marked.withColumn(
         "quality_flag", F.when(is_copy, F.lit(DUPLICATE)).otherwise(F.col("quality_flag"))
     ).select(records.columns)
@@ -127,6 +145,8 @@ def flag_outliers(records: DataFrame, settings: Settings = DEFAULTS) -> DataFram
     """
     keys = ["participant_id", "metric_type"]
     limits = outlier_limits(records, settings).where(F.col("n_1") >= MIN_FOR_OUTLIERS)
+    # Staged: Spark sees their size, and readings stay where they are if it is small.
+    limits = stage_table(limits, "outlier-limits")
     joined = records.join(limits, keys, "left")
     z_limit = per_metric(settings, "z_threshold")
 
@@ -151,9 +171,13 @@ def flag_missing(records: DataFrame) -> DataFrame:
 
 
 def clean(records: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """All flag rules over all participants and metrics."""
-    flagged = flag_out_of_range(flag_duplicates(records), settings)
-    return flag_missing(flag_outliers(flagged, settings))
+    """All flag rules over all participants and metrics; readings without their payload.
+
+    Outlier limits and outlier flags both read the readings flagged so far, which are
+    staged in between.
+    """
+    flagged = flag_out_of_range(flag_duplicates(without_payload(records)), settings)
+    return flag_missing(flag_outliers(stage_table(flagged, "flagged"), settings))
 
 
 def in_time_order(records: DataFrame) -> DataFrame:
@@ -161,7 +185,7 @@ def in_time_order(records: DataFrame) -> DataFrame:
 
     Only for writing or showing: no other operator depends on row order.
     """
-    return records.orderBy("participant_id", "metric_type", "datetime", "row_pos")
+    return records.orderBy("participant_id", "metric_type", "datetime", *PLACE)
 
 
 def flag_counts(records: DataFrame) -> list[Column]:

@@ -41,9 +41,10 @@ class Workspace:
     def recipe(self, name: str) -> DataFrame:
         """The table as a plan on the tables before it."""
         recipes: dict[str, Callable[[], DataFrame]] = {
-            # Outlier limits and outlier flags both read the rows flagged so far.
+            # Outlier limits and outlier flags both read the rows flagged so far. Payload
+            # stays with the records.
             "flagged": lambda: cl.flag_out_of_range(
-                cl.flag_duplicates(self.records), self.settings
+                cl.flag_duplicates(cl.without_payload(self.records)), self.settings
             ),
             "cleaned": lambda: cl.flag_missing(
                 cl.flag_outliers(self["flagged"], self.settings)
