@@ -54,7 +54,7 @@ def test_records(spark, export_dir):
         ("participant-7", "steps"): 6,
         ("participant-a", "steps"): 1,
     }
-    assert len({r["row_pos"] for r in rows}) == len(rows)
+    assert len({(r["source_file"], r["row_pos"]) for r in rows}) == len(rows)
     sleep = sorted(r["value_1"] for r in rows if r["metric_type"] == "sleep")
     assert sleep == pytest.approx(sorted([312 / 60, 301 / 60, 302 / 60] * 2))
     hr = {r["value_1"]: r["value_2"] for r in rows if r["metric_type"] == "hr"}
@@ -64,6 +64,86 @@ def test_records(spark, export_dir):
     assert all(r["epoch_raw"] > 1_000_000 for r in rows if r["metric_type"] == "steps" and r["participant_id"] == "participant-7")
 
 
+def test_records_of_very_many_headers(spark, tmp_path):
+    root = str(tmp_path / "in")
+    for i in range(300):
+        row = {"logDateTime": T0 + i * DAY, f"extra{i}": f'a,"{i}"', "steps": 100 + i, "distance": i}
+        names = list(row) if i % 2 else list(row)[::-1]
+        write_csv(f"{root}/participant-{i % 7}/steps_{1734000000 + i}.csv", [{n: row[n] for n in names}] * 2)
+    rows = fs.read_records(spark, root).collect()
+    assert sorted((r["epoch_raw"], r["value_1"], r["value_2"]) for r in rows) == [
+        (T0 + i * DAY, 100.0 + i, float(i)) for i in range(300) for _ in range(2)
+    ]
+    assert len({(r["source_file"], r["row_pos"]) for r in rows}) == 600
+
+
+def test_positions_rise_within_a_file_of_many_parts(spark, tmp_path):
+    root = str(tmp_path / "in")
+    write_csv(f"{root}/physio_data/steps_1.csv", [{"logDateTime": T0 + i, "steps": i} for i in range(40_000)])
+    write_csv(f"{root}/physio_data/steps_2.csv", [{"logDateTime": T0 + i, "steps": i} for i in range(10)])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        rows = fs.read_records(spark, root).where("source_file like '%steps_1.csv'").orderBy("row_pos").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert [r["value_1"] for r in rows] == [float(i) for i in range(40_000)]
+    assert len({r["row_pos"] for r in rows}) == 40_000
+
+
+@pytest.fixture
+def raw_reads(monkeypatch):
+    """The paths that readers of text, JSON and CSV are given."""
+    from pyspark.sql import DataFrameReader
+
+    seen = []
+    for name in ("text", "json", "csv"):
+        plain = getattr(DataFrameReader, name)
+
+        def noted(self, path, *args, plain=plain, **more):
+            seen.append(path)
+            return plain(self, path, *args, **more)
+
+        monkeypatch.setattr(DataFrameReader, name, noted)
+    return seen
+
+
+def test_each_file_is_read_once(spark, export_dir, tmp_path, raw_reads):
+    rows = fs.read_records(spark, export_dir)
+    # Lines of CSV and whole files of JSON: one read of the folder for either kind.
+    assert [p for p in raw_reads if str(p).startswith(export_dir)] == [export_dir, export_dir]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [value") == 1  # JSON; lines of CSV come from the shared folder
+    one = str(tmp_path / "one.json")
+    write_json(one, [{"a": 1, "b": {"c": 2.5}}, {"a": 2, "b": {"c": None}}])
+    raw_reads.clear()
+    df = fs.load_json(spark, one)
+    os.remove(one)
+    assert sorted(map(tuple, df.select("a", "`b.c`").collect())) == [(1, 2.5), (2, None)] and raw_reads.count(one) == 1
+    given = str(tmp_path / "given.json")
+    write_json(given, [{"a": 1}])
+    assert fs.load_json(spark, given, "a string, z int").collect() == [("1", None)]
+
+
+def test_a_column_counts_by_name(spark, tmp_path):
+    """The first candidate column is taken though it holds nothing but nulls."""
+    root = str(tmp_path / "in")
+    both = [{"createdTime": T0 + i, "temperature": None, "temp": 98.0} for i in range(2)]
+    write_json(f"{root}/physio_data/temperature_1.json", both)
+    write_json(f"{root}/physio_data/temperature_2.json", [{"createdTime": T0, "temp": 99.0}])
+    write_json(f"{root}/physio_data/spo2_3.json", {"createdTime": [T0, T0 + 1], "spo2": [95, 96], "device": "d"})
+    write_json(f"{root}/physio_data/spo2_4.json", {"createdTime": [T0], "spo2": [95, 96]})
+    write_json(f"{root}/physio_data/spo2_5.json", [{"createdTime": float(T0) + 7, "spo2": "97"}, 5, None])
+    write_json(f"{root}/physio_data/spo2_6.json", [])
+    for name, text in (("7", ""), ("8", "\ufeff \n [{\"createdTime\": 1734000009, \"spo2\": 9.8e1}]"), ("9", "[{\"a\": "), ("10", "7")):
+        with open(f"{root}/physio_data/spo2_{name}.json", "w") as f:
+            f.write(text)
+    rows = sorted((r["metric_type"], r["epoch_raw"], r["value_1"]) for r in fs.read_records(spark, root).collect())
+    assert rows == [("spo2", T0, 95.0), ("spo2", T0 + 1, 96.0), ("spo2", T0 + 7, 97.0), ("spo2", 1734000009, 98.0), ("temp", T0, 99.0)]
+
+
 def test_parity_mode(spark, export_dir):
     rows = fs.read_records(spark, export_dir, mode="parity").collect()
     assert not [r for r in rows if r["metric_type"] == "spo2"]

@@ -37,6 +37,17 @@ def parse_datetime(column: Column, mode: str = "corrected") -> Column:
     )
 
 
+SLEEP_PARTS = EXPORT_COLUMNS["sleep"]["value"]
+
+
+def candidates(metric: str, role: str, mode: str) -> list[str]:
+    """Names of columns that may hold a metric's time, value or second value."""
+    names = list(EXPORT_COLUMNS[metric][role])
+    if metric == "spo2" and role == "value" and mode == "corrected":
+        names.append("spo2Value")
+    return names
+
+
 def resolve_export_columns(
     df: DataFrame, metric: str, mode: str = "corrected"
 ) -> dict[str, str | None] | None:
@@ -44,21 +55,16 @@ def resolve_export_columns(
 
     The choice depends on the columns that exist, not on their values.
     """
-    wanted = EXPORT_COLUMNS[metric]
-    values = list(wanted["value"])
-    if metric == "spo2" and mode == "corrected":
-        values.append("spo2Value")
     chosen = {
-        "datetime": first_existing(df, wanted["datetime"]),
-        "value": first_existing(df, values),
-        "secondary": first_existing(df, wanted["secondary"]),
+        role: first_existing(df, candidates(metric, role, mode))
+        for role in ("datetime", "value", "secondary")
     }
     return chosen if chosen["datetime"] and chosen["value"] else None
 
 
 def sleep_total(df: DataFrame) -> Column:
     """Light, deep and almost-awake sleep added up, absent parts as 0."""
-    parts = [c for c in EXPORT_COLUMNS["sleep"]["value"] if c in df.columns]
+    parts = [c for c in SLEEP_PARTS if c in df.columns]
     total = F.lit(0.0)
     for part in parts:
         total = total + F.coalesce(parse_number(F.col(part)), F.lit(0.0))
@@ -75,27 +81,41 @@ def standardize_export(df: DataFrame, metric: str, mode: str = "corrected") -> D
     chosen = resolve_export_columns(df, metric, mode)
     if chosen is None:
         return None
-    raw_time = F.col(f"`{chosen['datetime']}`")
-    if metric == "sleep" and {"lightSleep", "deepSleep"} <= set(df.columns):
-        value = sleep_total(df)
-    else:
-        value = parse_number(F.col(f"`{chosen['value']}`"))
-    if metric == "sleep" and mode == "corrected":
-        value = value / 60.0
-    second = (
-        parse_number(F.col(f"`{chosen['secondary']}`"))
-        if chosen["secondary"]
-        else F.lit(None).cast("double")
+    second = F.col(f"`{chosen['secondary']}`") if chosen["secondary"] else F.lit(None)
+    is_total = metric == "sleep" and {"lightSleep", "deepSleep"} <= set(df.columns)
+    readings = df.select(
+        "participant_id",
+        F.lit(metric).alias("metric_type"),
+        "source_file",
+        "row_pos",
+        F.lit(is_total).alias("is_total"),
+        F.col(f"`{chosen['datetime']}`").alias("raw_time"),
+        F.col(f"`{chosen['value']}`").alias("raw_value"),
+        second.alias("raw_second"),
+        *[(F.col(p) if p in df.columns else F.lit(None)).alias(p) for p in SLEEP_PARTS],
     )
+    return readings_to_records(readings, mode)
+
+
+def readings_to_records(readings: DataFrame, mode: str = "corrected") -> DataFrame:
+    """Raw readings of any metric to records.
+
+    ``readings``: participant_id, metric_type, source_file, row_pos, raw_time, raw_value,
+    raw_second, is_total (sleep given by its parts) and the parts of sleep.
+    """
+    value = F.when(F.col("is_total"), sleep_total(readings)).otherwise(parse_number(F.col("raw_value")))
+    if mode == "corrected":
+        value = F.when(F.col("metric_type") == "sleep", value / 60.0).otherwise(value)
+    raw_time = F.col("raw_time")
     when = parse_datetime(raw_time, mode)
     return (
-        df.select(
+        readings.select(
             "participant_id",
-            F.lit(metric).alias("metric_type"),
+            "metric_type",
             when.alias("datetime"),
             F.coalesce(raw_time.try_cast("long"), F.unix_micros(when)).alias("epoch_raw"),
             value.alias("value_1"),
-            second.alias("value_2"),
+            parse_number(F.col("raw_second")).alias("value_2"),
             F.lit("").alias("unit"),
             F.create_map().cast("map<string,string>").alias("metadata"),
             F.lit(GOOD).alias("quality_flag"),
