@@ -262,6 +262,36 @@ def test_threshold_deviations_with_meals(spark, make_records):
     assert {r["date"].day for r in together.collect()} == {7}
 
 
+def test_deviating_days_and_their_dishes(spark, make_records):
+    rows = [("p", "hr", day(i), 80.0) for i in range(6)] + [("p", "hr", day(6), 101.0), ("p", "hr", day(7), 50.0)]
+    rows += [("p", "bp", day(i), 120.0 if i < 6 else 150.0) for i in range(8)]
+    found = de.threshold_deviations(make_records(rows))
+    meals = _meals(spark, [("Soup", day(6), "p"), ("Soup", day(6), "p"), ("Tea", day(6, 2), "p"), ("Tea", day(6), "q"), ("Tea", day(1), "p")])
+    days = {r["day_id"]: r for r in de.deviating_days(found, meals).collect()}
+    assert sorted(days) == ["p/2024-01-07", "p/2024-01-08"]
+    one, two = days["p/2024-01-07"], days["p/2024-01-08"]
+    assert [d["metric_type"] for d in one["deviations"]] == ["bp", "hr"] and (one["meals"], two["meals"]) == (3, 0)
+    dishes = de.deviating_day_dishes(found, meals).collect()
+    assert sorted((r["day_id"], r["meal_time"], r["dish"], r["servings"]) for r in dishes) == [
+        ("p/2024-01-07", "09:00", "Soup", 2), ("p/2024-01-07", "11:00", "Tea", 1),
+    ]
+
+
+def test_deviation_report_names_meals_and_units(spark):
+    rows = [(dt.date(2024, 1, d), m, v, 100.0, z, "above") for d, m, v, z in [
+        (1, "systolic", 150.4, 2.0), (1, "sleep_duration", 7.25, 1.6), (2, "resting_hr", 61.5, -1.7), (3, "temperature", 98.25, 1.8), (3, "weight", 70.0, 1.8)]]
+    found = spark.createDataFrame(rows, "date date, metric string, value double, mean double, z_score double, direction string")
+    served = [("Tea", day(0, 2), "p"), ("Rice", day(0), "p"), ("Rice", day(0), "q"), ("Soup", day(0), "p")]
+    served += [(f"d{i % 2}", day(2, i % 3), "p") for i in range(70)]
+    got = {(r["date"].day, r["metric"]): r for r in de.deviation_report(found, _meals(spark, served)).collect()}
+    assert got[1, "systolic"]["meals_text"] == "Rice, Rice, Soup, Tea" and got[1, "systolic"]["meals"] == 4
+    assert got[2, "resting_hr"]["meals_text"] == "No meals recorded" and got[2, "resting_hr"]["meals"] == 0
+    many = got[3, "weight"]["meals_text"]
+    assert many.endswith(" and 20 more") and many.count(", ") == 49 and many.startswith("d0, d0")
+    assert [got[k]["display_value"] for k in sorted(got)] == ["7.2 hours", "150 mmHg", "62 bpm", "98.2°C", "70.0"]
+    assert got[1, "systolic"]["display_baseline"] == "100 mmHg" and got[1, "systolic"]["severity"] == "severe"
+
+
 def test_daily_meals(spark):
     meals = _meals(spark, [("Soup", day(0, 3), "p"), ("Tea", day(0), "p"), ("Tea", day(0), "q"), ("Rice", day(0), "p"), ("Tea", day(1), "p")])
     rows = me.daily_meals(meals).orderBy("date", "first_position", "dish").collect()

@@ -1,10 +1,13 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from vitaframe.config import DEFAULTS, GOOD
 from vitaframe.operators import cleaning as cl
 from vitaframe.operators import noise as no
 from vitaframe.operators import quality as qu
 from vitaframe.operators import records as rec
+from vitaframe.session import stage_table
 
 T = dt.datetime(2024, 3, 1, 8)
 
@@ -123,10 +126,47 @@ def test_quality_reports(make_records):
     assert (overall["total_records"], overall["total_participants"], overall["total_metrics"]) == (4, 2, 2)
     assert overall["good_data_percentage"] == 50.0 and overall["outlier"] == 1
     assert reports["temporal_range"].first()["days"] == 4
+    # One pass gives what every report gives on its own.
+    own = {
+        "overall_stats": qu.overall_quality, "participant_stats": qu.participant_quality,
+        "metric_stats": qu.metric_quality, "temporal_range": qu.date_range,
+        "temporal_stats": qu.daily_quality, "quality_flags_distribution": qu.flag_distribution,
+    }
+    for name, report in own.items():
+        alone = report(make_records(rows))
+        assert sorted(map(str, reports[name].select(alone.columns).collect())) == sorted(map(str, alone.collect()))
     empty = make_records(rows).where("false")
+    assert all(df.count() == 0 for df in qu.quality_reports(empty).values())
     assert qu.overall_quality(empty).count() == 0 and qu.date_range(empty).count() == 0
 
 
+def test_payload_stays_out_of_exchanges(spark, make_records):
+    """Unit and metadata take no part in flagging, and come back by the record's place."""
+    rows = [("a", "hr", _at(i // 2), 60.0 + i // 2) for i in range(20)]
+    records = make_records(rows).withColumn("metadata", F.create_map(F.lit("n"), F.col("row_pos").cast("string"))).withColumn("unit", F.lit("bpm"))
+    records = stage_table(records, "records")
+    cleaned = cl.clean(records)
+    assert not {"metadata", "unit"} & set(cleaned.columns)
+    slim = cl.flag_duplicates(cl.without_payload(records))
+    slim.collect()
+    # Not even read.
+    plan = slim._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "metadata" not in plan
+    whole = cl.with_payload(cleaned, records).orderBy("row_pos").collect()
+    assert [(r["metadata"]["n"], r["unit"], r["quality_flag"]) for r in whole] == [
+        (str(i), "bpm", "duplicate" if i % 2 else GOOD) for i in range(20)
+    ]
+    assert cl.with_payload(cleaned, records).columns == records.columns
+
+
+def test_the_first_copy_is_the_one_of_the_first_file(make_records):
+    rows = [("a", "hr", _at(0), 60.0)] * 4
+    records = make_records(rows).withColumn("source_file", F.when(F.col("row_pos") < 2, "b.csv").otherwise("a.csv"))
+    records = records.withColumn("row_pos", F.col("row_pos") % 2)
+    got = {(r["source_file"], r["row_pos"]): r["quality_flag"] for r in cl.flag_duplicates(records).collect()}
+    assert got == {("a.csv", 0): GOOD, ("a.csv", 1): "duplicate", ("b.csv", 0): "duplicate", ("b.csv", 1): "duplicate"}
+
+
 def test_collections(make_records):
     df = make_records([("a", "hr", _at(i), 70.0) for i in range(3)])
     assert rec.between_dates(df, _at(0), _at(1)).count() == 2

@@ -164,11 +164,14 @@ def test_number_texts(spark):
     rng = random.Random(1)
     values = [0.835, 0.125, 0.005, 2.675, 1.005, 122.25, 122.35, 0.0, 99.95, 0.5, 1.5, 2.5, 511.5, 4096.5, 0.25]
     values += [round(rng.uniform(0, 500), 3) for _ in range(500)] + [round(rng.random(), 4) for _ in range(500)]
+    # One way for all magnitudes: around 512 and 0.001, far above and below, and negative.
+    values += [round(rng.uniform(500, 530), 3) for _ in range(300)] + [round(rng.uniform(0, 0.002), 6) for _ in range(300)]
+    values += [rng.randrange(10**9) / 8 for _ in range(300)] + [-round(rng.uniform(0, 2000), 2) for _ in range(300)]
+    values += [1234567.005, 511.995, 512.005, 1000.125, 0.0009765, 1e-300, 4503599627370497.5, 1e15 + 0.125, -0.005]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     for digits in (0, 1, 2, 3):
         for r in df.withColumn("t", fixed("v", digits)).collect():
-            if r["v"] == 0 or r["v"] >= 2**-10:
-                assert r["t"] == f"{r['v']:.{digits}f}"
+            assert r["t"] == f"{r['v']:.{digits}f}"
     r = df.where("v in (2.5, 0.125, 122.25)").withColumn("t", round_even("v", 1)).collect()
     assert {x["v"]: x["t"] for x in r} == {2.5: 2.5, 0.125: 0.1, 122.25: 122.2}
     assert spark.range(1).select(fixed(F.lit(None), 1).alias("t")).first()["t"] is None

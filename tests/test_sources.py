@@ -211,12 +211,23 @@ def test_declared_tables(spark):
     )
 
 
-def test_flat_table_finds_keys(spark):
-    df = spark.createDataFrame([("1", "a"), ("2", None)], "heart_rate string, device string").withColumn(
+def test_flat_table(spark):
+    rows = [("1", "a", "60"), ("2", None, "61")]
+    df = spark.createDataFrame(rows, "heart_rate string, device string, device_id string").withColumn(
         "datetime", F.lit("2024-01-01")
     )
-    flat = rec.flat_table(sd.standardize_declared(df, "p", "hr"))
-    assert "device" in flat.columns and flat.where("device = 'a'").count() == 1
+    records = sd.standardize_declared(df, "p", "hr")
+    named = rec.flat_table(records, rec.metadata_keys(records))
+    assert "device" in named.columns and named.where("device = 'a'").count() == 1
+    # Without keys nothing is asked of the data: declared columns, and the rest by path.
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    flat = rec.flat_table(records)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+    assert "device" not in flat.columns and {"pulse", "device_id", "other"} <= set(flat.columns)
+    got = flat.select("device_id", F.variant_get("other", "$.device", "string"), F.to_json("other"), "pulse").collect()
+    assert sorted(map(tuple, got)) == [("60", "a", '{"device":"a"}', None), ("61", None, '{"device":null}', None)]
+    bare = rec.flat_table(records.withColumn("metadata", F.lit(None).cast("map<string,string>")))
+    assert {r["v"] for r in bare.select(F.to_json("other").alias("v")).collect()} == {"{}"}
 
 
 def test_sinks(spark, tmp_path):

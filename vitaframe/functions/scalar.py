@@ -24,33 +24,43 @@ def round_even(value, digits: int = 0) -> Column:
     return F.rint(value * scale) / scale
 
 
+def _split(x):
+    """A double as the sum of two with half the digits each (Veltkamp)."""
+    wide = x * 134217729.0
+    high = wide - (wide - x)
+    return high, x - high
+
+
 def fixed(value, digits: int) -> Column:
     """Text with a fixed number of decimals; null stays null.
 
-    Rounds the exact binary value, halves to even: 0.835 is stored slightly
-    below and gives ``0.83``. Between 0.001 and 512 the exact value is a whole
-    number of 2**-62 or 2**-53; other numbers are rounded after scaling.
+    Rounds the exact binary value, halves to even, for every magnitude: 0.835 is
+    stored slightly below and gives ``0.83``. The fraction is taken off (exactly) and
+    scaled; what rounding that product left over (Dekker) decides where it is a half.
     """
     value = F.col(value) if isinstance(value, str) else value
+    scale = float(10**digits)
+    scale_high, scale_low = _split(scale)
 
     def text(v: Column) -> Column:
         size = F.abs(v)
-        fine = size < 1.0
-        unit = F.when(fine, F.lit(2**62)).otherwise(F.lit(2**53)).cast("decimal(19,0)")
-        scaled = (v * F.when(fine, F.lit(2.0**62)).otherwise(F.lit(2.0**53))).cast("long")
-        tens = scaled.cast("decimal(19,0)") * F.lit(10**digits).cast("decimal(5,0)")
-
-        def exact(whole: Column) -> Column:
-            twice = (tens - whole * unit) * F.lit(2).cast("decimal(1,0)")
-            up = (twice > unit) | ((twice == unit) & (F.pmod(whole, F.lit(2)) == 1))
-            return (whole + F.when(up, F.lit(1)).otherwise(F.lit(0))).cast("double")
-
-        in_reach = (size < 512.0) & ((size >= 2.0**-10) | (size == 0.0))
-        shown = F.when(
-            in_reach,
-            _with(F.floor(tens / unit).cast("decimal(10,0)"), exact) / float(10**digits),
-        ).otherwise(round_even(v, digits))
-        return F.when(v.isNotNull(), F.format_string(f"%.{digits}f", shown))
+        whole = F.floor(size).cast("double") if digits else F.rint(size)
+        fraction = size - whole if digits else F.lit(0.0)
+        product = fraction * scale
+        high, low = _split(fraction)
+        rest = ((high * scale_high - product) + high * scale_low + low * scale_high) + low * scale_low
+        nearest = F.rint(product)
+        half = (F.abs(product - nearest) == 0.5) & (rest != 0.0)
+        above = F.floor(product) + F.when(rest > 0.0, 1.0).otherwise(0.0)
+        units = F.when(half, above).otherwise(nearest)
+        carried = units >= scale
+        shown = F.concat(
+            F.when(v < 0.0, "-").otherwise(""),
+            F.format_string("%d", (whole + F.when(carried, 1.0).otherwise(0.0) if digits else whole).cast("long")),
+            *([F.lit("."), F.format_string(f"%0{digits}d", F.when(carried, 0.0).otherwise(units).cast("long"))] if digits else []),
+        )
+        # Beyond 2**52 a double has no decimals.
+        return F.when(size < 2.0**52, shown).when(v.isNotNull(), F.format_string(f"%.{digits}f", v))
 
     return _with(value.cast("double"), text)
 

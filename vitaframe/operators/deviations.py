@@ -4,18 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vitaframe.config import DEFAULTS, METRICS, Settings
+from vitaframe.functions.scalar import fixed
 from vitaframe.operators.daily import daily_named_means, daily_wide, unpivot_daily
-from vitaframe.operators.meals import dishes_by_day
+from vitaframe.operators.meals import dishes_by_day, meal_instants
 
 MIN_DAYS = 3
 Z_LIMIT = 1.5
 MIN_THRESHOLD_DAYS = 7
 PERCENT_LIMIT = 10.0
 SEVERE_PERCENT = 20.0
+# Meals that the report names for one day.
+REPORT_MEALS = 50
+# The text for a day without meals; decimals and unit of printed values, by
+# what the metric's name contains.
+NO_MEALS = "No meals recorded"
+DISPLAY = {
+    "systolic": (0, " mmHg"),
+    "diastolic": (0, " mmHg"),
+    "hr": (0, " bpm"),
+    "heart": (0, " bpm"),
+    "sleep": (1, " hours"),
+    "step": (0, " steps"),
+    "spo2": (0, "%"),
+    "oxygen": (0, "%"),
+    "temp": (1, "°C"),
+}
+DISPLAY_DEFAULT_DIGITS = 1
 
 
 def deviation_stats(means: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -118,6 +137,40 @@ def threshold_deviations(
     )
 
 
+def with_day_id(days: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Adds ``day_id``, which names a participant's day in all tables about it."""
+    return days.withColumn("day_id", F.concat_ws("/", *by, F.col("date").cast("string")))
+
+
+def deviating_days(
+    deviations: DataFrame, meals: DataFrame, by: Sequence[str] = ("participant_id",)
+) -> DataFrame:
+    """One row per deviating day: what deviated, and how many meals were eaten.
+
+    ``deviations`` lists the at most six deviating metrics. The dishes of the day are
+    the rows of ``deviating_day_dishes`` with the same ``day_id``.
+    """
+    days = deviations.groupBy(*by, "date").agg(
+        F.sort_array(
+            F.collect_list(
+                F.struct("metric_type", "value", "baseline", "deviation_pct", "outside_threshold")
+            )
+        ).alias("deviations")
+    )
+    eaten = dishes_by_day(meals, by).groupBy(*by, "date").agg(F.sum("servings").alias("meals"))
+    return with_day_id(days.join(eaten, [*by, "date"], "left"), by).withColumn(
+        "meals", F.coalesce("meals", F.lit(0).cast("long"))
+    )
+
+
+def deviating_day_dishes(
+    deviations: DataFrame, meals: DataFrame, by: Sequence[str] = ("participant_id",)
+) -> DataFrame:
+    """The dishes of deviating days, one row per day, time and dish; none for a day without meals."""
+    days = deviations.select(*by, "date").distinct()
+    return with_day_id(dishes_by_day(meals, by).join(days, [*by, "date"], "left_semi"), by)
+
+
 def deviation_days_with_meals(
     deviations: DataFrame, meals: DataFrame, by: Sequence[str] = ("participant_id",)
 ) -> DataFrame:
@@ -138,20 +191,59 @@ def deviation_days_with_meals(
     )
 
 
+def _named_meals(meals: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The meals of each day in one text, in order of time, and their number.
+
+    Names the first REPORT_MEALS and how many more there were: a day of a whole cohort
+    has no bound. Rows of equal meals are combined first, and only the first rows of a
+    day are brought together.
+    """
+    keys = [*by, "date"]
+    served = meal_instants(meals, by)
+    place = W.partitionBy(*keys).orderBy(F.col("at").asc_nulls_last(), "dish")
+    first = (
+        served.withColumn("_place", F.row_number().over(place))
+        .where(F.col("_place") <= REPORT_MEALS)
+        .withColumn("_before", F.sum("servings").over(place.rowsBetween(W.unboundedPreceding, -1)))
+        .withColumn("_room", F.lit(REPORT_MEALS) - F.coalesce("_before", F.lit(0)))
+        .where("_room > 0")
+        .withColumn("_shown", F.least("servings", "_room").cast("int"))
+        .withColumn("_text", F.array_join(F.array_repeat("dish", F.col("_shown")), ", "))
+    )
+    named = first.groupBy(*keys).agg(
+        F.expr("listagg(_text, ', ') WITHIN GROUP (ORDER BY _place)").alias("_named"),
+        F.sum("_shown").alias("_count"),
+    )
+    totals = served.groupBy(*keys).agg(F.sum("servings").alias("meals"))
+    more = F.col("meals") - F.col("_count")
+    text = F.when(more > 0, F.concat("_named", F.format_string(" and %d more", more))).otherwise(
+        F.col("_named")
+    )
+    return totals.join(named, keys).select(*keys, "meals", text.alias("meals_text"))
+
+
+def _shown(value: str) -> Column:
+    """A value as it is printed: decimals and unit by the metric's name."""
+    text = fixed(value, DISPLAY_DEFAULT_DIGITS)
+    for name, (digits, unit) in reversed(DISPLAY.items()):
+        text = F.when(F.col("metric").contains(name), F.concat(fixed(value, digits), F.lit(unit))).otherwise(text)
+    return text
+
+
 def deviation_report(
     deviations: DataFrame, meals: DataFrame, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Z-score deviations with per cent off the mean, severity and meals that day."""
-    eaten = (
-        dishes_by_day(meals, by).groupBy(*by, "date").agg(F.sum("servings").alias("meals"))
-    )
+    """Z-score deviations by date: value and mean in their units, severity, that day's meals."""
     pct = F.when(F.col("mean") == 0, F.lit(0.0)).otherwise(
         F.try_divide(F.col("value") - F.col("mean"), F.col("mean")) * 100.0
     )
     severe = (F.abs("deviation_pct") > SEVERE_PERCENT) | (F.abs("z_score") > Z_LIMIT)
     return (
-        deviations.join(eaten, [*by, "date"], "left")
-        .withColumn("meals", F.coalesce("meals", F.lit(0)))
+        deviations.join(_named_meals(meals, by), [*by, "date"], "left")
+        .withColumn("meals", F.coalesce("meals", F.lit(0).cast("long")))
+        .withColumn("meals_text", F.coalesce("meals_text", F.lit(NO_MEALS)))
         .withColumn("deviation_pct", pct)
         .withColumn("severity", F.when(severe, F.lit("severe")).otherwise(F.lit("mild")))
+        .withColumn("display_value", _shown("value"))
+        .withColumn("display_baseline", _shown("mean"))
     )

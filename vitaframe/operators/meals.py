@@ -41,6 +41,16 @@ def _meal_time(millis: Column) -> Column:
     return F.coalesce(clock(F.timestamp_millis(within_timestamps(millis, 1000))), F.lit(UNKNOWN_TIME))
 
 
+def meal_instants(meals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Servings of each dish per day and millisecond (``at``; null without a time)."""
+    return (
+        with_dish(with_meal_date(meals))
+        .where("date is not null")
+        .groupBy(*by, "date", F.col("time").cast("long").alias("at"), "dish")
+        .agg(F.count(F.lit(1)).alias("servings"))
+    )
+
+
 def daily_meals(meals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """What was eaten on each day and when, in order of time.
 
@@ -49,9 +59,7 @@ def daily_meals(meals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     time are kept; they have no place.
     """
     keys = [*by, "date"]
-    dated = with_dish(with_meal_date(meals)).where("date is not null")
-    at = F.col("time").cast("long")
-    served = dated.groupBy(*keys, at.alias("at"), "dish").agg(F.count(F.lit(1)).alias("servings"))
+    served = meal_instants(meals, by)
     places = value_positions(served, keys, "at", "servings").select(
         *keys, "at", (F.col("start") + 1).alias("first_position")
     )

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitaframe.config import GOOD, METRICS
+from vitaframe.config import FLAGS, GOOD, METRICS
 from vitaframe.operators.cleaning import flag_counts
+from vitaframe.session import stage_table
 from vitaframe.sources.files import file_date_range
 
 
@@ -14,57 +15,56 @@ def _good_share() -> Column:
     return F.col(GOOD) / F.col("total_records") * 100.0
 
 
-def overall_quality(cleaned: DataFrame) -> DataFrame:
-    """Totals, flag counts and share of good rows of the whole table.
-
-    Counted per participant and metric first, so that the distinct counts run
-    over a small table.
-    """
-    per_group = cleaned.groupBy("participant_id", "metric_type").agg(
+def _per_group(cleaned: DataFrame) -> DataFrame:
+    """Rows and flag counts per participant and metric: what all totals are sums of."""
+    return cleaned.groupBy("participant_id", "metric_type").agg(
         F.count(F.lit(1)).alias("total_records"), *flag_counts(cleaned)
     )
+
+
+def _summed(per_group: DataFrame) -> list[Column]:
+    return [F.sum(c).alias(c) for c in per_group.columns[2:]]
+
+
+def _overall(per_group: DataFrame) -> DataFrame:
+    first, *flags = _summed(per_group)
     return (
         per_group.agg(
-            F.sum("total_records").alias("total_records"),
+            first,
             F.countDistinct("participant_id").alias("total_participants"),
             F.countDistinct("metric_type").alias("total_metrics"),
-            *[F.sum(c).alias(c) for c in per_group.columns[3:]],
+            *flags,
         )
         .where("total_records > 0")
         .withColumn("good_data_percentage", _good_share())
     )
 
 
-def participant_quality(cleaned: DataFrame) -> DataFrame:
-    """Flag counts, share of good rows and number of metrics per participant."""
-    per_group = cleaned.groupBy("participant_id", "metric_type").agg(
-        F.count(F.lit(1)).alias("total_records"), *flag_counts(cleaned)
-    )
+def _by(per_group: DataFrame, key: str, others: str) -> DataFrame:
     return (
-        per_group.groupBy("participant_id")
-        .agg(
-            F.sum("total_records").alias("total_records"),
-            *[F.sum(c).alias(c) for c in per_group.columns[3:]],
-            F.count(F.lit(1)).alias("metrics_available"),
-        )
+        per_group.groupBy(key)
+        .agg(*_summed(per_group), F.count(F.lit(1)).alias(others))
         .withColumn("good_data_percentage", _good_share())
     )
 
 
+def overall_quality(cleaned: DataFrame) -> DataFrame:
+    """Totals, flag counts and share of good rows of the whole table.
+
+    Counted per participant and metric first, so that the distinct counts run
+    over a small table.
+    """
+    return _overall(_per_group(cleaned))
+
+
+def participant_quality(cleaned: DataFrame) -> DataFrame:
+    """Flag counts, share of good rows and number of metrics per participant."""
+    return _by(_per_group(cleaned), "participant_id", "metrics_available")
+
+
 def metric_quality(cleaned: DataFrame) -> DataFrame:
     """Flag counts, share of good rows and number of participants per metric."""
-    per_group = cleaned.groupBy("participant_id", "metric_type").agg(
-        F.count(F.lit(1)).alias("total_records"), *flag_counts(cleaned)
-    )
-    return (
-        per_group.groupBy("metric_type")
-        .agg(
-            F.sum("total_records").alias("total_records"),
-            *[F.sum(c).alias(c) for c in per_group.columns[3:]],
-            F.count(F.lit(1)).alias("participants_with_data"),
-        )
-        .withColumn("good_data_percentage", _good_share())
-    )
+    return _by(_per_group(cleaned), "metric_type", "participants_with_data")
 
 
 def flag_distribution(cleaned: DataFrame) -> DataFrame:
@@ -92,14 +92,39 @@ def date_range(cleaned: DataFrame) -> DataFrame:
 
 
 def quality_reports(cleaned: DataFrame) -> dict[str, DataFrame]:
-    """Every quality report of a cleaned table."""
+    """Every quality report of a cleaned table, from one pass over it.
+
+    The pass counts rows per participant, metric, flag and day; that table is staged,
+    and each report adds its rows up.
+    """
+    day = F.to_date("datetime").alias("date")
+    counted = stage_table(
+        cleaned.groupBy("participant_id", "metric_type", "quality_flag", day).agg(
+            F.count(F.lit(1)).alias("records")
+        ),
+        "quality-counts",
+    )
+    flag = F.col("quality_flag")
+
+    def of(name: str) -> Column:
+        return F.sum(F.when(flag == name, F.col("records")).otherwise(0))
+
+    per_group = counted.groupBy("participant_id", "metric_type").agg(
+        F.sum("records").alias("total_records"), *[of(name).alias(name) for name in FLAGS]
+    )
     return {
-        "overall_stats": overall_quality(cleaned),
-        "participant_stats": participant_quality(cleaned),
-        "metric_stats": metric_quality(cleaned),
-        "temporal_range": date_range(cleaned),
-        "temporal_stats": daily_quality(cleaned),
-        "quality_flags_distribution": flag_distribution(cleaned),
+        "overall_stats": _overall(per_group),
+        "participant_stats": _by(per_group, "participant_id", "metrics_available"),
+        "metric_stats": _by(per_group, "metric_type", "participants_with_data"),
+        "temporal_range": counted.agg(F.min("date").alias("start"), F.max("date").alias("end"))
+        .where("start is not null")
+        .withColumn("days", F.datediff("end", "start") + 1),
+        "temporal_stats": counted.groupBy("date").agg(
+            F.sum("records").alias("total"), of(GOOD).alias("good")
+        ),
+        "quality_flags_distribution": counted.groupBy("metric_type", "quality_flag").agg(
+            F.sum("records").alias("records")
+        ),
     }
 
 

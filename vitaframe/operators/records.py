@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitaframe.functions.scalar import clock, month_name, weekday
+from vitaframe.schemas import DECLARED_SCHEMAS
 
 
 def of_participant(records: DataFrame, participant_id: str) -> DataFrame:
@@ -58,15 +59,33 @@ def append_records(*tables: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
+# Columns that tables of declared metrics may bring along, in the order they are declared.
+DECLARED_KEYS = list(
+    dict.fromkeys(
+        name
+        for declared in DECLARED_SCHEMAS.values()
+        for name in [*declared["required"], *declared["optional"]]
+        if name != "datetime"
+    )
+)
+
+
 def metadata_keys(records: DataFrame) -> list[str]:
-    """The metadata keys in use; a list of column names, not of data."""
+    """The metadata keys in use, for ``flat_table``. They come to the driver: each is to be a column."""
     rows = records.select(F.explode(F.map_keys("metadata")).alias("key")).distinct().collect()
     return sorted(row["key"] for row in rows)
 
 
 def flat_table(records: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Records with one column per metadata key."""
-    keys = metadata_keys(records) if keys is None else keys
+    """Records with one column per metadata key.
+
+    Without ``keys`` these are the declared ones, and whatever else a record carries is in
+    ``other``, a variant whose fields are read by path (``other:device``): which keys
+    occur needs not be known, so nothing is collected and the plan is the same for all data.
+    """
+    columns = DECLARED_KEYS if keys is None else keys
+    rest = F.map_filter("metadata", lambda k, v: ~k.isin(columns))
+    other = [F.to_variant_object(F.coalesce(rest, F.create_map().cast("map<string,string>"))).alias("other")]
     return records.select(
         "participant_id",
         "metric_type",
@@ -75,7 +94,8 @@ def flat_table(records: DataFrame, keys: list[str] | None = None) -> DataFrame:
         "value_2",
         "unit",
         "quality_flag",
-        *[F.try_element_at("metadata", F.lit(k)).alias(k) for k in keys],
+        *[F.try_element_at("metadata", F.lit(k)).alias(k) for k in columns],
+        *(other if keys is None else []),
     )
 
 

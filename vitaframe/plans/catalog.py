@@ -28,9 +28,11 @@ from vitaframe.operators import quality as qu
 from vitaframe.operators import records as rec
 from vitaframe.operators import reports as rep
 from vitaframe.operators import statistics as st
+from vitaframe.plans.documents import document_rows, participant_documents
 from vitaframe.plans.workspace import Workspace, event_workspace
 from vitaframe.sources import standardize as sd
-from vitaframe.sources.tables import EVENT_SETTINGS, read_table
+from vitaframe.sources.files import file_date_range, file_epoch, metric_from_file
+from vitaframe.sources.tables import EVENT_SETTINGS, event_records, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -193,9 +195,41 @@ def _(spark, sf_dir):
 
 @on_tables("aliased_columns")
 def _(spark, sf_dir):
-    raw = _raw(spark, sf_dir, pulse="value", bpm="k")
+    raw = _raw(spark, sf_dir, pulse="value", bpm="cast(k as double)")
     renamed = rename_aliases(raw, [(["heart_rate", "pulse"], "value"), (["bpm"], "second")])
-    return renamed.agg(F.sum("value").alias("value"), F.count("second").alias("second"))
+    return renamed.drop("source_file")
+
+
+# Events whose ids agree but for the last digits make up one file of arrays or objects.
+PER_FILE = 500
+
+
+@on_tables("parallel_array_rows")
+def _(spark, sf_dir):
+    events = _raw(spark, sf_dir, at="epoch", value="value")
+    one = F.array_sort(F.collect_list(F.struct("row_pos", "at", "value")))
+    files = events.groupBy(F.expr(f"row_pos div {PER_FILE}").alias("file")).agg(one.alias("rows"))
+    arrays = files.select("file", "rows.row_pos", "rows.at", "rows.value")
+    return sd.rows_from_parallel_arrays(arrays, ["row_pos", "at", "value"])
+
+
+@on_tables("nested_only_rows")
+def _(spark, sf_dir):
+    events = _raw(spark, sf_dir, createdTime="epoch", spo2="value", confidence="k")
+    reading = F.struct("row_pos", "createdTime", F.struct("spo2", "confidence").alias("of"))
+    files = events.groupBy(
+        F.col("participant_id"), F.expr(f"row_pos div {PER_FILE}").alias("file")
+    ).agg(F.collect_list(reading).alias("data"))
+    nested = sd.unnest_only_column(files.drop("file"), "data")
+    named = nested.withColumnsRenamed({"of.spo2": "spo2", "of.confidence": "confidence"})
+    return sd.standardize_export(named.withColumn("source_file", F.lit("f")), "spo2").select(RECORD_VIEW)
+
+
+@on_tables("file_dates")
+def _(spark, sf_dir):
+    names = _raw(spark, sf_dir, file_name="concat('steps_', epoch, if(event_type = 'view', '.json', '.csv'))")
+    files = names.withColumn("metric_type", metric_from_file(F.col("file_name"))).where("metric_type is not null")
+    return file_date_range(files.withColumn("file_epoch", file_epoch(F.col("file_name"))))
 
 
 @on_tables("found_columns")
@@ -228,6 +262,20 @@ def _(ws):
     return flat.withColumn("datetime", F.unix_micros("datetime"))
 
 
+@on_workspace("flat_records_by_path")
+def _(ws):
+    flat = rec.flat_table(ws.records)
+    return flat.select(
+        "participant_id",
+        "metric_type",
+        F.unix_micros("datetime").alias("datetime"),
+        "value_1",
+        F.variant_get("other", "$.event_type", "string").alias("event_type"),
+        F.variant_get("other", "$.props", "string").alias("props"),
+        "device_id",
+    )
+
+
 @on_workspace("calendar_parts")
 def _(ws):
     return rec.with_calendar(ws.records).select(
@@ -281,12 +329,11 @@ def _(ws):
     return ins.finding_severity(found).select("participant_id", "code", "severity")
 
 
-@on_workspace("appended_records")
-def _(ws):
-    both = rec.append_records(
-        rec.of_metric(ws.records, "bp"), rec.of_metric(ws.records, "temp").drop("value_2")
-    )
-    return both.select(VIEW)
+@on_tables("appended_records")
+def _(spark, sf_dir):
+    # Two whole tables, the second without a column of the first.
+    plain_events = event_records(spark, sf_dir, with_repeats=False).drop("value_2")
+    return rec.append_records(event_workspace(spark, sf_dir).records, plain_events).select(VIEW)
 
 
 @on_workspace("common_dates")
@@ -706,6 +753,7 @@ def _(ws):
         "frequency_code",
         "recovery_code",
         "clustered",
+        F.array_join("insights", "; ").alias("sentences"),
     )
 
 
@@ -754,6 +802,34 @@ def _(ws):
     )
 
 
+@on_workspace("deviating_days")
+def _(ws):
+    found = de.threshold_deviations(ws["cleaned"], settings=EVENT_SETTINGS)
+    item = F.col("item")
+    # One row per day, its list turned into columns of the first and the number.
+    return de.deviating_days(found, ws.meals).select(
+        "day_id",
+        "participant_id",
+        "date",
+        "meals",
+        F.size("deviations").alias("deviating_metrics"),
+        F.array_join(
+            F.transform(
+                "deviations",
+                lambda x: F.concat(x["metric_type"], F.when(x["outside_threshold"], "!").otherwise("")),
+            ),
+            ",",
+        ).alias("metrics"),
+        F.element_at("deviations", 1).alias("item"),
+    ).select("*", item["value"].alias("first_value"), item["deviation_pct"].alias("first_pct")).drop("item")
+
+
+@on_workspace("deviating_day_dishes")
+def _(ws):
+    found = de.threshold_deviations(ws["cleaned"], settings=EVENT_SETTINGS)
+    return de.deviating_day_dishes(found, ws.meals)
+
+
 @on_workspace("deviation_report")
 def _(ws):
     return de.deviation_report(de.z_deviations(ws["cleaned"]), ws.meals)
@@ -813,7 +889,7 @@ def _findings(ws: Workspace) -> DataFrame:
     return ins.key_findings(ws["baselines"], ws["correlations"], ws["anomalies"], EVENT_SETTINGS)
 
 
-INSIGHT = ["participant_id", "family", "code"]
+INSIGHT = ["participant_id", "family", "code", "text"]
 
 
 @on_workspace("health_summary")
@@ -869,6 +945,7 @@ def _(ws):
         "priority",
         "target",
         F.array_join("action_items", "; ").alias("actions"),
+        "recommendation",
     )
 
 
@@ -898,18 +975,7 @@ def _(ws):
 
 @on_workspace("participant_assembly")
 def _(ws):
-    base = ws["baselines"].where("series = 'primary'").groupBy("participant_id").agg(
-        F.count(F.lit(1)).alias("baselines")
-    )
-    corr = ws["correlations"].groupBy("participant_id").agg(
-        F.count(F.lit(1)).alias("correlations")
-    )
-    anom = ws["anomalies"].groupBy("participant_id").agg(F.count(F.lit(1)).alias("anomalies"))
-    return (
-        base.join(corr, "participant_id", "left")
-        .join(anom, "participant_id", "left")
-        .fillna(0, ["correlations", "anomalies"])
-    )
+    return document_rows(participant_documents(ws))
 
 
 # --- report tables --------------------------------------------------------------------------------
@@ -917,7 +983,7 @@ def _(ws):
 
 @on_workspace("participant_overview")
 def _(ws):
-    return rep.participant_overview(ws["baselines"], _findings(ws)).drop("findings")
+    return rep.participant_overview(ws["baselines"], _findings(ws))
 
 
 @on_workspace("quality_tiers")
@@ -951,7 +1017,7 @@ def _(ws):
 
 @on_workspace("correlation_cards")
 def _(ws):
-    return rep.correlation_cards(ws["correlations"]).drop("confidence", "interpretation")
+    return rep.correlation_cards(ws["correlations"])
 
 
 @on_workspace("correlation_counts")
@@ -991,7 +1057,7 @@ def _(ws):
 @on_tables("source_availability")
 def _(spark, sf_dir):
     ws = event_workspace(spark, sf_dir)
-    lungs = read_table(spark, sf_dir, "part").where("p_size < 0")
+    lungs = read_table(spark, sf_dir, "part")
     return rep.source_availability({"physio": ws.records, "meals": ws.meals, "lungs": lungs})
 
 
@@ -1003,4 +1069,4 @@ def _(spark, sf_dir):
         st.headline_means(ws["cleaned"]),
         st.fuzzy_means(part, {**st.MEAL_PATTERNS, "avg_fat": "size"}),
         st.fuzzy_means(part, {"avg_fev1": "price", "avg_fvc": "fvc"}),
-    ).drop("text")
+    )

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitaframe.functions.scalar import round_even
+from vitaframe.functions.scalar import fixed, round_even
 from vitaframe.operators.insights import all_insights, recommendations
 from vitaframe.operators.statistics import correlation_data_summary
 from vitaframe.plans.workspace import Workspace
@@ -138,3 +138,70 @@ def participant_documents(ws: Workspace) -> DataFrame:
     ]
     people = ws["cleaned"].select(key).distinct()
     return reduce(lambda a, b: a.join(b, "participant_id", "left"), parts, people)
+
+
+def document_rows(documents: DataFrame) -> DataFrame:
+    """Documents turned back into rows, one per nested item.
+
+    ``part`` names the list, ``item`` what the row is about; ``figure`` and ``text`` are
+    its number and words.
+    """
+    who = F.col("participant_id")
+
+    def row(part: str, item: Column, figure: Column, text: Column, rows: DataFrame) -> DataFrame:
+        return rows.select(
+            who,
+            F.lit(part).alias("part"),
+            item.alias("item"),
+            figure.cast("double").alias("figure"),
+            text.cast("string").alias("text"),
+        )
+
+    def items(part: str, item: Column, figure: Column, text: Column) -> DataFrame:
+        return row(part, item, figure, text, documents.select(who, F.inline(part)))
+
+    none = F.lit(None)
+    metric, pair = F.col("metric_type"), F.col("pair")
+    verdict = F.concat("confidence", F.lit(": "), "interpretation")
+    period = F.col("data_period")
+    with_period = documents.where(period.isNotNull())
+    parts = [
+        row("person", who, F.lit(1), none, documents),
+        row(
+            "data_period",
+            F.concat(period["start"].cast("string"), F.lit(" to "), period["end"].cast("string")),
+            period["total_days"],
+            F.array_join(F.array_sort(period["available_metrics"]), ","),
+            with_period,
+        ),
+        items(
+            "health_baselines",
+            F.concat_ws("/", metric, "series"),
+            F.col("mean"),
+            F.concat(F.col("count").cast("string"), F.lit(" readings, "), fixed("std", 2)),
+        ),
+        items(
+            "hourly_patterns",
+            metric,
+            F.col("peak_value"),
+            F.concat(F.col("peak_hour").cast("string"), F.lit(" to "), F.col("low_hour").cast("string")),
+        ),
+        items("weekly_patterns", F.concat_ws("/", metric, "weekday"), F.col("mean"), none),
+        items("daily", pair, F.col("pearson_r3"), verdict),
+        items("lag_effects", pair, F.col("n_days"), verdict),
+        items("rolling_trends", pair, F.col("mean_correlation"), F.col("trend")),
+        items(
+            "anomalies",
+            metric,
+            F.col("anomaly_percentage"),
+            F.array_join(F.transform("anomaly_dates", lambda d: d.cast("string")), ","),
+        ),
+        items("insights", F.concat_ws("/", "family", "code"), F.lit(1), F.col("text")),
+        items(
+            "recommendations",
+            F.col("code"),
+            F.lit(3) - F.floor(F.col("place") / 1000),
+            F.concat_ws("/", "category", "priority", "target", F.array_join("action_items", "; ")),
+        ),
+    ]
+    return reduce(DataFrame.unionByName, parts)

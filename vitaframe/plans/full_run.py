@@ -92,15 +92,15 @@ def deviation_tables(ws: Workspace, parity: bool = False) -> dict[str, DataFrame
     by = () if parity else ("participant_id",)
     found = de.threshold_deviations(cleaned, by, limits)
     # Exported meals name their own users, not participants: join by date.
+    together = found if parity else de.threshold_deviations(cleaned, (), limits)
     return {
         "deviation_metrics": de.deviation_stats(da.daily_named_means(cleaned)),
         "significant_changes": z,
         "meal_correlations": de.meals_on_deviation_days(z, ws.meals),
         "deviation_report": de.deviation_report(z, ws.meals),
         "threshold_deviations": found,
-        "threshold_deviation_meals": de.deviation_days_with_meals(
-            found if parity else de.threshold_deviations(cleaned, (), limits), ws.meals, ()
-        ),
+        "deviating_days": de.deviating_days(together, ws.meals, ()),
+        "deviating_day_dishes": de.deviating_day_dishes(together, ws.meals, ()),
     }
 
 

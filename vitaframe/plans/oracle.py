@@ -12,6 +12,8 @@ from vitaframe.config import CORRELATION_PAIRS, METRICS
 from vitaframe.sources.tables import EVENT_SETTINGS
 from vitaframe.texts import (
     BADGES,
+    BEHAVIOUR,
+    CARD_TEXTS,
     EXPLANATIONS,
     FINDINGS,
     PROGRESS,
@@ -267,7 +269,7 @@ cte("agaps", "SELECT *, d - lag(d) OVER (PARTITION BY pid, m ORDER BY d) AS gap
 cte(
     "asum",
     f"SELECT *, {even('share', 1)} AS pct, {even('100.0 * recovered / c', 1)} AS rate FROM ("
-    "SELECT pid, m, count(*) AS c, max(n) AS n, 100.0 * count(*) / max(n) AS share, count(rec) AS recovered, "
+    "SELECT pid, m, count(*) AS c, max(n) AS n, 100.0 * count(*) / max(n) AS share, count(rec) AS recovered, avg(rec) AS mrec, "
     "count(*) FILTER (WHERE gap <= 3) AS near_gaps, count(gap) AS gaps FROM agaps GROUP BY pid, m)",
 )
 cte(
@@ -301,7 +303,7 @@ cte(
 )
 cte(
     "wext",
-    "SELECT pid, m, count(*) AS n, arg_max(wd, (mean, -dow)) AS best, arg_min(wd, (mean, dow)) AS worst "
+    "SELECT pid, m, count(*) AS n, arg_max(wd, (mean, -dow)) AS best, arg_min(wd, (mean, dow)) AS worst, max(mean) AS hi, min(mean) AS lo "
     "FROM wdays GROUP BY pid, m",
 )
 cte("morder", "SELECT m, ord + 1 AS ord FROM cfg")
@@ -341,7 +343,11 @@ cte(
 cte("allfinds", "SELECT * FROM finds UNION ALL SELECT * FROM cfinds UNION ALL SELECT * FROM afinds")
 cte(
     "peaks",
-    "SELECT pid, code FROM (SELECT pid, CASE WHEN m = 'hr' AND ph BETWEEN 6 AND 10 THEN 'hr_morning_peak' "
+    "SELECT pid, code, CASE code "
+    f"WHEN 'hr_morning_peak' THEN {say(BEHAVIOUR['hr_morning_peak'], 'CAST(ph AS VARCHAR)', fixed('pv', 1))} "
+    f"WHEN 'hr_evening_peak' THEN {say(BEHAVIOUR['hr_evening_peak'], 'CAST(ph AS VARCHAR)', fixed('pv', 1))} "
+    f"ELSE {say(BEHAVIOUR['bp_morning_peak'], 'CAST(ph AS VARCHAR)')} END AS text "
+    "FROM (SELECT *, CASE WHEN m = 'hr' AND ph BETWEEN 6 AND 10 THEN 'hr_morning_peak' "
     "WHEN m = 'hr' AND ph BETWEEN 18 AND 22 THEN 'hr_evening_peak' "
     "WHEN m = 'bp' AND ph BETWEEN 6 AND 10 THEN 'bp_morning_peak' END AS code FROM hourly) WHERE code IS NOT NULL",
 )
@@ -351,13 +357,16 @@ cte(
 )
 cte(
     "wins",
-    "SELECT pid, code FROM (SELECT pid, CASE WHEN m = 'steps' THEN 'steps_weekdays' "
+    "SELECT pid, code, CASE code "
+    f"WHEN 'steps_weekdays' THEN {say(BEHAVIOUR['steps_weekdays'], 'best', grouped('hi'), 'worst', grouped('lo'))} "
+    f"ELSE {say(BEHAVIOUR['sleep_weekend'], fixed('hi', 1), 'best', fixed('lo', 1), 'worst')} END AS text "
+    "FROM (SELECT *, CASE WHEN m = 'steps' THEN 'steps_weekdays' "
     "WHEN m = 'sleep' AND best IN ('Saturday', 'Sunday') AND worst NOT IN ('Saturday', 'Sunday') "
     "THEN 'sleep_weekend' END AS code FROM wext WHERE n >= 5) WHERE code IS NOT NULL",
 )
 
 
-def advice(code: str, source: str, order: str, action_name: str | None = None) -> str:
+def advice(code: str, source: str, order: str, *figure: str, action_name: str | None = None) -> str:
     part = RECOMMENDATIONS[code]
     actions = [say(a, action_name) if action_name and "{}" in a else q(a) for a in part["actions"]]
     rank = {"High": 3, "Medium": 2, "Low": 1}[part["priority"]]
@@ -365,7 +374,7 @@ def advice(code: str, source: str, order: str, action_name: str | None = None) -
     return (
         f"SELECT pid, {order} AS o, {q(code)} AS code, {q(part['category'])} AS category, "
         f"{q(part['priority'])} AS priority, {rank} AS rank, {q(part['target'])} AS target, "
-        f"{joined} AS actions FROM {source}"
+        f"{joined} AS actions, {say(part['text'], *figure)} AS text FROM {source}"
     )
 
 
@@ -374,10 +383,10 @@ cte(
     " UNION ALL ".join(
         [
             advice("bp_high", f"prim JOIN morder USING (m) WHERE m = 'bp' AND mean1 >= {R.bp_attention}", "ord"),
-            advice("steps_low", f"prim JOIN morder USING (m) WHERE m = 'steps' AND mean1 < {R.steps_goal}", "ord"),
-            advice("sleep_low", f"prim JOIN morder USING (m) WHERE m = 'sleep' AND mean1 < {R.sleep_attention}", "ord"),
+            advice("steps_low", f"prim JOIN morder USING (m) WHERE m = 'steps' AND mean1 < {R.steps_goal}", "ord", grouped("mean1")),
+            advice("sleep_low", f"prim JOIN morder USING (m) WHERE m = 'sleep' AND mean1 < {R.sleep_attention}", "ord", fixed("mean1", 1)),
             advice("steps_sleep", "corr WHERE pair = 'steps_vs_sleep' AND psig AND r3 > 0.3", "100"),
-            advice("recovery_low", "asum JOIN morder USING (m) WHERE rate < 50", "ord + 200", "m"),
+            advice("recovery_low", "asum JOIN morder USING (m) WHERE rate < 50", "ord + 200", "m", action_name="m"),
         ]
     ),
 )
@@ -598,7 +607,17 @@ sql(
     "utc_times",
     "SELECT event_id AS row_pos, strftime(ts - INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:%S') AS utc_time FROM events",
 )
-sql("aliased_columns", f"SELECT {r6('sum(value)', 'value')}, count({KD}) AS second FROM events")
+sql("aliased_columns", f"SELECT {RAW}, {r6('value', 'value')}, {r6(KD, 'second')} FROM events")
+sql("parallel_array_rows", f"SELECT event_id // 500 AS file, event_id AS row_pos, {EPOCH} AS at, {r6('value', 'value')} FROM events")
+sql(
+    "nested_only_rows",
+    f"SELECT {RAW}, {EPOCH} AS epoch_raw, {r6('value', 'value_1')}, {r6(KD, 'value_2')} FROM events",
+)
+sql(
+    "file_dates",
+    "SELECT CAST(min(ts) AS DATE) AS start, CAST(max(ts) AS DATE) AS end, "
+    f"CAST(floor((max({EPOCH}) - min({EPOCH})) / 86400) AS BIGINT) AS span_days FROM events WHERE event_type <> 'view'",
+)
 sql("found_columns", f"SELECT p_partkey, {r6('p_retailprice', 'price')}, {r6('CAST(p_size AS DOUBLE)', 'size')} FROM part")
 sql(
     "schema_problems",
@@ -617,6 +636,11 @@ sql(
     f"SELECT pid AS participant_id, m AS metric_type, ep AS datetime, {r6('v1', 'value_1')}, {r6('v2', 'value_2')}, "
     "'' AS unit, 'good' AS quality_flag, event_type, props FROM rec",
 )
+sql(
+    "flat_records_by_path",
+    f"SELECT pid AS participant_id, m AS metric_type, ep AS datetime, {r6('v1', 'value_1')}, event_type, props, "
+    "CAST(NULL AS VARCHAR) AS device_id FROM rec",
+)
 sql(
     "calendar_parts",
     "SELECT pos AS row_pos, CAST(ts AS DATE) AS date, hour(ts) AS hour, dayname(ts) AS weekday, monthname(ts) AS month, "
@@ -640,7 +664,7 @@ sql(
 )
 sql(
     "appended_records",
-    f"SELECT {VIEW} FROM rec WHERE m = 'bp' UNION ALL SELECT {VIEW.replace('(v2)', '(CAST(NULL AS DOUBLE))')} FROM rec WHERE m = 'temp'",
+    f"SELECT {VIEW} FROM rec UNION ALL SELECT {VIEW.replace('(v2)', '(CAST(NULL AS DOUBLE))')} FROM ev",
 )
 sql("common_dates", "SELECT d AS date FROM meals INTERSECT SELECT d FROM dayl")
 
@@ -995,7 +1019,13 @@ sql(
     f"SELECT pid AS participant_id, m AS metric_type, c AS anomaly_count, {r6('pct', 'anomaly_percentage')}, "
     "CASE WHEN share > 15 THEN 'frequent' WHEN share > 5 THEN 'occasional' ELSE 'rare' END AS frequency_code, "
     "CASE WHEN rate > 80 THEN 'quick_recovery' WHEN rate > 50 THEN 'moderate_recovery' ELSE 'slow_recovery' END AS recovery_code, "
-    "c > 1 AND near_gaps > gaps * 0.5 AS clustered FROM asum",
+    "c > 1 AND near_gaps > gaps * 0.5 AS clustered, "
+    "CASE WHEN share > 15 THEN 'Frequent' WHEN share > 5 THEN 'Occasional' ELSE 'Rare' END || ' ' || m || ' anomalies detected (' || "
+    f"{fixed('share', 0)} || '% of days); ' || "
+    f"CASE WHEN rate > 80 THEN 'Quick recovery typical (average ' || {fixed(even('mrec', 1), 0)} || ' days)' "
+    f"WHEN rate > 50 THEN 'Moderate recovery patterns (average ' || {fixed(even('mrec', 1), 0)} || ' days)' "
+    "ELSE 'Slow or incomplete recovery from anomalies' END || "
+    "CASE WHEN c > 1 AND near_gaps > gaps * 0.5 THEN '; Anomalies tend to cluster together' ELSE '' END AS sentences FROM asum",
 )
 sql(
     "deviation_stats",
@@ -1031,12 +1061,38 @@ sql(
     "SELECT pid, d, array_to_string(list(m ORDER BY m), ',') AS ms FROM thr GROUP BY pid, d) t "
     "LEFT JOIN (SELECT pid, d, strftime(ts, '%H:%M') AS mt, dish, count(*) AS n FROM meals GROUP BY ALL) x ON x.pid = t.pid AND x.d = t.d",
 )
+sql(
+    "deviating_days",
+    "SELECT t.pid || '/' || CAST(t.d AS VARCHAR) AS day_id, t.pid AS participant_id, t.d AS date, coalesce(x.n, 0) AS meals, "
+    f"t.n AS deviating_metrics, t.ms AS metrics, {r6('t.v', 'first_value')}, {r6('t.pct', 'first_pct')} FROM ("
+    "SELECT pid, d, count(*) AS n, array_to_string(list(m || CASE WHEN outside THEN '!' ELSE '' END ORDER BY m), ',') AS ms, "
+    "arg_min(v, m) AS v, arg_min(pct, m) AS pct FROM thr GROUP BY pid, d) t "
+    "LEFT JOIN (SELECT pid, d, count(*) AS n FROM meals GROUP BY ALL) x ON x.pid = t.pid AND x.d = t.d",
+)
+sql(
+    "deviating_day_dishes",
+    "SELECT t.pid || '/' || CAST(t.d AS VARCHAR) AS day_id, t.pid AS participant_id, t.d AS date, strftime(x.ts, '%H:%M') AS meal_time, "
+    "x.dish, count(*) AS servings FROM (SELECT DISTINCT pid, d FROM thr) t JOIN meals x ON x.pid = t.pid AND x.d = t.d GROUP BY ALL",
+)
+
+
+def shown(value: str) -> str:
+    return (
+        f"CASE WHEN metric IN ('systolic', 'diastolic') THEN {fixed(value, 0)} || ' mmHg' WHEN metric = 'resting_hr' THEN {fixed(value, 0)} || ' bpm' "
+        f"WHEN metric = 'sleep_duration' THEN {fixed(value, 1)} || ' hours' WHEN metric = 'steps' THEN {fixed(value, 0)} || ' steps' "
+        f"WHEN metric = 'spo2' THEN {fixed(value, 0)} || '%' ELSE {fixed(value, 1)} || '°C' END"
+    )
+
+
 sql(
     "deviation_report",
-    f"SELECT z.d AS date, {ZDEV}, coalesce(x.n, 0) AS meals, "
+    f"SELECT z.d AS date, {ZDEV}, coalesce(x.n, 0) AS meals, coalesce(x.named, 'No meals recorded') AS meals_text, "
     + r6("CASE WHEN mean = 0 THEN 0 ELSE (v - mean) / mean * 100 END", "deviation_pct")
-    + ", CASE WHEN abs((v - mean) / mean * 100) > 20 OR abs(z) > 1.5 THEN 'severe' ELSE 'mild' END AS severity "
-    "FROM zdev z LEFT JOIN (SELECT d, count(*) AS n FROM meals GROUP BY d) x ON x.d = z.d",
+    + ", CASE WHEN abs((v - mean) / mean * 100) > 20 OR abs(z) > 1.5 THEN 'severe' ELSE 'mild' END AS severity, "
+    f"{shown('v')} AS display_value, {shown('mean')} AS display_baseline "
+    "FROM zdev z LEFT JOIN (SELECT d, n, named || CASE WHEN n > 50 THEN ' and ' || CAST(n - 50 AS VARCHAR) || ' more' ELSE '' END AS named "
+    "FROM (SELECT d, max(n) AS n, string_agg(dish, ', ' ORDER BY i) FILTER (WHERE i <= 50) AS named FROM ("
+    "SELECT d, dish, row_number() OVER (PARTITION BY d ORDER BY t, dish) AS i, count(*) OVER (PARTITION BY d) AS n FROM meals) GROUP BY d)) x ON x.d = z.d",
 )
 
 # --- meals and top lists -----------------------------------------------------------------------------
@@ -1081,11 +1137,20 @@ sql(
 sql("baseline_findings", f"SELECT {TEXT} FROM finds")
 sql("correlation_findings", f"SELECT {TEXT} FROM cfinds")
 sql("anomaly_findings", f"SELECT {TEXT} FROM afinds")
-FAMILY = "SELECT pid AS participant_id, '{}' AS family, code FROM {}"
+FAMILY = "SELECT pid AS participant_id, '{}' AS family, code, text FROM {}"
+FAMILIES = [
+    ("health_summary", "summ"),
+    ("key_findings", "allfinds"),
+    ("behavioral_insights", "peaks"),
+    ("behavioral_insights", "lagins"),
+    ("behavioral_insights", "wins"),
+    ("recommendations", "adv"),
+    ("progress_tracking", "prog"),
+]
 sql("peak_hour_insights", FAMILY.format("behavioral_insights", "peaks"))
 sql("lag_insights", f"SELECT {TEXT} FROM lagins")
 sql("weekday_insights", FAMILY.format("behavioral_insights", "wins"))
-sql("recommendations", "SELECT pid AS participant_id, code, category, priority, target, actions FROM adv")
+sql("recommendations", "SELECT pid AS participant_id, code, category, priority, target, actions, text AS recommendation FROM adv")
 sql(
     "recommendations_by_priority",
     f"SELECT pid AS participant_id, {big('rank', 'priority_rank')}, {big('o', 'item_order')}, code FROM adv ORDER BY pid, rank DESC, o",
@@ -1095,34 +1160,59 @@ sql(
     f"SELECT pid AS participant_id, priority, {big('max(rank)', 'priority_rank')}, count(*) AS recommendations FROM adv GROUP BY pid, priority",
 )
 sql("progress_insights", f"SELECT {TEXT} FROM prog")
+sql("all_insights", " UNION ALL ".join(FAMILY.format(*family) for family in FAMILIES))
+
+
+def part(name: str, item: str, figure: str, text: str, source: str) -> str:
+    return (
+        f"SELECT pid AS participant_id, {q(name)} AS part, {item} AS item, "
+        f"round(CAST({figure} AS DOUBLE) + 1e-9, 6) + 0.0 AS figure, {text} AS text FROM {source}"
+    )
+
+
 sql(
-    "all_insights",
+    "participant_assembly",
     " UNION ALL ".join(
         [
-            FAMILY.format("health_summary", "summ"),
-            FAMILY.format("key_findings", "allfinds"),
-            FAMILY.format("behavioral_insights", "peaks"),
-            FAMILY.format("behavioral_insights", "lagins"),
-            FAMILY.format("behavioral_insights", "wins"),
-            FAMILY.format("recommendations", "adv"),
-            FAMILY.format("progress_tracking", "prog"),
+            part("person", "pid", "count(*)", "NULL", "(SELECT DISTINCT pid FROM cleaned) GROUP BY pid"),
+            part(
+                "data_period",
+                "CAST(min(d) AS VARCHAR) || ' to ' || CAST(max(d) AS VARCHAR)",
+                "count(DISTINCT d)",
+                "array_to_string(list(DISTINCT m ORDER BY m), ',')",
+                "dayl WHERE pid IN (SELECT pid FROM elig) GROUP BY pid",
+            ),
+            part("health_baselines", "m || '/' || series", "mean1", f"CAST(n AS VARCHAR) || ' readings, ' || {fixed(even('sd', 2), 2)}", "base"),
+            part("hourly_patterns", "m", even("pv", 1), "CAST(ph AS VARCHAR) || ' to ' || CAST(lh AS VARCHAR)", "hourly"),
+            part("weekly_patterns", "m || '/' || wd", "mean", "NULL", "wdays"),
+            part("daily", "pair", "r3", "conf || ': ' || interp", "corr"),
+            part("lag_effects", "pair", "n", "conf || ': ' || interp", "lags"),
+            part("rolling_trends", "pair", even("mr", 3), TREND, "trend"),
+            part(
+                "anomalies",
+                "m",
+                "pct",
+                "(SELECT array_to_string(list(CAST(d AS VARCHAR) ORDER BY d), ',') FROM anom0 a WHERE a.pid = s.pid AND a.m = s.m)",
+                "asum s",
+            ),
+            part("recommendations", "code", "rank", "category || '/' || priority || '/' || target || '/' || actions", "adv"),
+            *[
+                part("insights", f"'{family}/' || code", "1", "text", source)
+                for family, source in FAMILIES
+                if family != "recommendations"
+            ],
         ]
     ),
 )
-sql(
-    "participant_assembly",
-    "SELECT p.pid AS participant_id, p.n AS baselines, coalesce(c.n, 0) AS correlations, coalesce(a.n, 0) AS anomalies FROM "
-    "(SELECT pid, count(*) AS n FROM prim GROUP BY pid) p LEFT JOIN (SELECT pid, count(*) AS n FROM corr GROUP BY pid) c USING (pid) "
-    "LEFT JOIN (SELECT pid, count(*) AS n FROM asum GROUP BY pid) a USING (pid)",
-)
 
 # --- report tables ------------------------------------------------------------------------------------------
 
 sql(
     "participant_overview",
-    "SELECT p.pid AS participant_id, p.n AS total_records, least(p.n, 100) AS quality_score, p.c AS metrics, f.codes AS finding_codes "
+    "SELECT p.pid AS participant_id, p.n AS total_records, least(p.n, 100) AS quality_score, p.c AS metrics, f.codes AS finding_codes, "
+    "coalesce(f.texts, 'No significant findings') AS findings "
     "FROM (SELECT pid, CAST(sum(n) AS BIGINT) AS n, count(*) AS c FROM prim GROUP BY pid) p LEFT JOIN ("
-    "SELECT pid, array_to_string(list(code ORDER BY o, code)[1:2], '; ') AS codes FROM allfinds GROUP BY pid) f USING (pid)",
+    "SELECT pid, array_to_string(list(code ORDER BY o, code)[1:2], '; ') AS codes, array_to_string(list(text ORDER BY o, code)[1:2], '; ') AS texts FROM allfinds GROUP BY pid) f USING (pid)",
 )
 sql(
     "quality_tiers",
@@ -1162,6 +1252,20 @@ sql(
 HAS_STEPS, HAS_SLEEP = "'steps' IN (m1, m2)", "'sleep' IN (m1, m2)"
 HAS_HR, HAS_TEMP = "'hr' IN (m1, m2)", "'temp' IN (m1, m2)"
 STRONG3 = "coalesce(greatest(abs(r3), abs(s3)), 0)"
+CARD_LABEL = "CASE WHEN abs(r3) >= 0.7 THEN 'strong' WHEN abs(r3) >= 0.4 THEN 'moderate' ELSE 'weak' END"
+CARD_SIGN = "CASE WHEN r3 > 0 THEN 'positive' ELSE 'negative' END"
+CARD_WORDS = "CASE WHEN p4 < 0.05 THEN 'statistically significant' WHEN p4 < 0.1 THEN 'marginally significant' ELSE 'not statistically significant' END"
+CARD_MAIN = (
+    f"CASE WHEN p4 < 0.05 THEN {say(CARD_TEXTS['clear'], CARD_LABEL, CARD_SIGN, 'm1', 'm2', fixed('r3', 3), fixed('p4', 4), CARD_WORDS)} "
+    f"ELSE {say(CARD_TEXTS['unclear'], CARD_LABEL, CARD_SIGN, 'm1', 'm2', fixed('r3', 3), CARD_WORDS, fixed('p4', 4))} END"
+)
+CARD_CONTEXT = (
+    f"CASE WHEN {HAS_STEPS} AND {HAS_SLEEP} AND r3 > 0 THEN {q(CARD_TEXTS['steps_sleep_positive'])} "
+    f"WHEN {HAS_STEPS} AND {HAS_SLEEP} THEN {q(CARD_TEXTS['steps_sleep_negative'])} "
+    f"WHEN {HAS_HR} AND {HAS_STEPS} AND r3 > 0 THEN {q(CARD_TEXTS['steps_hr'])} "
+    f"WHEN {HAS_HR} AND {HAS_TEMP} THEN {q(CARD_TEXTS['hr_temp'])} ELSE '' END"
+)
+CARD_NOTE = f"CASE WHEN n < 10 THEN {q(CARD_TEXTS['small'])} WHEN n < 20 THEN {q(CARD_TEXTS['moderate'])} ELSE {q(CARD_TEXTS['good'])} END"
 sql(
     "correlation_cards",
     "SELECT pid AS participant_id, pair, n AS n_days, CASE WHEN psig OR ssig THEN 'Significant' "
@@ -1170,8 +1274,8 @@ sql(
     "CASE WHEN n < 10 THEN 'small' WHEN n < 20 THEN 'moderate' ELSE 'good' END AS sample_note, "
     f"CASE WHEN {HAS_STEPS} AND {HAS_SLEEP} AND r3 > 0 THEN 'steps_sleep_positive' "
     f"WHEN {HAS_STEPS} AND {HAS_SLEEP} THEN 'steps_sleep_negative' "
-    f"WHEN {HAS_HR} AND {HAS_STEPS} AND r3 > 0 THEN 'steps_hr' WHEN {HAS_HR} AND {HAS_TEMP} THEN 'hr_temp' END AS context_code "
-    "FROM corr",
+    f"WHEN {HAS_HR} AND {HAS_STEPS} AND r3 > 0 THEN 'steps_hr' WHEN {HAS_HR} AND {HAS_TEMP} THEN 'hr_temp' END AS context_code, conf AS confidence, "
+    f"{CARD_MAIN} || {CARD_CONTEXT} || {CARD_NOTE} AS interpretation FROM corr",
 )
 sql(
     "correlation_counts",
@@ -1228,12 +1332,13 @@ sql(
 sql(
     "source_availability",
     "SELECT 'physio' AS source, count(*) > 0 AS available FROM rec UNION ALL SELECT 'meals', count(*) > 0 FROM meals UNION ALL "
-    "SELECT 'lungs', count(*) > 0 FROM part WHERE p_size < 0",
+    "SELECT 'lungs', count(*) > 0 FROM part",
 )
 
 
-def headline(title: str, expr: str, unit: str, source: str) -> str:
-    return f"SELECT '{title}' AS title, {r6(expr, 'value')}, '{unit}' AS unit FROM {source}"
+def headline(title: str, expr: str, digits: int, unit: str, source: str) -> str:
+    text = f"coalesce({fixed(expr, digits)}, 'N/A')"
+    return f"SELECT '{title}' AS title, {r6(expr, 'value')}, {text} AS text, '{unit}' AS unit FROM {source}"
 
 
 NOTHING = "CAST(NULL AS DOUBLE)"
@@ -1241,19 +1346,19 @@ sql(
     "headline_table",
     " UNION ALL ".join(
         [
-            headline("Heart Rate", "avg(v1)", "bpm", "good WHERE m = 'hr'"),
-            headline("Systolic", "avg(v1)", "mmHg", "good WHERE m = 'bp'"),
-            headline("Diastolic", "avg(v2)", "mmHg", "good WHERE m = 'bp'"),
-            headline("Steps", "avg(v1)", "steps/day", "good WHERE m = 'steps'"),
-            headline("Sleep", "avg(v1)", "hours/day", "good WHERE m = 'sleep'"),
-            headline("SpO2", "avg(v1)", "%", "good WHERE m = 'spo2'"),
-            headline("Temperature", "avg(v1)", "°F", "good WHERE m = 'temp'"),
-            headline("Calories", f"max({NOTHING})", "kcal/day", "part"),
-            headline("Protein", f"max({NOTHING})", "g/day", "part"),
-            headline("Carbs", f"max({NOTHING})", "g/day", "part"),
-            headline("Fat", "avg(p_size)", "g/day", "part"),
-            headline("FEV1", "avg(p_retailprice)", "L", "part"),
-            headline("FVC", f"max({NOTHING})", "L", "part"),
+            headline("Heart Rate", "avg(v1)", 0, "bpm", "good WHERE m = 'hr'"),
+            headline("Systolic", "avg(v1)", 0, "mmHg", "good WHERE m = 'bp'"),
+            headline("Diastolic", "avg(v2)", 0, "mmHg", "good WHERE m = 'bp'"),
+            headline("Steps", "avg(v1)", 0, "steps/day", "good WHERE m = 'steps'"),
+            headline("Sleep", "avg(v1)", 1, "hours/day", "good WHERE m = 'sleep'"),
+            headline("SpO2", "avg(v1)", 0, "%", "good WHERE m = 'spo2'"),
+            headline("Temperature", "avg(v1)", 1, "°F", "good WHERE m = 'temp'"),
+            headline("Calories", f"max({NOTHING})", 0, "kcal/day", "part"),
+            headline("Protein", f"max({NOTHING})", 1, "g/day", "part"),
+            headline("Carbs", f"max({NOTHING})", 1, "g/day", "part"),
+            headline("Fat", "avg(p_size)", 1, "g/day", "part"),
+            headline("FEV1", "avg(p_retailprice)", 2, "L", "part"),
+            headline("FVC", f"max({NOTHING})", 2, "L", "part"),
         ]
     ),
 )

@@ -91,10 +91,15 @@ def discover_files(spark: SparkSession, input_dir: str) -> DataFrame:
     )
     return (
         _exports(listed, F.col("path"), input_dir)
-        .withColumn("file_epoch", F.regexp_extract("file_name", r"_(\d+)\.[^.]*$", 1).try_cast("long"))
+        .withColumn("file_epoch", file_epoch(F.col("file_name")))
     )
 
 
+def file_epoch(name: Column) -> Column:
+    """The time in seconds that an export file's name ends with; null if none."""
+    return F.regexp_extract(name, r"_(\d+)\.[^.]*$", 1).try_cast("long")
+
+
 def file_date_range(files: DataFrame) -> DataFrame:
     """First and last export time by file name, with whole days between."""
     at = F.timestamp_seconds(within_timestamps(F.col("file_epoch"), 1))
