@@ -6,23 +6,28 @@ over each window in both directions; attention weighs its states, and a logistic
 unit gives the score. Windows of ``WINDOW`` words overlap by half, all of them are
 scored, and a document has the score of its highest window.
 
-The network is trained on the driver on at most ``MAX_TRAINING_DOCS`` labelled
-documents (a documented bound, chosen by a hash of the id); the labels are for
+The network is trained on the driver on about ``MAX_TRAINING_DOCS`` labelled
+documents, half of them of each label if there are so many, none longer than
+``MAX_TRAINING_BYTES`` (documented bounds; chosen by a hash of the id). The labels are for
 documents, so of each the window with the most telling words is learned from at
-first, then the one that scores highest, and for clean ones a second window.
-Scoring is a map over the rows.
+first, then the one that scores highest, and for clean ones a second window. Words
+that two of these documents have get a vector of their own.
+Scoring is a map over the rows; texts of any length are scored whole.
 
 Null and empty texts are one window of padding. Rows that repeat a document are
-scored each. A document with several labels is learned with the highest. Without
-labels of both kinds every score is the share of label 1 (0 without any). Extra
-columns play no part.
+scored each, alike. Rows without an id are scored; a label without an id teaches nothing.
+A document with several labels is learned with the highest. Without
+labels of both kinds every score is the share of label 1 (0 without any). A score of
+exactly 0.5 counts as toxic. Extra columns play no part.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -30,11 +35,11 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaframe.llm.common import read_table
+from vitaframe.llm.common import read_table, stage
 from vitaframe.llm.language_id import remainder
 
 MAX_TRAINING_DOCS = 4_000
-MAX_VOCABULARY = 8_000
+MAX_TRAINING_BYTES = 1 << 16  # longer documents are scored, not learned from
 TRIGRAMS = 1 << 12
 SIZE = 8  # of a word's vector, of its letters' vector, and of the state of one direction
 WINDOW = 32
@@ -42,6 +47,9 @@ STEP = WINDOW // 2
 ROUNDS, EPOCHS = 3, 3
 RATE = 0.01
 CACHED_WORDS = 200_000
+SCORED = 512  # windows in one product
+AT_A_TIME = 1 << 18  # characters scored together
+HALF = np.repeat(np.array([0.5, 0.5, 1.0], np.float32), SIZE)
 _LETTERS = regex.compile(r"\p{L}+")
 PAD = 0
 
@@ -50,9 +58,32 @@ def words(text: str | None) -> list[str]:
     return _LETTERS.findall(text.lower()) if text else []
 
 
+def _checksum_parts() -> np.ndarray:
+    """What each byte at each place of three adds (by exclusive or) to their checksum."""
+    zero = zlib.crc32(bytes(3))
+    places = np.eye(3, dtype=int)
+    parts = [[zlib.crc32(bytes((places[k] * b).tolist())) ^ zero for b in range(256)] for k in range(3)]
+    parts[0] = [x ^ zero for x in parts[0]]
+    return np.array(parts, np.int64) % TRIGRAMS
+
+
+_PARTS = _checksum_parts()
+
+
+def trigrams_of(several: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The letter trigrams of words, marked at both ends, one after the other; where each word's start."""
+    marked = [f"<{w}>".encode() for w in several]
+    data = np.frombuffer(b"".join(marked) + bytes(2), np.uint8)
+    ids = _PARTS[0][data[:-2]] ^ _PARTS[1][data[1:-1]] ^ _PARTS[2][data[2:]]
+    ends = np.cumsum([len(m) for m in marked], dtype=np.int64)
+    own = np.ones(len(ids), bool)
+    own[ends - 1] = own[ends - 2] = False  # they reach into the next word
+    starts = np.concatenate(([0], ends))[:-1] - 2 * np.arange(len(marked))
+    return ids[own], starts
+
+
 def trigrams(word: str) -> np.ndarray:
-    marked = f"<{word}>".encode()
-    return np.array([zlib.crc32(marked[i : i + 3]) % TRIGRAMS for i in range(max(1, len(marked) - 2))], np.int64)
+    return trigrams_of([word])[0]
 
 
 def window_starts(n: int) -> list[int]:
@@ -86,10 +117,14 @@ class Network:
         self.p["word"][PAD] = 0
 
     def inputs(self, word: str) -> np.ndarray:
-        """A word's row: its vector (zeros if unseen) and the mean of its trigrams'."""
-        i = self.place.get(word)
-        own = self.p["word"][i] if i else np.zeros(SIZE, np.float32)
-        return np.concatenate([own, self.p["letters"][trigrams(word)].mean(axis=0)])
+        return self.rows([word])[0]
+
+    def rows(self, several: list[str]) -> np.ndarray:
+        """A row per word: its vector (zeros if unseen) and the mean of its trigrams'."""
+        own = self.p["word"][[self.place.get(w, PAD) for w in several]]
+        ids, starts = trigrams_of(several)
+        letters = np.add.reduceat(self.p["letters"][ids], starts, axis=0)
+        return np.concatenate([own, letters / np.diff(starts, append=len(ids))[:, None]], axis=1)
 
     def _run(self, side: str, gates: np.ndarray, keep: list | None) -> np.ndarray:
         """States of one direction. gates: time, window, 3 * SIZE from the inputs alone."""
@@ -121,13 +156,50 @@ class Network:
         """What word rows give to the gates of each direction."""
         return {s: (rows @ self.p[f"{s}x"] + self.p[f"{s}b"]).astype(np.float32) for s in "fb"}
 
-    def score(self, tables: dict[str, np.ndarray], windows: np.ndarray) -> np.ndarray:
-        """Scores of windows given as rows of the tables (window, time)."""
+    def halved(self, rows: np.ndarray) -> np.ndarray:
+        """The tables for ``score``, side by side: forward, backward.
+
+        A logistic gate is a hyperbolic tangent of half its input; the halves are taken here.
+        """
+        both = self.tables(rows)
+        return np.concatenate([both[s] * HALF for s in "fb"], axis=1)
+
+    def score(self, table: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        """Scores of windows given as rows of the halved tables (window, time).
+
+        Both directions take a step in the same products.
+        """
+        h = SIZE
+        # Columns: update, reset and new gate, each of the forward and the backward state.
+        rec = np.zeros((2, h, 3, 2, h), np.float32)
+        for k, s in enumerate("fb"):
+            rec[k, :, :, k] = (self.p[f"{s}h"] * HALF).reshape(h, 3, h)
+        rec = rec.reshape(2 * h, 6 * h)
         out = np.empty(len(windows), np.float32)
-        for k in range(0, len(windows), 4096):
-            part = windows[k : k + 4096].T
-            states = np.concatenate([self._run(s, tables[s][part], None) for s in "fb"], axis=2)
-            out[k : k + 4096] = _sigmoid(self.head(states)[3])
+        for k in range(0, len(windows), SCORED):
+            part = np.ascontiguousarray(windows[k : k + SCORED].T)
+            steps, n = part.shape
+            state, old = np.zeros((n, 2 * h), np.float32), np.empty((n, 6 * h), np.float32)
+            gates, new = np.empty((n, 3, 2, h), np.float32), np.empty((n, 2 * h), np.float32)
+            flat, states = gates.reshape(n, 6 * h), np.empty((steps, n, 2 * h), np.float32)
+            logistic = flat[:, : 4 * h]
+            for t in range(steps):
+                gates[:, :, 0] = table[part[t], : 3 * h].reshape(n, 3, h)
+                gates[:, :, 1] = table[part[steps - 1 - t], 3 * h :].reshape(n, 3, h)
+                np.matmul(state, rec, out=old)
+                logistic += old[:, : 4 * h]
+                np.tanh(logistic, out=logistic)
+                logistic += 1.0
+                logistic *= 0.5
+                np.multiply(logistic[:, 2 * h :], old[:, 4 * h :], out=new)
+                new += flat[:, 4 * h :]
+                np.tanh(new, out=new)
+                state -= new
+                state *= logistic[:, : 2 * h]
+                state += new
+                states[t, :, :h] = state[:, :h]
+                states[steps - 1 - t, :, h:] = state[:, h:]
+            out[k : k + SCORED] = _sigmoid(self.head(states)[3])
         return out
 
     def gradients(self, ids: np.ndarray, grams: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> dict:
@@ -189,7 +261,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Network
         (pos if label else neg).update(set(ws))
     n_pos, n_neg = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
     both = pos + neg
-    vocabulary = [w for w, n in sorted(both.items(), key=lambda x: (-x[1], x[0]))[:MAX_VOCABULARY] if n > 1]
+    vocabulary = sorted(w for w, n in both.items() if n > 1)
     telling = {w: np.log((pos[w] + 1) / (n_pos + 2)) - np.log((neg[w] + 1) / (n_neg + 2)) for w in both}
     best = [max(window_starts(len(ws)), key=lambda s: max([telling[w] for w in ws[s : s + WINDOW]], default=0)) for ws in found]
     rng, net = np.random.default_rng(seed), Network(vocabulary, seed)
@@ -204,8 +276,8 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Network
                 targets.append(label)
         step = _descend(net, examples, np.array(targets, np.float32), moments, step, rng)
         scorer, best = Scorer(net), []
-        for k in range(0, len(texts), 200):
-            best += scorer.highest(texts[k : k + 200])[1]
+        for k in range(0, len(texts), 50):
+            best += scorer.highest(texts[k : k + 50])[1]
     return net
 
 
@@ -239,6 +311,14 @@ def _descend(net: Network, examples: list[list[str]], targets: np.ndarray, momen
     return step
 
 
+class _Numbers(dict):
+    """Words by the order in which they were first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Scorer:
     """Scores texts; keeps the rows of words it has met, up to a bound."""
 
@@ -247,51 +327,75 @@ class Scorer:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {"": 0}
-        self.tables = self.net.tables(np.zeros((1, 2 * SIZE), np.float32))
+        self.number = _Numbers({"": 0})
+        self.table = np.zeros((1024, 6 * SIZE), np.float32)
+        self.table[0] = self.net.halved(np.zeros((1, 2 * SIZE), np.float32))
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Rows of the words numbered last."""
+        size = len(self.number)
+        if size > len(self.table):
+            grown = np.empty((2 * size, 6 * SIZE), np.float32)
+            grown[: len(self.table)] = self.table
+            self.table = grown
+        self.table[size - len(fresh) : size] = self.net.halved(self.net.rows(fresh))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         return self.highest(texts)[0]
 
+    def score_all(self, texts: list[str | None]) -> np.ndarray:
+        """Scores, so many characters at a time (a long text on its own)."""
+        out, held, size = [], [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text or "")
+            if size >= AT_A_TIME:
+                out.append(self.score(held))
+                held, size = [], 0
+        if held:
+            out.append(self.score(held))
+        return np.concatenate(out) if out else np.empty(0)
+
     def highest(self, texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
         """Each text's highest window score, and where that window starts."""
         if len(self.number) > CACHED_WORDS:
             self.clear()
-        number, fresh, windows, begins = self.number, [], [], []
+        number, windows, begins = self.number, [], []
+        before = len(number)
         for text in texts:
-            ids = []
-            for w in words(text):
-                i = number.get(w)
-                if i is None:
-                    i = number[w] = len(number)
-                    fresh.append(self.net.inputs(w))
-                ids.append(i)
+            ids = [number[w] for w in words(text)]
             rows = np.array(ids + [0] * (WINDOW - len(ids)), np.int32)
             begins.append(np.array(window_starts(len(ids))))
             windows.append(rows[begins[-1][:, None] + np.arange(WINDOW)])
-        if fresh:
-            added = self.net.tables(np.array(fresh, np.float32))
-            self.tables = {s: np.concatenate([self.tables[s], added[s]]) for s in "fb"}
-        scores = np.split(self.net.score(self.tables, np.concatenate(windows)), np.cumsum([len(b) for b in begins])[:-1])
+        if len(number) > before:
+            self._learn(list(islice(number, before, None)))
+        scores = np.split(self.net.score(self.table, np.concatenate(windows)), np.cumsum([len(b) for b in begins])[:-1])
         best = [int(s.argmax()) for s in scores]
         return np.array([float(s[i]) for s, i in zip(scores, best, strict=True)]), [int(b[i]) for b, i in zip(begins, best, strict=True)]
 
 
-_LOADED: dict[int, Scorer] = {}
+_LOADED: dict[str, Scorer] = {}
 
 
 def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str, text_col: str, max_docs: int) -> Network | float:
-    """Trains on about ``max_docs`` labelled rows of the training part."""
+    """Trains on a sample of labelled rows of the training part, about half of each label.
+
+    At most about ``max_docs`` documents of at most MAX_TRAINING_BYTES each reach the driver.
+    """
     label = labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull())
-    label = label.groupBy(F.col(id_col).alias("l_id")).agg(F.max("toxic").alias("l_toxic"))
-    label = label.filter(training)
-    share = min(1.0, max_docs / max(1, label.count()))
-    chosen = F.pmod(F.xxhash64(F.col("l_id").cast("string")), F.lit(1_000_000)) < int(share * 1_000_000)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
-        label.filter(chosen), F.col("id") == F.col("l_id")
+    label = label.groupBy(F.col(id_col).alias("l_id")).agg((F.max("toxic") > 0).cast("int").alias("l_toxic"))
+    label = stage(label.filter(training), "toxic-labels")
+    size = {r[0]: r[1] for r in label.groupBy("l_toxic").agg(F.count(F.lit(1))).collect()}
+    place = F.pmod(F.xxhash64(F.col("l_id").cast("string")), F.lit(1_000_000))
+    share = F.lit(0)
+    for kind, n in size.items():
+        share = F.when(F.col("l_toxic") == kind, F.lit(int(min(1.0, max_docs / 2 / n) * 1_000_000))).otherwise(share)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(
+        F.coalesce(F.octet_length("text"), F.lit(0)) <= MAX_TRAINING_BYTES
     )
+    rows = rows.join(label.filter(place < share), F.col("id") == F.col("l_id"))
     rows = sorted(rows.select("id", "text", "l_toxic").collect(), key=lambda r: (r[0], r[1] or ""))
-    return train([r[1] for r in rows], [int(r[2] > 0) for r in rows])
+    return train([r[1] for r in rows], [r[2] for r in rows])
 
 
 def score_toxicity(
@@ -301,6 +405,7 @@ def score_toxicity(
     """id and score of every row. ``training`` is a condition on ``l_id``."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, training, id_col, text_col, max_docs))
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    name = uuid.uuid4().hex  # of this model, in workers that outlive it
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -309,13 +414,11 @@ def score_toxicity(
             for part in texts:
                 yield pd.Series(np.full(len(part), net))
             return
-        key = id(model)
-        if key not in _LOADED:
+        if name not in _LOADED:
             _LOADED.clear()
-            _LOADED[key] = Scorer(net)
+            _LOADED[name] = Scorer(net)
         for part in texts:
-            out = [_LOADED[key].score(part[k : k + 200].tolist()) for k in range(0, len(part), 200)]
-            yield pd.Series(np.concatenate(out) if out else np.empty(0))
+            yield pd.Series(_LOADED[name].score_all(part.tolist()))
 
     return slim.select(F.col("id").alias(id_col), score("text").alias("score"))
 
