@@ -10,6 +10,7 @@ import duckdb
 
 DUCK_TYPES = {
     "BIGINT": "bigint",
+    "INTEGER": "int",
     "DOUBLE": "double",
     "VARCHAR": "string",
     "DATE": "date",
