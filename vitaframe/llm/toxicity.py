@@ -393,7 +393,8 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str, text_
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(
         F.coalesce(F.octet_length("text"), F.lit(0)) <= MAX_TRAINING_BYTES
     )
-    rows = rows.join(label.filter(place < share), F.col("id") == F.col("l_id"))
+    # About max_docs rows, so that no text is shuffled for them.
+    rows = rows.join(F.broadcast(label.filter(place < share)), F.col("id") == F.col("l_id"))
     rows = sorted(rows.select("id", "text", "l_toxic").collect(), key=lambda r: (r[0], r[1] or ""))
     return train([r[1] for r in rows], [r[2] for r in rows])
 
