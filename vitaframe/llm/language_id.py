@@ -5,18 +5,21 @@ An unseen word is scored by its character n-grams: the longest that are known co
 and if none of a length is known the next shorter length is tried. A document's
 score is the softmax of the mean over its words, sharpened by up to ``SHARPEN`` words.
 
-Counting the training texts is a Spark job; the model keeps the ``MAX_WORDS`` most
-frequent words and ``MAX_GRAMS`` n-grams of each length per language, so its size
-does not grow with the corpus. It is fitted on about ``MAX_TRAINING_DOCS`` labelled
-documents, chosen by a hash of their id.
+Counting the training texts is a Spark job; the model keeps the words and n-grams
+that occur ``MIN_COUNT`` times in a language. It is fitted on about ``MAX_TRAINING_DOCS``
+labelled documents, as many of each language (at least ``LEAST_DOCS``, or all), chosen
+by a hash of their id; so its size does not grow with the corpus, and every language
+with a label can be predicted.
 
 Null texts and texts without a letter are ``und`` with score 0. With no labelled
-document everything is ``und``. Rows that repeat a document are judged each. Ties go
-to the language that comes first by code point. Extra columns play no part.
+document everything is ``und``. Rows that repeat a document are judged each, alike. Ties go
+to the language that comes first by code point. Texts of any length are read whole.
+Rows without an id are judged; their remainder counts as 0. Extra columns play no part.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,15 +27,13 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vitaframe.llm.common import read_table
 
 MAX_TRAINING_DOCS = 5_000
-MAX_LANGUAGES = 64
-MAX_WORDS = 20_000
-MAX_GRAMS = 5_000
+LEAST_DOCS = 50
+MIN_COUNT = 2
 LONGEST_GRAM = 5
 SHARPEN = 20
 CACHED_WORDS = 300_000
@@ -130,24 +131,19 @@ class Model:
 
 
 def fit(docs: DataFrame, training: Column, id_col: str, text_col: str, lang_col: str, max_docs: int) -> list[tuple]:
-    """The model's rows, at most MAX_LANGUAGES * (MAX_WORDS + LONGEST_GRAM * MAX_GRAMS)."""
+    """The model's rows: lang, kind, gram, n."""
     usable = docs.filter(training & F.col(lang_col).isNotNull())
-    share = min(1.0, max_docs / max(1, usable.select(id_col).count()))
-    chosen = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)) < int(share * 1_000_000)
-    labelled = usable.filter(chosen).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = count_grams(labelled)
-    first = W.partitionBy("lang", "kind").orderBy(F.col("n").desc(), "gram")
-    most = F.when(F.col("kind") == 0, MAX_WORDS).otherwise(MAX_GRAMS)
-    rows = counts.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= most).drop("rank")
-    found = [tuple(r) for r in rows.collect()]
-    size = Counter()
-    for lang, kind, _, n in found:
-        size[lang] += n if kind == 0 else 0
-    common = {lang for lang, _ in sorted(size.items(), key=lambda x: (-x[1], x[0]))[:MAX_LANGUAGES]}
-    return [r for r in found if r[0] in common]
+    size = {r[0]: r[1] for r in usable.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1))).collect()}
+    if not size:
+        return []
+    each = max(LEAST_DOCS, max_docs // len(size))
+    share = F.create_map(*[F.lit(x) for lang, n in size.items() for x in (lang, int(min(1.0, each / n) * 1_000_000))])
+    place = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000))
+    labelled = usable.filter(place < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    return [tuple(r) for r in count_grams(labelled).filter(F.col("n") >= MIN_COUNT).collect()]
 
 
-_LOADED: dict[int, Model] = {}
+_LOADED: dict[str, Model] = {}
 
 
 def identify(
@@ -166,16 +162,16 @@ def identify(
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(fit(docs, training, id_col, text_col, lang_col, max_docs))
     payload = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if with_rows else []
+    name = uuid.uuid4().hex  # of this model, in workers that outlive it
     inner = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *payload)
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        key = id(model)
-        if key not in _LOADED:
+        if name not in _LOADED:
             _LOADED.clear()
-            _LOADED[key] = Model(model.value)
+            _LOADED[name] = Model(model.value)
         for part in texts:
-            yield pd.DataFrame([_LOADED[key].predict(t) for t in part], columns=["lang_pred", "score"])
+            yield pd.DataFrame([_LOADED[name].predict(t) for t in part], columns=["lang_pred", "score"])
 
     out = inner.withColumn("found", predict("text"))
     return out.select("id", "found.lang_pred", "found.score", *(["row"] if with_rows else []))
