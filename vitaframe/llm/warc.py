@@ -94,26 +94,22 @@ def _info() -> bytes:
     return _header(fields) + body + b"\r\n\r\n"
 
 
-def build_dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from evenly spaced records, or None if they are too few."""
+def build_dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary from evenly spaced records; where they are too few to train one, their bytes."""
     step = max(1, sum(map(len, records)) // SAMPLE_BYTES)
     samples = [r[k : k + 4096] for r in records[::step] for k in range(0, min(len(r), 1 << 16), 4096)]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples)
     except (zstandard.ZstdError, ValueError):
-        return None
+        return zstandard.ZstdCompressionDict(b"".join(samples)[:DICT_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def archive_bytes(records: list[bytes]) -> bytes:
     records = [_info(), *records]
     dictionary = build_dictionary(records)
-    out = []
-    if dictionary is not None:
-        raw = dictionary.as_bytes()
-        out.append(struct.pack("<II", SKIPPABLE, len(raw)) + raw)
+    raw = dictionary.as_bytes()
     compressor = zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_checksum=True)
-    out += [compressor.compress(r) for r in records]
-    return b"".join(out)
+    return b"".join([struct.pack("<II", SKIPPABLE, len(raw)) + raw, *map(compressor.compress, records)])
 
 
 def archive_records(content: bytes) -> Iterator[bytes]:
