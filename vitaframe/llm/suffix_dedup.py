@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaframe.llm.common import read_table, stage
+from vitaframe.llm.common import discard, read_table, stage
 from vitaframe.llm.jaccard_join import mixed
 from vitaframe.llm.shared_tokens import id_filter, is_shared, pack, passes, shared_tokens, slot_of, unpack
 
@@ -45,6 +45,7 @@ GRAM = 24
 REACH = LENGTH - GRAM  # an anchor starts at most so far into its string
 RUN_ENTRIES = 1 << 18
 RANGE_BYTES = 16 << 20
+SETTLED = 1 << 12  # groups for what is settled within a run
 SAMPLE_DOCS = 2_000
 SAMPLE_GRAMS = 20
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -292,7 +293,7 @@ def _by_document(doc: np.ndarray, at: np.ndarray, mask: np.ndarray) -> tuple[lis
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
-    """``docs``: id (long), text. Per id: anchors ``at`` and ``mask``, in several rows.
+    """``docs``: id (long), text. Per id (``f_id``): anchors ``at`` and ``mask``.
 
     Bit o of a mask: the string that starts o bytes before the anchor is in a smaller document.
     """
@@ -312,7 +313,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
             entries = Entries(*(np.concatenate(x) for x in zip(*held, strict=True)))
             kept, later = sort_run(entries)
             ids, ats, masks = _by_document(later.doc, later.at, all_strings(later.sizes))
-            out = [(-1, None, *x) for x in zip(ids, ats, masks, strict=True)]
+            out = [(-1 - x[0] % SETTLED, None, *x) for x in zip(ids, ats, masks, strict=True)]
             grams = kept.right[:, :GRAM]
             starts = [0, *(_first_at(grams, x) for x in edge_strings), len(grams)]
             for part, (a, b) in enumerate(zip(starts, starts[1:], strict=False)):
@@ -340,6 +341,8 @@ def find_repeats(docs: DataFrame) -> DataFrame:
             yield run()
 
     def meet(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        if key[0] < 0:  # settled within a run
+            return group[["id", "at", "mask"]]
         parts = [front_decode(b) for b in group["run"]]
         texts = [p.right.tobytes() for p in parts]
         strings = [[t[i : i + LENGTH] for i in range(0, len(t), LENGTH)] for t in texts]
@@ -350,9 +353,16 @@ def find_repeats(docs: DataFrame) -> DataFrame:
         ids, ats, masks = _by_document(whole.doc, whole.at, repeated_strings(whole, np.array(prefix, np.int64)))
         return pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "at": pd.Series(ats, dtype=object), "mask": pd.Series(masks, dtype=object)})
 
-    sent = stage(rows.mapInArrow(send, "part int, run binary, id long, at array<bigint>, mask array<bigint>"), "suffix-runs")
-    met = sent.filter("part >= 0").select("part", "run").groupBy("part").applyInPandas(meet, "id long, at array<bigint>, mask array<bigint>")
-    return met.unionByName(sent.filter("part < 0").select("id", "at", "mask"))
+    found = (
+        rows.mapInArrow(send, "part int, run binary, id long, at array<bigint>, mask array<bigint>")
+        .groupBy("part")
+        .applyInPandas(meet, "id long, at array<bigint>, mask array<bigint>")
+        .groupBy(F.col("id").alias("f_id"))
+        .agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("mask")).alias("mask"))
+    )
+    found = stage(found, "suffix-found")
+    discard(shared)
+    return found
 
 
 def _first_at(grams: np.ndarray, edge: bytes) -> int:
@@ -381,8 +391,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Every row's id, n_bytes, n_removed, n_spans, kept_sha256, and the bytes ``kept`` if asked for."""
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = find_repeats(slim.filter(F.col("id").isNotNull() & (F.octet_length("text") >= LENGTH)))
-    found = found.groupBy(F.col("id").alias("f_id")).agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("mask")).alias("mask"))
-    found = stage(found, "suffix-found")
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(found, "f_id"))
 
     def result(doc, text, at, mask) -> tuple:
