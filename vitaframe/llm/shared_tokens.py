@@ -7,6 +7,11 @@ the document in the block. A range meets in one task; how many ranges there are
 follows the number of tokens, and tokens are hashes, so ranges are alike in size. A
 token held by very many documents adds one step per document and block.
 
+A block is cut into ``LEVEL_RANGES`` pieces at most, so that pieces stay long: with
+more ranges blocks are cut coarsely first, pieces of one coarse range are put together
+to new blocks by tasks that take a bounded number of tokens each, and these are cut
+into the final ranges. That is enough for LEVEL_RANGES squared.
+
 Cutting tokens to fewer bits can only name too many tokens, never too few.
 """
 
@@ -26,6 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 BLOCK_TOKENS = 1 << 20
 RANGE_TOKENS = 1 << 19
 LEAST_RANGES = 64
+LEVEL_RANGES = 4096
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -64,7 +70,29 @@ def _blocks(rows: Iterator[tuple]) -> Iterator[tuple[list, np.ndarray, np.ndarra
         yield ids, np.concatenate(parts), np.repeat(np.arange(len(ids)), [len(p) for p in parts])
 
 
-def shared_tokens(rows: DataFrame, total: int, tokens_of: Callable | None = None) -> DataFrame:
+def _pieces(ids: list, cut: np.ndarray, owner: np.ndarray, part: np.ndarray) -> Iterator[tuple]:
+    """Sorted tokens of a block by range: range, steps, places of their documents, ids of these."""
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    for a, b in zip(starts, [*starts[1:], len(part)], strict=True):
+        used, place = np.unique(owner[a:b], return_inverse=True)
+        yield int(part[a]), pack(np.diff(cut[a:b], prepend=np.uint64(0))), pack(place), [ids[u] for u in used]
+
+
+def _together(group: pd.DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
+    """Pieces as one block: ids, sorted tokens, and the place of each token's document."""
+    owners, ids, first = [], [], 0
+    for places, names in zip(group["places"], group["ids"], strict=True):
+        owners.append(unpack(places).astype(np.int64) + first)
+        ids.extend(names)
+        first += len(names)
+    token, owner = np.concatenate([np.cumsum(unpack(s)) for s in group["steps"]]), np.concatenate(owners)
+    order = np.argsort(token, kind="stable")
+    return ids, token[order], owner[order]
+
+
+def shared_tokens(
+    rows: DataFrame, total: int, tokens_of: Callable | None = None, range_tokens: int = RANGE_TOKENS, level_ranges: int = LEVEL_RANGES
+) -> DataFrame:
     """``rows``: id, tokens (array<bigint>, distinct within a row); about ``total`` of them.
 
     With ``tokens_of`` the second column is a text, and this gives its tokens.
@@ -72,44 +100,33 @@ def shared_tokens(rows: DataFrame, total: int, tokens_of: Callable | None = None
     Returns id and the upper bits of the tokens that another row holds, too, in one or
     more rows per id; ``is_shared`` compares them. Tokens may be reported in vain at the rate of chance hits of cut hashes.
     """
-    ranges = max(LEAST_RANGES, -(-total // RANGE_TOKENS))
+    ranges = max(LEAST_RANGES, -(-total // range_tokens))
+    # Ranges of a coarse range, and tasks that put its pieces together.
+    fine = -(-ranges // level_ranges)
+    slots = max(1, -(-total * fine // ranges // (8 * range_tokens)))
     kind = rows.schema["id"].dataType.simpleString()
     pa_kind = to_arrow_type(rows.schema["id"].dataType)
-    shift = np.uint64(64 - cut_bits(total))
+    bits = cut_bits(total)
+    names, schema = ["part", "steps", "places", "ids"], f"part int, steps binary, places binary, ids array<{kind}>"
+
+    def range_of(cut: np.ndarray) -> np.ndarray:
+        """The range of a cut token: its upper 32 bits, scaled."""
+        return (((cut >> np.uint64(bits - 32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, tokens, owner in _blocks(_token_lists(batches, tokens_of)):
             order = np.argsort(tokens, kind="stable")
-            tokens, owner = tokens[order], owner[order]
-            # The range of a token: its upper 32 bits, scaled.
-            part = ((tokens >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-            edges = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
-            out = []
-            for r in range(ranges):
-                a, b = edges[r], edges[r + 1]
-                if a == b:
-                    continue
-                cut = tokens[a:b] >> shift
-                used, place = np.unique(owner[a:b], return_inverse=True)
-                out.append((r, pack(np.diff(cut, prepend=np.uint64(0))), pack(place), [ids[u] for u in used]))
-            columns = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary()),
-                 pa.array(columns[3], pa.list_(pa_kind))],
-                ["part", "steps", "places", "ids"],
-            )
+            cut, owner = tokens[order] >> np.uint64(64 - bits), owner[order]
+            columns = list(zip(*_pieces(ids, cut, owner, range_of(cut) // fine), strict=True))
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa_kind))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    def cut_again(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        ids, cut, owner = _together(group)
+        return pd.DataFrame(list(_pieces(ids, cut, owner, range_of(cut))), columns=names)
 
     def meet(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        tokens = [np.cumsum(unpack(s)) for s in group["steps"]]
-        owners, first = [], 0
-        ids: list = []
-        for places, names in zip(group["places"], group["ids"], strict=True):
-            owners.append(unpack(places).astype(np.int64) + first)
-            ids.extend(names)
-            first += len(names)
-        token, owner = np.concatenate(tokens), np.concatenate(owners)
-        order = np.argsort(token, kind="stable")
-        token, owner = token[order], owner[order]
+        ids, token, owner = _together(group)
         same = token[1:] == token[:-1]
         again = np.zeros(len(token), bool)
         again[1:] |= same
@@ -119,9 +136,12 @@ def shared_tokens(rows: DataFrame, total: int, tokens_of: Callable | None = None
         token, owner = token[order].view(np.int64), owner[order]
         starts = np.flatnonzero(np.diff(owner, prepend=-1))
         lists = np.split(token, starts[1:]) if len(starts) else []
-        return pd.DataFrame({"id": [ids[o] for o in owner[starts]], "tokens": pd.Series(lists, dtype=object)})
+        return pd.DataFrame({"id": pd.Series([ids[o] for o in owner[starts]], dtype=object), "tokens": pd.Series(lists, dtype=object)})
 
-    sent = rows.mapInArrow(send, f"part int, steps binary, places binary, ids array<{kind}>")
+    sent = rows.mapInArrow(send, schema)
+    if fine > 1:
+        slot = F.pmod(F.xxhash64("steps", "ids"), F.lit(slots)).alias("slot")
+        sent = sent.groupBy("part", slot).applyInPandas(cut_again, schema)
     return sent.groupBy("part").applyInPandas(meet, f"id {kind}, tokens array<bigint>")
 
 
