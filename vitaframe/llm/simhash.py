@@ -208,6 +208,9 @@ def _pass(nodes: DataFrame, wanted: int, class_bits: int, total: int, range_vari
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     sent = nodes.select("fp").mapInArrow(send, "part int, keys binary, flips binary")
+    if 1 << range_bits > 4 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        # As many tasks as there are ranges ask for, whatever the setting.
+        sent = sent.repartition(1 << (range_bits - 1), "part")
     return sent.groupBy("part").applyInPandas(meet, "a long, b long")
 
 
