@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from vitaframe.llm import jaccard_join, language_id, toxicity, warc  # noqa: E402
+from vitaframe.llm import compact_windows, jaccard_join, language_id, toxicity, warc  # noqa: E402
 from vitaframe.llm.language_id import identify  # noqa: E402
 from vitaframe.llm.queries import QUERIES  # noqa: E402
 from vitaframe.llm.shared_tokens import cut_bits, is_shared, shared_tokens  # noqa: E402
@@ -261,3 +261,53 @@ def test_an_empty_table_of_pages(spark, tmp_path):
     folder = str(tmp_path / "none")
     warc.write_archives(pages, folder)
     assert warc.read_archives(spark, folder).count() == 0
+
+
+# ------------------------------------------------------------------ passages
+
+
+def alike_passage(one, two):
+    """Whether some 46 five-word shingles in a row of each have a Jaccard similarity of 0.8."""
+    span, common = 46, set(one) & set(two)
+    sides = []
+    for own in (one, two):
+        windows = (set(own[s : s + span]) for s in range(len(own) - span + 1))
+        sides.append([w for w in windows if 100 * len(w & common) >= 80 * len(w)])
+    return any(100 * len(x & y) >= 80 * len(x | y) for x in sides[0] for y in sides[1])
+
+
+def test_classes_of_passages_equal_all_pairs(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    grams = {}
+    for r in docs.collect():
+        ws = plain_words(r["text"])
+        grams[r["doc_id"]] = [tuple(ws[k : k + 5]) for k in range(len(ws) - 4)]
+    holders: dict[tuple, set] = {}
+    for i, own in grams.items():
+        for g in own:
+            holders.setdefault(g, set()).add(i)
+    shared = Counter((a, b) for ids in holders.values() for a in ids for b in ids if a < b)
+    linked = {p for p, n in shared.items() if n >= 20 and min(len(grams[p[0]]), len(grams[p[1]])) >= 46 and alike_passage(grams[p[0]], grams[p[1]])}
+    roots = plain_components(grams, lambda a, b: (a, b) in linked)
+    got = {r["doc_id"]: r for r in QUERIES["op5_substring_dedup"](spark, SMALL).collect()}
+    assert len(linked) > 5 and {i: r["class_id"] for i, r in got.items()} == roots
+    assert {i for i, r in got.items() if r["n_links"]} == {i for p in linked for i in p}
+
+
+def test_a_line_that_very_many_texts_share_brings_no_pairs(spark):
+    """A line under 50 words in unrelated texts is no passage; one in two of them is found all the same."""
+    rng = np.random.default_rng(12)
+    line = [f"line{k}" for k in range(44)]
+    words = lambda n: [f"w{k}" for k in rng.integers(0, 10**9, n)]
+    passage = words(60)
+    texts = [words(70) + line + words(70) + (passage if i in (3, 77) else words(60)) for i in range(120)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in compact_windows.repeated_passages(docs).collect()}
+    assert {i: r["class_id"] for i, r in got.items() if r["class_id"] != i} == {77: 3}
+    assert [got[i]["n_passages"] for i in (3, 77, 4)] == [1, 1, 0]
+
+
+def test_copies_of_short_texts_are_no_passages(spark):
+    rows = [(i, " ".join(f"some{k}" for k in range(n))) for i, n in [(1, 49), (2, 49), (3, 50), (4, 50), (4, 50)]]
+    got = {r["doc_id"]: tuple(r)[1:] for r in compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 0, 0, 0), 2: (2, 0, 0, 0), 3: (3, 1, 1, 50), 4: (3, 1, 1, 50)}
