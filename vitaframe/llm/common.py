@@ -26,17 +26,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files and broadcasts of tables that are no longer named.
+
+    It does so once the driver has collected the objects that name them; with a large
+    driver that can be long after their use.
+    """
+    spark._jvm.System.gc()
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: computed once, short lineage.
 
-    Spark removes shuffle files and broadcasts once the driver has collected the
-    objects that name them; with a large driver that can be long after their use.
+    What was shuffled for it is given up at once if the caller keeps no other name of ``df``.
     """
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    spark._jvm.System.gc()
-    out = spark.read.schema(df.schema).parquet(path)
+    del df
+    collect_garbage(spark)
+    out = spark.read.schema(schema).parquet(path)
     out.staged_path = path
     return out
 

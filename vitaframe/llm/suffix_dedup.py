@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaframe.llm.common import discard, read_table, stage
+from vitaframe.llm.common import collect_garbage, discard, read_table, stage
 from vitaframe.llm.jaccard_join import mixed
 from vitaframe.llm.shared_tokens import id_filter, is_shared, pack, passes, shared_tokens, slot_of, unpack
 
@@ -353,14 +353,15 @@ def find_repeats(docs: DataFrame) -> DataFrame:
         ids, ats, masks = _by_document(whole.doc, whole.at, repeated_strings(whole, np.array(prefix, np.int64)))
         return pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "at": pd.Series(ats, dtype=object), "mask": pd.Series(masks, dtype=object)})
 
-    found = (
+    whole = (
         rows.mapInArrow(send, "part int, run binary, id long, at array<bigint>, mask array<bigint>")
         .groupBy("part")
         .applyInPandas(meet, "id long, at array<bigint>, mask array<bigint>")
         .groupBy(F.col("id").alias("f_id"))
         .agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("mask")).alias("mask"))
     )
-    found = stage(found, "suffix-found")
+    del rows
+    found = stage(whole, "suffix-found")
     discard(shared)
     return found
 
@@ -391,6 +392,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Every row's id, n_bytes, n_removed, n_spans, kept_sha256, and the bytes ``kept`` if asked for."""
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = find_repeats(slim.filter(F.col("id").isNotNull() & (F.octet_length("text") >= LENGTH)))
+    collect_garbage(docs.sparkSession)  # the texts and runs that were sent
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(found, "f_id"))
 
     def result(doc, text, at, mask) -> tuple:
