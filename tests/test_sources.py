@@ -283,3 +283,17 @@ def test_two_staged_tables_of_one_name_do_not_meet(spark):
 
     one, two = stage_table(spark.range(3), "same"), stage_table(spark.range(5), "same")
     assert one.count() == 3 and two.count() == 5
+
+
+def test_a_rewritten_table_is_read_anew(spark, tmp_path):
+    from vitaframe.plans.workspace import event_workspace
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    folder = str(tmp_path)
+    events.limit(50).write.parquet(f"{folder}/events.parquet")
+    one = event_workspace(spark, folder)
+    assert event_workspace(spark, folder) is one
+    n = one["cleaned"].count()
+    events.limit(200).write.mode("overwrite").parquet(f"{folder}/events.parquet")
+    two = event_workspace(spark, folder)
+    assert two is not one and two["cleaned"].count() > n

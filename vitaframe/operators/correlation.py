@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 
 from vitaframe.config import CORRELATION_PAIRS, DEFAULTS, METRICS, Settings
 from vitaframe.functions.order_stats import BAND, value_positions
-from vitaframe.functions.scalar import clamp, correlation_p_value, pearson, percent, round_even
+from vitaframe.functions.scalar import (
+    clamp,
+    correlation_p_value,
+    pearson,
+    percent,
+    round_even,
+    sentence,
+)
 from vitaframe.operators.statistics import good_rows
 from vitaframe.session import stage_table
+from vitaframe.texts import RELATIONS
 
 MIN_PAIRS = 5
 MIN_WINDOW_PAIRS = 7
@@ -128,9 +136,8 @@ def interpret_pair() -> Column:
     )
     sign = F.when(r > 0, F.lit("positive")).otherwise(F.lit("negative"))
     return F.when(
-        F.coalesce(p < SIGNIFICANT, F.lit(False)),
-        F.concat_ws(" ", size, sign, F.lit("correlation")),
-    ).otherwise(F.lit("No significant relationship detected"))
+        F.coalesce(p < SIGNIFICANT, F.lit(False)), sentence(RELATIONS["same_day"], size, sign)
+    ).otherwise(F.lit(RELATIONS["no_same_day"]))
 
 
 def interpret_next_day() -> Column:
@@ -144,15 +151,8 @@ def interpret_next_day() -> Column:
     sign = F.when(r > 0, F.lit("increases")).otherwise(F.lit("decreases"))
     return F.when(
         F.coalesce(F.col("pearson_p") < SIGNIFICANT, F.lit(False)),
-        F.concat_ws(
-            " ", F.lit("Higher"), "metric_1", F.lit("today"), size, sign, "metric_2",
-            F.lit("tomorrow"),
-        ),
-    ).otherwise(
-        F.concat_ws(
-            " ", F.lit("No significant next-day effect of"), "metric_1", F.lit("on"), "metric_2"
-        )
-    )
+        sentence(RELATIONS["next_day"], "metric_1", size, sign, "metric_2"),
+    ).otherwise(sentence(RELATIONS["no_next_day"], "metric_1", "metric_2"))
 
 
 PAIR_KEYS = ["participant_id", "pair_order", "metric_1", "metric_2"]

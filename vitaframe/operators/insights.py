@@ -12,22 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitaframe.config import DEFAULTS, METRICS, PRIORITY_RANKS, Settings
-from vitaframe.functions.scalar import fixed, grouped
+from vitaframe.functions.scalar import fixed, grouped, sentence
 from vitaframe.texts import BEHAVIOUR, FINDINGS, PROGRESS, RECOMMENDATIONS, SUMMARY
 
 CONFIDENT = ["solid", "pretty sure"]
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
 
-def sentence(template: str, *parts: Column | str) -> Column:
-    """Fill the ``{}`` of a text with columns."""
-    pieces = template.split("{}")
-    out: list[Column] = [F.lit(pieces[0])]
-    for part, piece in zip(parts, pieces[1:], strict=True):
-        out += [part if isinstance(part, Column) else F.col(part), F.lit(piece)]
-    return F.concat(*out)
-
-
 def metric_order(metric: Column | str = "metric_type") -> Column:
     metric = F.col(metric) if isinstance(metric, str) else metric
     return F.array_position(F.array(*[F.lit(m) for m in METRICS]), metric)

@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vitaframe.config import METRIC_TITLES, METRICS, OVERVIEW_TITLES
-from vitaframe.functions.scalar import fixed, percent
-from vitaframe.operators.insights import primary, sentence
+from vitaframe.functions.scalar import fixed, percent, sentence
+from vitaframe.operators.insights import primary
 from vitaframe.texts import BADGES, CARD_TEXTS, EXPLANATIONS
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from vitaframe.config import DEFAULTS, GOOD, METRICS, Settings
 from vitaframe.functions.columns import find_column
 from vitaframe.functions.order_stats import group_summary
-from vitaframe.functions.scalar import fixed, month_name, percent, weekday
+from vitaframe.functions.scalar import fixed, month_name, percent, sentence, weekday
+from vitaframe.texts import COHORT
 
 QUANTILES = {
     "p25": 0.25,
@@ -206,27 +207,21 @@ def cohort_insights(cleaned: DataFrame, settings: Settings = DEFAULTS) -> DataFr
         F.sum("_n").alias("records"),
         F.sum("_good").alias("good"),
     ).where("records > 0")
+    statements = {
+        "cohort_size": (F.col("participants").cast("string"), F.col("metrics").cast("string")),
+        "overall_quality": (fixed(percent("good", "records"), 1),),
+    }
     general = overall.select(
         F.inline(
             F.array(
-                F.struct(
-                    F.lit("cohort_size").alias("insight_code"),
-                    F.lit(None).cast("string").alias("metric_type"),
-                    F.format_string(
-                        "Cohort includes %d participants with %d different health metrics.",
-                        "participants",
-                        "metrics",
-                    ).alias("insight"),
-                ),
-                F.struct(
-                    F.lit("overall_quality").alias("insight_code"),
-                    F.lit(None).cast("string").alias("metric_type"),
-                    F.concat(
-                        F.lit("Overall data quality: "),
-                        fixed(percent("good", "records"), 1),
-                        F.lit("% of records passed quality checks."),
-                    ).alias("insight"),
-                ),
+                *[
+                    F.struct(
+                        F.lit(name).alias("insight_code"),
+                        F.lit(None).cast("string").alias("metric_type"),
+                        sentence(COHORT[name], *parts).alias("insight"),
+                    )
+                    for name, parts in statements.items()
+                ]
             )
         )
     )
@@ -234,65 +229,17 @@ def cohort_insights(cleaned: DataFrame, settings: Settings = DEFAULTS) -> DataFr
     over = F.col("over_limit") > 0
     share = fixed("over_limit_pct", 1)
     cases = [
-        (
-            (m == "bp") & over,
-            "bp_high_share",
-            F.concat(
-                F.lit("Blood pressure: "),
-                share,
-                F.lit("% of readings show elevated systolic pressure (≥140 mmHg)."),
-            ),
-        ),
-        (
-            (m == "hr") & (mean > rules.cohort_hr[1]),
-            "hr_elevated",
-            F.concat(
-                F.lit("Heart rate: Cohort average of "),
-                fixed(mean, 0),
-                F.lit(" bpm indicates elevated resting heart rate."),
-            ),
-        ),
-        (
-            (m == "hr") & (mean < rules.cohort_hr[0]),
-            "hr_fit",
-            F.concat(
-                F.lit("Heart rate: Cohort average of "),
-                fixed(mean, 0),
-                F.lit(" bpm suggests good cardiovascular fitness."),
-            ),
-        ),
-        (
-            (m == "steps") & over,
-            "steps_goal_share",
-            F.concat(
-                F.lit("Physical activity: "),
-                share,
-                F.lit("% of days meet the 10,000 steps guideline."),
-            ),
-        ),
-        (
-            (m == "sleep") & (mean < rules.cohort_sleep[0]),
-            "sleep_short",
-            F.concat(
-                F.lit("Sleep: Cohort averages "),
-                fixed(mean, 1),
-                F.lit(" hours per night, below recommended 7-9 hours."),
-            ),
-        ),
-        (
-            (m == "sleep") & (mean > rules.cohort_sleep[1]),
-            "sleep_long",
-            F.concat(
-                F.lit("Sleep: Cohort averages "),
-                fixed(mean, 1),
-                F.lit(" hours per night, above typical range."),
-            ),
-        ),
+        ((m == "bp") & over, "bp_high_share", share),
+        ((m == "hr") & (mean > rules.cohort_hr[1]), "hr_elevated", fixed(mean, 0)),
+        ((m == "hr") & (mean < rules.cohort_hr[0]), "hr_fit", fixed(mean, 0)),
+        ((m == "steps") & over, "steps_goal_share", share),
+        ((m == "sleep") & (mean < rules.cohort_sleep[0]), "sleep_short", fixed(mean, 1)),
+        ((m == "sleep") & (mean > rules.cohort_sleep[1]), "sleep_long", fixed(mean, 1)),
     ]
     code, text = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for test, name, sentence in cases:
+    for test, name, figure in cases:
         code = F.when(test, F.lit(name)).otherwise(code)
-        text = F.when(test, sentence).otherwise(text)
+        text = F.when(test, sentence(COHORT[name], figure)).otherwise(text)
     specific = (
         metric_insight_inputs(cleaned, settings)
         .select(code.alias("insight_code"), "metric_type", text.alias("insight"))

@@ -72,12 +72,26 @@ class Workspace:
         return {**{n: self[n] for n in names}, "rolling": self["trends"]}
 
 
-_OPEN: dict[tuple[str, str], Workspace] = {}
+_OPEN: dict[tuple[str, str, str], Workspace] = {}
+
+
+def table_version(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of a table's files, as far as its top folder, in one text."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted(
+        (f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in system.listStatus(where)
+    )
+    return hashlib.sha256(repr(files).encode()).hexdigest()
 
 
 def event_workspace(spark: SparkSession, sf_dir: str) -> Workspace:
-    """The workspace of one set of tables; kept for the running application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The workspace of one set of tables; kept for the running application.
+
+    Tables that have been rewritten since get a new one.
+    """
+    version = table_version(spark, f"{sf_dir.rstrip('/')}/events.parquet")
+    key = (spark.sparkContext.applicationId, sf_dir, version)
     if key not in _OPEN:
         label = "events-" + hashlib.sha256(sf_dir.encode()).hexdigest()[:12]
         _OPEN[key] = Workspace(

@@ -130,3 +130,21 @@ CARD_TEXTS = {
     "moderate": " Moderate sample size provides reasonable confidence.",
     "good": " Good sample size supports reliable conclusions.",
 }
+
+COHORT = {
+    "cohort_size": "Cohort includes {} participants with {} different health metrics.",
+    "overall_quality": "Overall data quality: {}% of records passed quality checks.",
+    "bp_high_share": "Blood pressure: {}% of readings show elevated systolic pressure (≥140 mmHg).",
+    "hr_elevated": "Heart rate: Cohort average of {} bpm indicates elevated resting heart rate.",
+    "hr_fit": "Heart rate: Cohort average of {} bpm suggests good cardiovascular fitness.",
+    "steps_goal_share": "Physical activity: {}% of days meet the 10,000 steps guideline.",
+    "sleep_short": "Sleep: Cohort averages {} hours per night, below recommended 7-9 hours.",
+    "sleep_long": "Sleep: Cohort averages {} hours per night, above typical range.",
+}
+
+RELATIONS = {
+    "same_day": "{} {} correlation",
+    "no_same_day": "No significant relationship detected",
+    "next_day": "Higher {} today {} {} {} tomorrow",
+    "no_next_day": "No significant next-day effect of {} on {}",
+}
