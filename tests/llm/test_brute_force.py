@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from vitaframe.llm import compact_windows, jaccard_join, language_id, toxicity, warc  # noqa: E402
+from vitaframe.llm import bpe, compact_windows, jaccard_join, language_id, toxicity, warc  # noqa: E402
 from vitaframe.llm.language_id import identify  # noqa: E402
 from vitaframe.llm.queries import QUERIES  # noqa: E402
 from vitaframe.llm.shared_tokens import cut_bits, is_shared, shared_tokens  # noqa: E402
@@ -311,3 +311,33 @@ def test_copies_of_short_texts_are_no_passages(spark):
     rows = [(i, " ".join(f"some{k}" for k in range(n))) for i, n in [(1, 49), (2, 49), (3, 50), (4, 50), (4, 50)]]
     got = {r["doc_id"]: tuple(r)[1:] for r in compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (1, 0, 0, 0), 2: (2, 0, 0, 0), 3: (3, 1, 1, 50), 4: (3, 1, 1, 50)}
+
+
+# ------------------------------------------------------------------ BPE
+
+
+def test_the_suffix_automaton_finds_all_words():
+    rng = np.random.default_rng(13)
+    for letters in (1, 2, 3, 20):
+        for _ in range(25):
+            words = {bytes(rng.integers(97, 97 + letters, rng.integers(1, 8)).astype(np.uint8)) for _ in range(30)}
+            numbers = {w: k for k, w in enumerate(sorted(words))}
+            automaton = bpe.SuffixAutomaton(numbers)
+            text = bytes(rng.integers(96, 98 + letters, 60).astype(np.uint8))
+            expected = [(e, e - s, numbers[text[s:e]]) for e in range(1, 61) for s in range(e) if text[s:e] in numbers]
+            assert list(automaton.matches(text)) == expected
+            # No more than two states for each letter of the words.
+            assert len(automaton.size) <= 2 * sum(map(len, words)) + 1
+
+
+def test_pieces_are_encoded_as_by_the_library():
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary_path()
+    own, library = bpe.Bpe(open(path).read()), Tokenizer.from_file(path)
+    rng = np.random.default_rng(14)
+    texts = ["", " ", "\n\n\n  x", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa" * 9, "été́ naïve ﬁ 你好 😀😀", "I'll we've 123456789 --==--", "\x00\x01"]
+    texts += ["".join(chr(c) for c in rng.integers(32, 1200, 80)) for _ in range(200)]
+    texts += ["".join(rng.choice(list("aeinst "), 120)) for _ in range(200)]
+    for text in texts:
+        assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids

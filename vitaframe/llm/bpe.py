@@ -4,9 +4,9 @@ For every prefix of a piece of text there is one token that its encoding ends in
 A token that matches at the end of the prefix is that token exactly if the prefix
 before it is empty, or if the last token stored there and this one are compatible:
 merging by rank never joins anything across their border. All matches come from
-one automaton over the vocabulary; following the stored tokens back from the end
-gives the ids. Pieces are cut by the pattern of the tokenizer, and a piece seen
-before is looked up.
+one suffix automaton over the vocabulary, which is read along the piece; following the
+stored tokens back from the end gives the ids. Pieces are cut by the pattern of the
+tokenizer, and a piece seen before is looked up.
 
 Null texts are empty: no tokens, an empty string when decoded. Rows that repeat a
 document are encoded each. Special tokens in a text become their own id. Extra
@@ -19,7 +19,6 @@ import hashlib
 import json
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -43,6 +42,79 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class SuffixAutomaton:
+    """Of a set of words: which of them end at each place of a text.
+
+    A state is a class of substrings of the words that end at the same places in them; its
+    link leads to the class of the longest suffix that ends at more places. A whole word
+    stands at a word's beginning and so is the longest of its class. Reading a text, the
+    state holds the longest suffix read that is a substring of a word: the words that end
+    here are those on its chain of links.
+    """
+
+    def __init__(self, words: dict[bytes, int]):
+        self.step: list[dict[int, int]] = [{}]
+        self.link, self.size = [-1], [0]
+        ends = {}
+        for word, number in words.items():
+            state = 0
+            for letter in word:
+                state = self._extend(state, letter)
+            ends[state] = number
+        # The word of a state, and the next state on the chain from it (itself included) with one.
+        self.word = [ends.get(state, -1) for state in range(len(self.size))]
+        self.nearest = [0] * len(self.size)
+        for state in sorted(range(1, len(self.size)), key=self.size.__getitem__):
+            self.nearest[state] = state if state in ends else self.nearest[self.link[state]]
+
+    def _state(self, size: int, link: int, step: dict[int, int]) -> int:
+        self.size.append(size)
+        self.link.append(link)
+        self.step.append(step)
+        return len(self.size) - 1
+
+    def _split(self, before: int, letter: int, state: int) -> int:
+        """The part of a state that ``before`` leads to, as a state of its own."""
+        part = self._state(self.size[before] + 1, self.link[state], dict(self.step[state]))
+        self.link[state] = part
+        while before >= 0 and self.step[before].get(letter) == state:
+            self.step[before][letter] = part
+            before = self.link[before]
+        return part
+
+    def _extend(self, last: int, letter: int) -> int:
+        known = self.step[last].get(letter)
+        if known is not None:
+            return known if self.size[known] == self.size[last] + 1 else self._split(last, letter, known)
+        new, before = self._state(self.size[last] + 1, 0, {}), last
+        while before >= 0 and letter not in self.step[before]:
+            self.step[before][letter] = new
+            before = self.link[before]
+        if before >= 0:
+            known = self.step[before][letter]
+            whole = self.size[known] == self.size[before] + 1
+            self.link[new] = known if whole else self._split(before, letter, known)
+        return new
+
+    def matches(self, text: bytes) -> Iterator[tuple[int, int, int]]:
+        """End, length and number of every word in the text, by end, the longest first."""
+        step, link, size, word, nearest = self.step, self.link, self.size, self.word, self.nearest
+        state = length = 0
+        for end, letter in enumerate(text, 1):
+            following = step[state].get(letter)
+            while following is None and state:
+                state = link[state]
+                length = size[state]
+                following = step[state].get(letter)
+            if following is None:
+                continue
+            state, length = following, length + 1
+            found = nearest[state if length == size[state] else link[state]]
+            while found:
+                yield end, size[found], word[found]
+                found = nearest[link[found]]
+
+
 class _Pieces(dict):
     """Piece to the bytes of its ids (four each); forgets all when it is full."""
 
@@ -83,7 +155,6 @@ class Bpe:
             self.pair_rank[a, b] = r
             self.rank[both], self.left[both], self.right[both] = r, a, b
         self.compatible: dict[int, bool] = {}
-        self.automaton = ahocorasick.Automaton()
         reachable = [False] * size
         for i in sorted(vocab.values(), key=lambda i: self.rank[i]):
             a, b, r = self.left[i], self.right[i], self.rank[i]
@@ -91,9 +162,8 @@ class Bpe:
                 reachable[i] = len(self.token[i]) == 1
             else:
                 reachable[i] = reachable[a] and reachable[b] and self.apart(a, b, r)
-            if reachable[i]:
-                self.automaton.add_word(self.token[i].decode("latin-1"), (len(self.token[i]), i))
-        self.automaton.make_automaton()
+        self.automaton = SuffixAutomaton({self.token[i]: i for i in sorted(vocab.values()) if reachable[i]})
+        self.single = {self.token[i][0]: i for i in vocab.values() if len(self.token[i]) == 1}
         self.pattern = regex.compile(PIECES)
         self.pieces = _Pieces(self.encode_piece)
         self.id_text = self._table([b"%d," % i for i in range(size)])
@@ -119,23 +189,42 @@ class Bpe:
                 limit, b = rb + 1, self.left[b]
 
     def encode_piece(self, piece: bytes) -> list[int]:
+        """The ids of a piece: the last token of every prefix, then back from the end.
+
+        Reads the piece as ``SuffixAutomaton.matches`` does; the rest of a chain is left
+        once a token fits, as only one does.
+        """
+        if len(piece) == 1:
+            return [self.single[piece[0]]]
         last = [-1] * (len(piece) + 1)
-        compatible = self.compatible
+        compatible, words = self.compatible, self.automaton
+        step, link, size, word, nearest = words.step, words.link, words.size, words.word, words.nearest
         if len(compatible) > 4_000_000:
             compatible.clear()
-        for end, (size, token) in self.automaton.iter(piece.decode("latin-1")):
-            end += 1
-            if last[end] >= 0:
+        state = length = 0
+        for end, letter in enumerate(piece, 1):
+            following = step[state].get(letter)
+            while following is None and state:
+                state = link[state]
+                length = size[state]
+                following = step[state].get(letter)
+            if following is None:
                 continue
-            before = end - size
-            if before:
+            state, length = following, length + 1
+            found = nearest[state if length == size[state] else link[state]]
+            while found:
+                token, before = word[found], end - size[found]
+                if not before:
+                    last[end] = token
+                    break
                 key = last[before] << 20 | token
                 fits = compatible.get(key)
                 if fits is None:
                     fits = compatible[key] = self.apart(last[before], token)
-                if not fits:
-                    continue
-            last[end] = token
+                if fits:
+                    last[end] = token
+                    break
+                found = nearest[link[found]]
         ids, at = [], len(piece)
         while at:
             ids.append(last[at])
