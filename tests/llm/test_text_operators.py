@@ -158,7 +158,9 @@ def test_jaccard_join_among_many_near_copies(spark, monkeypatch, lead):
     assert {r[0]: (r[1], r[2]) for r in jaccard_join.join_components(docs, 3, 90).collect()} == linked(dict(rows), 3, 90)
 
 
-def test_suffix_dedup_equals_brute_force(spark, odd, none):
+# One level of ranges, and two.
+@pytest.mark.parametrize("sizes", [{}, {"range_bytes": 500, "level_ranges": 20}])
+def test_suffix_dedup_equals_brute_force(spark, odd, none, sizes):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
     docs = docs.unionByName(spark.createDataFrame([(10_001, None), (10_002, ""), (10_003, "ab" * 300), (10_004, "x" + "ab" * 100)], docs.schema))
     first, expected = {}, {}
@@ -173,7 +175,7 @@ def test_suffix_dedup_equals_brute_force(spark, odd, none):
             first.setdefault(s, i)
         kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
         expected[i] = (len(data), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest())
-    assert {r[0]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs).collect()} == expected
+    assert {r[0]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs.repartition(5), **sizes).collect()} == expected
     assert suffix_dedup.remove_repeats(odd).count() == len(ROWS) and suffix_dedup.remove_repeats(none).count() == 0
 
 

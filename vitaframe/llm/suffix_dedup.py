@@ -7,8 +7,11 @@ documents at all take part (``shared_tokens``).
 
 Each task sorts its suffixes (50 bytes each) into a run. Entries alike in suffix and
 in the bytes before it are settled within the run: the smallest document stands for
-them. Runs are cut by splitters taken from a sample of documents, and sent front-coded: the
-length of the prefix shared with the entry before, and the rest. A range's runs are
+them. Runs are cut by splitters taken from a sample of documents that follows the number of
+ranges, and sent front-coded: the length of the prefix shared with the entry before, and the
+rest. With more than ``LEVEL_RANGES`` ranges runs are cut coarsely first; tasks that take
+a bounded part of a coarse range make longer runs of its pieces, settle what is alike
+in them, and cut these by splitters of their own. A range's runs are
 combined by a loser tree that knows how long a prefix each entry shares with the
 last one put out; it compares bytes only where these are equal, and only from there
 on. The merged order comes with the common prefix of neighbours, so strings that
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,8 +50,10 @@ REACH = LENGTH - GRAM  # an anchor starts at most so far into its string
 RUN_ENTRIES = 1 << 18
 RANGE_BYTES = 16 << 20
 SETTLED = 1 << 12  # groups for what is settled within a run
-SAMPLE_DOCS = 2_000
-SAMPLE_GRAMS = 20
+LEVEL_RANGES = 1024
+SAMPLE_DOCS = 2_000  # at least
+SAMPLE_GRAMS = 20  # of a document
+SAMPLES = 32  # for each range
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -82,8 +88,8 @@ def anchor_tokens(text: str) -> np.ndarray:
     return np.unique(anchors(text.encode("utf-8", "surrogatepass"))[1])
 
 
-def splitters(docs: DataFrame, n_docs: int, ranges: int) -> list[bytes]:
-    """Grams that cut the suffixes into ranges of about equal size, from a sample of documents."""
+def sampled_grams(docs: DataFrame, n_docs: int, wanted: int) -> DataFrame:
+    """About so many grams of anchors (column gram), from documents chosen by a hash."""
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -95,11 +101,35 @@ def splitters(docs: DataFrame, n_docs: int, ranges: int) -> list[bytes]:
                 out += [data[a : a + GRAM] for a in at[::step].tolist()]
             yield pd.DataFrame({"gram": pd.Series(out, dtype=object)})
 
-    share = min(1.0, SAMPLE_DOCS / max(1, n_docs))
-    some = docs.filter(F.pmod(F.xxhash64("id", F.lit("split")), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    grams = sorted(bytes(r[0]) for r in some.select("text").mapInPandas(sample, "gram binary").collect())
-    cuts = [grams[len(grams) * k // ranges] for k in range(1, ranges)] if grams else []
-    return sorted(set(cuts))
+    share = min(1.0, wanted / SAMPLE_GRAMS / max(1, n_docs))
+    some = docs.filter(F.pmod(F.xxhash64("id", F.lit("split")), F.lit(1_000_000_000)) < int(share * 1_000_000_000) + 1)
+    return some.select("text").mapInPandas(sample, "gram binary")
+
+
+def _cuts(grams: list[bytes], ranges: int) -> list[bytes]:
+    grams = sorted(grams)
+    return sorted({grams[len(grams) * k // ranges] for k in range(1, ranges)}) if grams else []
+
+
+def splitters(docs: DataFrame, n_docs: int, ranges: int, level_ranges: int) -> tuple[list[bytes], int, DataFrame | None]:
+    """Grams that cut the suffixes into ranges of about equal size: those of the first level, how
+    many ranges each of its ranges has, and a table of these ranges' splitters (part, edges)."""
+    fine = -(-ranges // level_ranges)
+    coarse = -(-ranges // fine)
+    first = sampled_grams(docs, n_docs, max(SAMPLE_DOCS * SAMPLE_GRAMS, SAMPLES * coarse))
+    cuts = _cuts([bytes(r[0]) for r in first.collect()], coarse)
+    if fine == 1:
+        return cuts, 1, None
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"part": [bisect_right(cuts, g) for g in batch["gram"]], "gram": batch["gram"]})
+
+    def choose(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [key[0]], "edges": [b"".join(_cuts(group["gram"].tolist(), fine))]})
+
+    grams = sampled_grams(docs, n_docs, SAMPLES * ranges).mapInPandas(place, "part int, gram binary")
+    return cuts, fine, stage(grams.groupBy("part").applyInPandas(choose, "part int, edges binary"), "suffix-edges")
 
 
 class Entries:
@@ -292,7 +322,24 @@ def _by_document(doc: np.ndarray, at: np.ndarray, mask: np.ndarray) -> tuple[lis
     return doc[order][starts].tolist(), np.split(at[order], starts[1:]) if len(order) else [], np.split(mask[order], starts[1:]) if len(order) else []
 
 
-def find_repeats(docs: DataFrame) -> DataFrame:
+def cut_run(entries: Entries, edges: list[bytes], first: int) -> list[tuple]:
+    """A run's pieces by range (part, run), parts counted from ``first``, and what is settled within
+    it (a part below zero; id, at, mask)."""
+    kept, later = sort_run(entries)
+    out = [(-1 - i % SETTLED, None, i, at, mask) for i, at, mask in zip(*_by_document(later.doc, later.at, all_strings(later.sizes)), strict=True)]
+    grams = kept.right[:, :GRAM]
+    starts = [0, *(_first_at(grams, x) for x in edges), len(grams)]
+    for part, (a, b) in enumerate(zip(starts, starts[1:], strict=False), first):
+        if a < b:
+            out.append((part, front_code(kept.take(np.arange(a, b))), None, None, None))
+    return out
+
+
+def _joined(parts: list[Entries]) -> Entries:
+    return Entries(*(np.concatenate([getattr(p, x) for p in parts]) for x in ("right", "left", "sizes", "doc", "at")))
+
+
+def find_repeats(docs: DataFrame, range_bytes: int = RANGE_BYTES, level_ranges: int = LEVEL_RANGES) -> DataFrame:
     """``docs``: id (long), text. Per id (``f_id``): anchors ``at`` and ``mask``.
 
     Bit o of a mask: the string that starts o bytes before the anchor is in a smaller document.
@@ -301,25 +348,15 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     total = max(1, 2 * size // (REACH + 2))
     shared = shared_tokens(docs, total, anchor_tokens).groupBy("id").agg(F.flatten(F.collect_list("tokens")).alias("shared"))
     shared = stage(shared.withColumnRenamed("id", "s_id"), "suffix-shared")
-    cuts = splitters(docs, n_docs, max(64, -(-size // RANGE_BYTES)))
+    cuts, fine, finer = splitters(docs, n_docs, max(64, -(-size // range_bytes)), level_ranges)
     rows = docs.join(shared, F.col("id") == F.col("s_id")).select("id", "text", "shared")
-    edges = np.frombuffer(b"".join(cuts), np.uint8).reshape(-1, GRAM) if cuts else np.empty((0, GRAM), np.uint8)
-    edge_strings = [x.tobytes() for x in edges]
+    schema = "part int, run binary, id long, at array<bigint>, mask array<bigint>"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
 
         def run() -> pa.RecordBatch:
-            entries = Entries(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            kept, later = sort_run(entries)
-            ids, ats, masks = _by_document(later.doc, later.at, all_strings(later.sizes))
-            out = [(-1 - x[0] % SETTLED, None, *x) for x in zip(ids, ats, masks, strict=True)]
-            grams = kept.right[:, :GRAM]
-            starts = [0, *(_first_at(grams, x) for x in edge_strings), len(grams)]
-            for part, (a, b) in enumerate(zip(starts, starts[1:], strict=False)):
-                if a < b:
-                    out.append((part, front_code(kept.take(np.arange(a, b))), None, None, None))
-            columns = list(zip(*out, strict=True))
+            columns = list(zip(*cut_run(Entries(*(np.concatenate(x) for x in zip(*held, strict=True))), cuts, 0), strict=True))
             kinds = [pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "run", "id", "at", "mask"]
@@ -340,6 +377,15 @@ def find_repeats(docs: DataFrame) -> DataFrame:
         if count:
             yield run()
 
+    def cut_again(key: tuple, pieces: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        """Longer runs of the pieces of a coarse range, cut by its own splitters."""
+        if key[0] < 0 or not len(pieces):
+            return pieces[["part", "run", "id", "at", "mask"]]
+        edges = own["edges"].iloc[0] if len(own) else b""
+        edges = [edges[k : k + GRAM] for k in range(0, len(edges), GRAM)]
+        out = cut_run(_joined([front_decode(b) for b in pieces["run"]]), edges, key[0] * fine)
+        return pd.DataFrame({name: pd.Series(c, dtype=object) for name, c in zip(("part", "run", "id", "at", "mask"), zip(*out, strict=True), strict=True)})
+
     def meet(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         if key[0] < 0:  # settled within a run
             return group[["id", "at", "mask"]]
@@ -349,18 +395,24 @@ def find_repeats(docs: DataFrame) -> DataFrame:
         order_run, order_place, prefix = merge_runs(strings, [common_prefix(p.right).tolist() for p in parts])
         first = np.cumsum([0, *(len(p.doc) for p in parts)])
         order = first[np.array(order_run, np.int64)] + np.array(order_place, np.int64)
-        whole = Entries(*(np.concatenate([getattr(p, x) for p in parts]) for x in ("right", "left", "sizes", "doc", "at"))).take(order)
+        whole = _joined(parts).take(order)
         ids, ats, masks = _by_document(whole.doc, whole.at, repeated_strings(whole, np.array(prefix, np.int64)))
         return pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "at": pd.Series(ats, dtype=object), "mask": pd.Series(masks, dtype=object)})
 
+    sent = rows.mapInArrow(send, schema)
+    if finer is not None:
+        # Tasks that put a coarse range together: each takes a few runs' worth of entries.
+        slots = max(1, total * fine // max(64, -(-size // range_bytes)) // (4 * RUN_ENTRIES))
+        slot = F.when(F.col("part") < 0, 0).otherwise(F.pmod(F.xxhash64("run"), F.lit(slots))).cast("int").alias("slot")
+        spread = finer.select("part", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), "edges")
+        sent = sent.select("*", slot).groupBy("part", "slot").cogroup(spread.groupBy("part", "slot")).applyInPandas(cut_again, schema)
     whole = (
-        rows.mapInArrow(send, "part int, run binary, id long, at array<bigint>, mask array<bigint>")
-        .groupBy("part")
+        sent.groupBy("part")
         .applyInPandas(meet, "id long, at array<bigint>, mask array<bigint>")
         .groupBy(F.col("id").alias("f_id"))
         .agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("mask")).alias("mask"))
     )
-    del rows
+    del rows, sent
     found = stage(whole, "suffix-found")
     discard(shared)
     return found
@@ -388,10 +440,13 @@ def covered(n: int, at: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False,
+    range_bytes: int = RANGE_BYTES, level_ranges: int = LEVEL_RANGES,
+) -> DataFrame:
     """Every row's id, n_bytes, n_removed, n_spans, kept_sha256, and the bytes ``kept`` if asked for."""
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = find_repeats(slim.filter(F.col("id").isNotNull() & (F.octet_length("text") >= LENGTH)))
+    found = find_repeats(slim.filter(F.col("id").isNotNull() & (F.octet_length("text") >= LENGTH)), range_bytes, level_ranges)
     collect_garbage(docs.sparkSession)  # the texts and runs that were sent
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(found, "f_id"))
 
