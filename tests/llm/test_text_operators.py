@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 import corpus_pipeline  # noqa: E402
-from vitaframe.llm import bpe, compact_windows, jaccard_join, quality_rules, suffix_dedup, toxicity, warc  # noqa: E402
+from vitaframe.llm import bpe, compact_windows, jaccard_join, mixing, quality_rules, suffix_dedup, toxicity, warc  # noqa: E402
 from vitaframe.llm.components import components  # noqa: E402
 from vitaframe.llm.exact_dedup import drop_copies, exact_groups  # noqa: E402
 from vitaframe.llm.language_id import identify  # noqa: E402
@@ -104,6 +104,21 @@ def test_mixing(odd, none):
     assert mix(none).count() == 0
 
 
+def test_running_sums_of_slices(spark):
+    rng = np.random.default_rng(15)
+    rows = sorted({(str(s) if s else None, int(p)) for s, p in zip(rng.integers(0, 3, 400), rng.integers(0, 300, 400), strict=True)}, key=str)
+    rows = [(s, p, int(rng.integers(0, 50))) for s, p in rows]
+    sums = spark.createDataFrame(rows, "source string, slice long, words long")
+    for level in (1, 7, 4096):
+        got = mixing._before(sums, ["source"], "slice", level)
+        assert got.columns == ["source", "slice", "words", "words_before"]
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(
+            str((s, p, w, sum(v for t, q, v in rows if t == s and q < p))) for s, p, w in rows
+        )
+    alone = mixing._before(sums.groupBy("slice").agg(F.sum("words").alias("words")), [], "slice", 16).collect()
+    assert all(r["words_before"] == sum(v for _, q, v in rows if q < r["slice"]) for r in alone)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)], "a long, b long")
     got = {r[0]: r[1] for r in components(links).collect()}

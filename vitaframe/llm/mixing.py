@@ -33,6 +33,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET = 1.5
 EPOCHS = 2
 SLICE_ROWS = 4096
+LEVEL_SLICES = 4096
 
 
 def source_targets(
@@ -60,10 +61,25 @@ def source_targets(
     return t.select("source", "source_size", target.alias("target"))
 
 
-def _before(sums: DataFrame, group: list[str], slice_col: str) -> DataFrame:
-    """Per group and slice, the words in the slices before."""
-    window = W.partitionBy(*group).orderBy(slice_col).rowsBetween(W.unboundedPreceding, -1)
-    return sums.withColumn("words_before", F.coalesce(F.sum("words").over(window), F.lit(0)))
+def _before(sums: DataFrame, group: list[str], slice_col: str, level: int = LEVEL_SLICES) -> DataFrame:
+    """Per group and slice, the words in the slices before.
+
+    Added up in two levels: over each ``level`` slices, and within them.
+    """
+    sums = sums.withColumn("_part", F.floor(F.col(slice_col) / level).cast("long"))
+    keys = [*group, "_part"]
+
+    def running(df: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
+        window = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        return df.withColumn(name, F.coalesce(F.sum("words").over(window), F.lit(0)))
+
+    parts = running(sums.groupBy(*keys).agg(F.sum("words").alias("words")), group, "_part", "_earlier")
+    parts = parts.select(*[F.col(k).alias(f"p_{k}") for k in keys], "_earlier")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"p_{k}"))
+    inside = running(sums, keys, slice_col, "_inside").join(parts, same)
+    return inside.withColumn("words_before", F.col("_earlier") + F.col("_inside")).select(*sums.columns[:-1], "words_before")
 
 
 def mix(
@@ -115,6 +131,7 @@ def mix(
     copies = finished(slim).filter("size > 0 AND target > 0")
     copies = copies.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     copies = copies.withColumn("finish", finish(F.col("epoch"))).select("finish", "shuffled", "id", "size")
+    # The budget ends about finish 1, so what comes after 4 is counted, never sorted.
     finish_slice = F.floor(F.least("finish", F.lit(4.0)) * slices).cast("long")
     copies = stage(copies.withColumn("slice", finish_slice), "mix-copies")
     total = targets.agg(F.round(F.sum("target")).cast("long").alias("total"))
