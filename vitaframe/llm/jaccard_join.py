@@ -23,7 +23,8 @@ Words are lower-cased (A-Z) runs of anything but white space. A text with fewer
 words than n is one n-gram; null texts and texts without words have an empty set and
 are linked with nothing: their component is their own id. Rows that repeat a
 document get the same answer each. Rows without an id are linked with nothing and
-have no component. Extra columns play no part.
+have no component. Texts of any length are read whole, one at a time. Extra columns
+play no part.
 """
 
 from __future__ import annotations

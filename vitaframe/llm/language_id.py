@@ -71,59 +71,61 @@ def count_grams(labelled: DataFrame) -> DataFrame:
     return part.groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
 
 
+def packed(rows: list[tuple[str, int, str, int]]) -> tuple[list[str], np.ndarray, str]:
+    """Rows of the model in little room: languages, their place with kind and n, and the n-grams."""
+    languages = sorted({r[0] for r in rows})
+    place = {lang: i for i, lang in enumerate(languages)}
+    numbers = np.array([(place[lang], kind, n) for lang, kind, _, n in rows], np.int64).reshape(-1, 3)
+    # Letters and the marks of a word's ends: none is a line feed.
+    return languages, numbers, "\n".join(r[2] for r in rows)
+
+
 class Model:
-    """Log frequencies per language of words (kind 0) and n-grams."""
-
-    def __init__(self, rows: list[tuple[str, int, str, int]]):
-        self.languages = sorted({r[0] for r in rows})
-        place = {lang: i for i, lang in enumerate(self.languages)}
-        k = len(self.languages)
-        self.tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST_GRAM + 1)]
-        totals = np.zeros((LONGEST_GRAM + 1, max(k, 1)))
-        for lang, kind, gram, n in rows:
-            self.tables[kind].setdefault(gram, np.zeros(k))[place[lang]] += n
-            totals[kind, place[lang]] += n
-        for kind, table in enumerate(self.tables):
+    """Log frequencies per language of words (kind 0) and n-grams: a row of a matrix for each."""
+
+    def __init__(self, languages: list[str], numbers: np.ndarray, names: str):
+        self.languages, k = languages, len(languages)
+        self.place: list[dict[str, int]] = [{} for _ in range(LONGEST_GRAM + 1)]
+        rows = [self.place[kind].setdefault(gram, len(self.place[kind])) for gram, kind in zip(names.split("\n"), numbers[:, 1].tolist(), strict=False)]
+        rows, self.logs = np.array(rows, np.int64), []
+        for kind, place in enumerate(self.place):
+            own = numbers[:, 1] == kind
+            counts = np.zeros((len(place), k))
+            np.add.at(counts, (rows[: len(own)][own], numbers[own, 0]), numbers[own, 2])
             floor = 0.5
-            base = np.log(totals[kind] + floor * (len(table) + 1))
-            for gram, n in table.items():
-                table[gram] = np.log(n + floor) - base
+            self.logs.append(np.log(counts + floor) - np.log(counts.sum(axis=0) + floor * (len(place) + 1)))
+        self.clear()
+
+    def clear(self) -> None:
         self.cache: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
-        self.matrix = np.zeros((0, k))
+        self.matrix = np.zeros((1024, len(self.languages)))
 
     def score(self, word: str) -> np.ndarray:
         """Log likelihood by language; of parts, the mean of those that are known."""
-        known = self.tables[0].get(word)
+        known = self.place[0].get(word)
         if known is not None:
-            return known
+            return self.logs[0][known]
         for size in range(LONGEST_GRAM, 0, -1):
-            found = [s for g in grams(word, size) if (s := self.tables[size].get(g)) is not None]
+            place = self.place[size]
+            found = [i for g in grams(word, size) if (i := place.get(g)) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return self.logs[size][found].mean(axis=0)
         return np.zeros(len(self.languages))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = words(text)
         if not found or not self.languages:
             return UNKNOWN, 0.0
+        if len(self.cache) > CACHED_WORDS:
+            self.clear()
         cache = self.cache
-        if len(cache) > CACHED_WORDS:
-            cache.clear()
-            self.rows.clear()
-            self.matrix = np.zeros((0, len(self.languages)))
         for word in found:
             if word not in cache:
-                cache[word] = len(self.rows)
-                self.rows.append(self.score(word))
-        if len(self.rows) > len(self.matrix):
-            # Rows are added to twice the size, so that growing costs little.
-            grown = np.zeros((2 * len(self.rows) + 1024, len(self.languages)))
-            grown[: len(self.rows)] = self.rows
-            self.matrix, self.filled = grown, len(self.rows)
-        elif self.filled < len(self.rows):
-            self.matrix[self.filled : len(self.rows)] = self.rows[self.filled :]
-            self.filled = len(self.rows)
+                if len(cache) == len(self.matrix):
+                    # Rows are added to twice the size, so that growing costs little.
+                    self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+                self.matrix[len(cache)] = self.score(word)
+                cache[word] = len(cache)
         total = self.matrix[[cache[w] for w in found]].mean(axis=0) * min(len(found), SHARPEN)
         share = np.exp(total - total.max())
         best = int(np.argmax(share))
@@ -160,7 +162,7 @@ def identify(
     Learns from the rows where ``training`` holds and the language is not null.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit(docs, training, id_col, text_col, lang_col, max_docs))
+    model = spark.sparkContext.broadcast(packed(fit(docs, training, id_col, text_col, lang_col, max_docs)))
     payload = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if with_rows else []
     name = uuid.uuid4().hex  # of this model, in workers that outlive it
     inner = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *payload)
@@ -169,7 +171,7 @@ def identify(
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         if name not in _LOADED:
             _LOADED.clear()
-            _LOADED[name] = Model(model.value)
+            _LOADED[name] = Model(*model.value)
         for part in texts:
             yield pd.DataFrame([_LOADED[name].predict(t) for t in part], columns=["lang_pred", "score"])
 
