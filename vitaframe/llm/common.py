@@ -13,6 +13,10 @@ from vitaframe.session import checkpoint_dir
 SPACES = " \t\n\x0b\f\r"
 
 
+# Staged tables, in order.
+STAGED: list[DataFrame] = []
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -47,9 +51,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     collect_garbage(spark)
     out = spark.read.schema(schema).parquet(path)
     out.staged_path = path
+    STAGED.append(out)
     return out
 
 
+def discard_since(mark: int, keep: DataFrame) -> None:
+    """Removes what has been staged since ``mark`` (a length of ``STAGED``), but for one table."""
+    discard(*[t for t in STAGED[mark:] if t is not keep])
+    STAGED[mark:] = [keep]
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes staged tables that nothing will read again."""
     for table in tables:

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaframe.llm.common import read_table, stage
+from vitaframe.llm.common import STAGED, discard_since, read_table, stage
 
 
 def _groups(rows: DataFrame, keep: str, *keys: str) -> DataFrame:
@@ -76,12 +76,14 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A document whose row is repeated stays once.
     """
+    mark = len(STAGED)
     groups = exact_groups(docs, id_col, text_col, keep).filter("kept")
     twice = F.col("n") > 1
     ids = stage(
         groups.groupBy(F.col(id_col).alias("kept_id"), F.col("text_sha256").alias("kept_sha256")).agg(F.count(F.lit(1)).alias("n")),
         "exact-kept",
     )
+    discard_since(mark, ids)
     sha = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
     stay = docs.join(ids, docs[id_col].eqNullSafe(ids["kept_id"]) & (sha == ids["kept_sha256"]))
     once = stay.filter(~twice).select(*[docs[c] for c in docs.columns])

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaframe.llm.common import read_table, stage
+from vitaframe.llm.common import STAGED, discard_since, read_table, stage
 from vitaframe.llm.components import components
 from vitaframe.llm.shared_tokens import id_filter, is_shared, passes, shared_tokens, slot_of
 
@@ -307,10 +307,12 @@ def join_components(
 
 def drop_near_copies(docs: DataFrame, n: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component; rows without an id stay."""
+    mark = len(STAGED)
     found = join_components(docs, n, threshold, id_col, text_col)
     gone = stage(
         found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone_id")).distinct(), "join-gone"
     )
+    discard_since(mark, gone)
     return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
 
 
