@@ -307,6 +307,40 @@ def test_a_line_that_very_many_texts_share_brings_no_pairs(spark):
     assert [got[i]["n_passages"] for i in (3, 77, 4)] == [1, 1, 0]
 
 
+def test_alike_passages_share_least():
+    """Of the smallest shingles of every two alike passages as many are common as their marks ask for."""
+    span, least = compact_windows.SPAN, compact_windows.LEAST
+    for a in range(1, span + 1):
+        for b in range(1, span + 1):
+            for c in range(1, min(a, b) + 1):
+                if 100 * c < compact_windows.THRESHOLD * (a + b - c):
+                    continue
+                # The worst case: what is not common comes first.
+                one, two = set(range(-a + c, c)), {k for k in range(c)} | {-0.5 - k for k in range(b - c)}
+                common = len(set(sorted(one)[:least]) & set(sorted(two)[:least]))
+                mark = sum(min(a, b) < k for k in compact_windows.FULL)
+                assert common >= compact_windows.common_least(a, b) >= compact_windows.NEEDED[mark]
+
+
+def test_every_passage_at_the_threshold_is_found(spark):
+    """Fifty words of which one differs, just alike, in unrelated texts; also where the words repeat."""
+    rng = np.random.default_rng(13)
+    rows, alike = [], {}
+    for i in range(300):
+        words = lambda n: [f"w{k}" for k in rng.integers(0, 10**9, n)]
+        # Every third passage repeats words; its texts have no other.
+        passage = [f"r{i}x{k}" for k in rng.integers(0, 3, 50)] if i % 3 == 0 else words(50)
+        copy = list(passage)
+        copy[int(rng.integers(8, 42))] = f"other{i}"
+        texts = [words(30) + p + words(30) for p in (passage, copy)]
+        grams = [[tuple(t[k : k + 5]) for k in range(len(t) - 4)] for t in texts]
+        alike[i] = alike_passage(*grams)
+        rows += [(2 * i + k, " ".join(t)) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(alike.values()) > 250
+    assert {i: got[2 * i + 1]["class_id"] == 2 * i and got[2 * i]["n_links"] == 1 for i in alike} == alike
+
+
 def test_copies_of_short_texts_are_no_passages(spark):
     rows = [(i, " ".join(f"some{k}" for k in range(n))) for i, n in [(1, 49), (2, 49), (3, 50), (4, 50), (4, 50)]]
     got = {r["doc_id"]: tuple(r)[1:] for r in compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
