@@ -35,6 +35,18 @@ def test_duplicates(make_records):
     ]
 
 
+def test_duplicates_take_one_shuffle(make_records):
+    """Records are neither grouped beside themselves nor joined back; unknown readings are no copies."""
+    rows = [("a", "hr", _at(0), 5.0), ("a", "hr", _at(0), 5.0), ("", "hr", _at(0), 5.0), ("", "hr", _at(0), 5.0)]
+    records = make_records(rows).withColumn("participant_id", F.expr("nullif(participant_id, '')"))
+    flagged = cl.flag_duplicates(records)
+    assert _flags(flagged) == [GOOD, "duplicate", GOOD, GOOD]
+    # The same place twice is one reading that came twice, not a copy of it.
+    assert _flags(cl.flag_duplicates(records.withColumn("row_pos", F.lit(0).cast("long")))) == [GOOD] * 4
+    plan = flagged._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "Join" not in plan and "Aggregate" not in plan
+
+
 def test_distinct_epochs_within_a_microsecond_are_no_copies(make_records):
     from pyspark.sql import functions as F
 

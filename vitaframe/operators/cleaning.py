@@ -11,6 +11,7 @@ the flags by the record's place, its file and position, where it is asked for.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vitaframe.config import (
@@ -59,26 +60,23 @@ def flag_duplicates(records: DataFrame) -> DataFrame:
     """Flag every copy but the first of a participant's identical readings.
 
     Copies agree in metric, raw time and both values; the first is the one with
-    the smallest place (file, then position). Copies are combined before the
-    shuffle and only groups that have any are joined back.
+    the smallest place (file, then position). A group is the copies of one reading, so
+    records are shuffled and sorted once. Readings without a participant, metric or time are no copies of
+    each other and stay apart.
     """
-    keys = ["participant_id", "metric_type", "epoch_raw", "_v1", "_v2", "_no_v1", "_no_v2"]
-    keyed = (
-        records.withColumn("_no_v1", F.col("value_1").isNull())
-        .withColumn("_no_v2", F.col("value_2").isNull())
-        .withColumn("_v1", F.coalesce("value_1", F.lit(0.0)))
-        .withColumn("_v2", F.coalesce("value_2", F.lit(0.0)))
-    )
-    copied = (
-        keyed.groupBy(keys)
-        .agg(F.count(F.lit(1)).alias("_copies"), F.min(F.struct(*PLACE)).alias("_first"))
-        .where("_copies > 1")
-        .drop("_copies")
-    )
-    marked = keyed.join(copied, keys, "left")
-    is_copy = F.coalesce(F.struct(*PLACE) != F.col("_first"), F.lit(False))
-    return marked.withColumn(
-        "quality_flag", F.when(is_copy, F.lit(DUPLICATE)).otherwise(F.col("quality_flag"))
+    apart = " OR ".join(f"{c} IS NULL" for c in ("participant_id", "metric_type", "epoch_raw"))
+    # Times differ most and in their first bytes, so records are sorted by them first.
+    copies = W.partitionBy(
+        "epoch_raw",
+        "participant_id",
+        "metric_type",
+        "value_1",
+        "value_2",
+        F.when(F.expr(apart), F.xxhash64(*PLACE)),
+    ).orderBy(*PLACE)
+    is_copy = ~F.expr(apart) & (F.rank().over(copies) > 1)
+    return records.withColumn("_copy", is_copy).withColumn(
+        "quality_flag", F.when(F.col("_copy"), F.lit(DUPLICATE)).otherwise(F.col("quality_flag"))
     ).select(records.columns)
 
 
