@@ -450,3 +450,57 @@ def test_pipeline_equals_plain_python(spark, tmp_path):
         expected.append((i, len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), back))))
     got = [tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()]
     assert sorted(got) == sorted(expected)
+
+
+def test_far_passages_end_early(monkeypatch):
+    """With 46 different shingles each 41 must be common: passages that have 40 are not compared any further."""
+    rng = np.random.default_rng(31)
+    one = rng.integers(0, 1 << 30, 300).astype(np.int32)
+    for common, near in ((41, True), (40, False)):
+        two = rng.integers(1 << 30, (1 << 31) - 1, 200).astype(np.int32)
+        two[60 : 60 + common] = one[100 : 100 + common]
+        other = compact_windows.Sequence(two, np.empty(0, np.int32))
+        side = compact_windows._Side(compact_windows.Sequence(one, np.empty(0, np.int32)), other)
+        assert side.open.any() == near
+        assert bool(compact_windows.alike_passages(one, other)) == near
+    shingles = rng.integers(0, 1 << 62, 400).astype(np.uint64)
+    few = compact_windows._tokens(shingles)[100:108]
+    monkeypatch.setattr(compact_windows, "_bounds", lambda _: pytest.fail("too few shared shingles for a link"))
+    assert not len(compact_windows.least_windows(shingles, lambda names: (np.isin(names, few), np.zeros(len(names), np.int64))))
+
+
+def test_bounds_of_repeating_texts():
+    rng = np.random.default_rng(32)
+    span, least = compact_windows.SPAN, compact_windows.LEAST
+    for kinds in (3, 20, 60, 5000):
+        shingles = rng.integers(0, 1 << 62, kinds).astype(np.uint64)[rng.integers(0, kinds, 300)]
+        bounds, marks = compact_windows._bounds(shingles)
+        for s in range(len(shingles) - span + 1):
+            different = sorted(set(shingles[s : s + span].tolist()))
+            assert marks[s] == sum(len(different) < k for k in compact_windows.FULL)
+            # With fewer all stand for the passage.
+            assert bounds[s] == (different[least - 1] if len(different) >= least else ~np.uint64(0))
+
+
+def test_alike_passages_where_windows_meet():
+    """Looking up shingles first and counting windows per passage leaves the same stretches as counting them first."""
+    rng, met = np.random.default_rng(33), 0
+    for k in range(30):
+        one = rng.integers(0, 1 << 62, 20 if k % 3 == 0 else 4000).astype(np.uint64)
+        one = one[rng.integers(0, len(one), 260)]
+        two = rng.integers(0, 1 << 62, 240).astype(np.uint64)
+        two[70:150] = one[90:170]
+        two[rng.integers(70, 150, k % 12)] = rng.integers(0, 1 << 62, k % 12).astype(np.uint64)
+        names = [compact_windows._tokens(x) for x in (one, two)]
+        marks = [compact_windows._bounds(x)[1].max() for x in (one, two)]
+        shared = [lambda n, o=o: (np.isin(n, o), np.full(len(n), max(marks))) for o in names[::-1]]
+        a, b = (compact_windows.least_windows(x, f).astype(np.int32) for x, f in zip((one, two), shared, strict=True))
+        one, two = (x.astype(np.uint32).view(np.int32) for x in (one, two))
+        other = compact_windows.Sequence(one, a)
+        every = compact_windows.alike_passages(two, other)
+        found = compact_windows.alike_passages(two, other, b) if len(a) and len(b) else []
+        assert [set(x) for x in zip(*found)] == [set(x) for x in zip(*every)]
+        before = compact_windows.similar_passages(compact_windows.meetings(b, other), two, other) if len(a) and len(b) else []
+        assert [set(x) for x in zip(*found)] == [set(x) for x in zip(*before)]
+        met += bool(found)
+    assert 5 < met < 30
