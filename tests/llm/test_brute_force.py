@@ -341,6 +341,61 @@ def test_every_passage_at_the_threshold_is_found(spark):
     assert {i: got[2 * i + 1]["class_id"] == 2 * i and got[2 * i]["n_links"] == 1 for i in alike} == alike
 
 
+def test_every_two_alike_passages_are_in_a_class():
+    """Whatever the numbers of different shingles, and as many smallest ones are common as the class asks for."""
+    span, n = compact_windows.SPAN, len(compact_windows.CLASSES)
+    for a in range(1, span + 1):
+        for b in range(1, span + 1):
+            one, two = (int(compact_windows.SIDES[k]) for k in (a, b))
+            both = one & (two >> n) | (one >> n) & two
+            inside = [v for j, v in enumerate(compact_windows.CLASS_NEEDED) if both >> j & 1]
+            common = compact_windows.common_least(a, b)
+            assert not common or min(inside) <= common and inside, (a, b)
+
+
+def test_texts_that_repeat_words_are_not_all_compared(spark, monkeypatch):
+    """Runs of one word stand for passages of different kinds: only texts with passages of one kind meet."""
+    rng = np.random.default_rng(14)
+    words = lambda n: [f"w{k}" for k in rng.integers(0, 10**9, n)]
+    texts = {i: words(50) + [w for k in rng.permutation(20)[:5] for w in [f"run{k}"] * int(rng.integers(14, 30))] + words(50) for i in range(80)}
+    # Fifty words of a run are a passage by themselves.
+    texts |= {80 + i: words(50) + [f"run{i % 20}"] * 60 + words(50) for i in range(40)}
+    grams = {i: [tuple(t[k : k + 5]) for k in range(len(t) - 4)] for i, t in texts.items()}
+    linked = {(a, b) for a in grams for b in grams if a < b and alike_passage(grams[a], grams[b])}
+    counts, passages = [], compact_windows._passages
+
+    def counted(pairs, *rest):
+        counts.append(pairs.count())
+        return passages(pairs, *rest)
+
+    monkeypatch.setattr(compact_windows, "_passages", counted)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in compact_windows.repeated_passages(docs).collect()}
+    assert {i: r["class_id"] for i, r in got.items()} == plain_components(grams, lambda a, b: (a, b) in linked)
+    assert (80, 100) in linked
+    # First with the smallest holders, then across the classes that these gave.
+    assert len(counts) == 2 and counts[1] < 100, counts
+
+
+def test_texts_with_edits_everywhere_are_not_compared_further():
+    """Of each passage 41 shingles must be in the other text; a text with an edit in every 30 words has no such one."""
+    rng = np.random.default_rng(15)
+    base = rng.integers(0, 1 << 30, 400).astype(np.int32)
+    texts = [rng.integers(1 << 30, (1 << 31) - 1, 40).astype(np.int32)]
+    for every in (30, 45, 60, 400):
+        text = base.copy()
+        for k in range(every // 2, 400, every):
+            text[k : k + 5] = rng.integers(1 << 30, (1 << 31) - 1, len(text[k : k + 5]))
+        texts.append(text)
+    texts += [np.concatenate([texts[0], base[100:141], texts[0]]), np.concatenate([texts[0], base[100:139], texts[0]]), base[::-1].copy()]
+    near = compact_windows.near_texts(base, np.concatenate(texts), np.cumsum([len(t) for t in texts]))
+    assert near.tolist() == [False, False, True, True, True, True, False, True]
+    other = compact_windows.Sequence(base, np.empty(0, np.int32))
+    for one, fits in zip(texts[1:], near.tolist()[1:], strict=True):
+        assert fits or not compact_windows.alike_passages(one, other)
+    assert not compact_windows.near_texts(texts[0], np.concatenate(texts), np.cumsum([len(t) for t in texts])).any()
+
+
 def test_copies_of_short_texts_are_no_passages(spark):
     rows = [(i, " ".join(f"some{k}" for k in range(n))) for i, n in [(1, 49), (2, 49), (3, 50), (4, 50), (4, 50)]]
     got = {r["doc_id"]: tuple(r)[1:] for r in compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
