@@ -378,11 +378,11 @@ def test_texts_that_repeat_words_are_not_all_compared(spark, monkeypatch):
 
 
 def test_texts_with_edits_everywhere_are_not_compared_further():
-    """Of each passage 41 shingles must be in the other text; a text with an edit in every 30 words has no such one."""
+    """Of each passage 41 shingles must be in the other text; a text with an edit in every 20 words has no such one."""
     rng = np.random.default_rng(15)
     base = rng.integers(0, 1 << 30, 400).astype(np.int32)
     texts = [rng.integers(1 << 30, (1 << 31) - 1, 40).astype(np.int32)]
-    for every in (30, 45, 60, 400):
+    for every in (20, 45, 60, 400):
         text = base.copy()
         for k in range(every // 2, 400, every):
             text[k : k + 5] = rng.integers(1 << 30, (1 << 31) - 1, len(text[k : k + 5]))
