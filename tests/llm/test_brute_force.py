@@ -396,6 +396,29 @@ def test_texts_with_edits_everywhere_are_not_compared_further():
     assert not compact_windows.near_texts(texts[0], np.concatenate(texts), np.cumsum([len(t) for t in texts])).any()
 
 
+def test_texts_by_themselves_meet_a_large_component(spark, monkeypatch):
+    """Each pair is looked at once, however texts and partners are dealt out; of an id with two texts either may be near."""
+    monkeypatch.setattr(compact_windows, "PARTNERS", 2)
+    monkeypatch.setattr(compact_windows, "TEXTS", 3)
+    rng = np.random.default_rng(16)
+    base = rng.integers(0, 1 << 30, 120).astype(np.int32)
+    texts = []
+    for node in range(30):
+        # Every third has an edit in every 20 words and is near no other.
+        text = base.copy()
+        if node % 3 == 0:
+            for k in range(10, 120, 20):
+                text[k : k + 5] = rng.integers(1 << 30, (1 << 31) - 1, 5)
+        texts.append((node, text.tolist()))
+    texts.append((3, base.tolist()))
+    pairs = [(a, b, 0 if a < 20 else a, 0 if b < 20 else b, True) for a in range(30) for b in range(a + 1, 30) if b >= 20]
+    pairs = spark.createDataFrame(pairs, "a long, b long, a_comp long, b_comp long, full boolean")
+    sequences = spark.createDataFrame(texts, "node long, shingles array<int>")
+    got = sorted(map(tuple, compact_windows._near(pairs, sequences, "bigint").collect()))
+    near = lambda node: node % 3 or node == 3
+    assert got == [(a, b) for a in range(30) for b in range(a + 1, 30) if b >= 20 and near(a) and near(b)]
+
+
 def test_copies_of_short_texts_are_no_passages(spark):
     rows = [(i, " ".join(f"some{k}" for k in range(n))) for i, n in [(1, 49), (2, 49), (3, 50), (4, 50), (4, 50)]]
     got = {r["doc_id"]: tuple(r)[1:] for r in compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
